@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.operators import hierarchy as H
+from codicil.operators.orphan_refs import orphan_references
+from codicil.operators.snapshot_diff import snapshot_changes
 from codicil.session import ready_releases, table
 
 
@@ -46,8 +48,88 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.closure(provision_hierarchy(spark, d), "release_tag", "provision_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Acts and provisions added, removed or changed by value between consecutive ready releases."""
+    acts = table(spark, d, "acts").select("release_tag", F.lit("act").alias("record_type"), F.col("act_id").alias("record_id"), "canonical_record")
+    provisions = table(spark, d, "provisions").select("release_tag", F.lit("provision").alias("record_type"), F.col("provision_id").alias("record_id"), "canonical_record")
+    return snapshot_changes(acts.unionByName(provisions), ready_releases(spark, d), "release_tag", ["record_type", "record_id"], "canonical_record")
+
+
+def p3_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Number of changes of each kind, by release and record type."""
+    return p3_found(spark, d).groupBy("release_tag", "record_type", "change_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """References to records that their release does not hold."""
+    c, p = _ready(spark, d, "citations"), _ready(spark, d, "provisions").select("release_tag", "provision_id", "source_ids")
+
+    def ref(df, field, record, key, domain):
+        return df.select(F.col("release_tag").alias("period"), F.lit(domain).alias("domain"), F.col(key).alias("key"), F.lit(field).alias("reference_field"), F.col(record).alias("record_id"))
+
+    # All three keys of a citation from one scan.
+    keys = F.array(*[
+        F.struct(F.lit(domain).alias("domain"), F.col(key).alias("key"), F.lit(field).alias("reference_field"))
+        for key, field, domain in (
+            ("source_provision_id", "citation.source_provision_id", "provisions"),
+            ("target_provision_id", "citation.target.provision_id", "provisions"),
+            ("target_act_id", "citation.target.act_id", "acts"))])
+    cited = c.select(F.col("release_tag").alias("period"), F.explode(keys).alias("x"), F.col("citation_id").alias("record_id")).select("period", "x.*", "record_id")
+    spans = ref(p.select("release_tag", "provision_id", F.explode("source_ids").alias("source_id")), "provision.source_id", "provision_id", "source_id", "sources")
+    parents = None
+    for name, key in (("provisions", "provision_id"), ("acts", "act_id"), ("sources", "source_id")):
+        held = _ready(spark, d, name).select(F.col("release_tag").alias("period"), F.lit(name).alias("domain"), F.col(key).alias("key"))
+        parents = held if parents is None else parents.unionByName(held)
+    orphans = orphan_references(cited.unionByName(spans), parents)
+    return orphans.select(F.col("period").alias("release_tag"), "reference_field", "record_id", F.col("key").alias("missing_key")).distinct()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans by table, field and release."""
+    found = p4_found(spark, d).withColumn("table_name", F.when(F.col("reference_field").startswith("citation"), "citations").otherwise("provisions"))
+    return found.groupBy("table_name", "reference_field", "release_tag").agg(
+        F.count(F.lit(1)).alias("n_references"), F.countDistinct("record_id").alias("n_records"), F.countDistinct("missing_key").alias("n_missing_keys"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants)}
+    return {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_summary, p4_found, p4_report)}
+
+
+_READY = "release_tag IN (SELECT release_tag FROM corpus_releases WHERE import_state = 'ready')"
+
+_CHANGES = f"""tags AS (
+  SELECT release_tag, row_number() OVER (ORDER BY list_transform(string_split(substr(release_tag, 9), '.'), lambda x: CAST(x AS INT))) AS no
+  FROM corpus_releases WHERE import_state = 'ready'),
+records AS (
+  SELECT DISTINCT release_tag, 'act' AS record_type, act_id AS record_id, canonical_record AS j FROM acts WHERE {_READY}
+  UNION SELECT DISTINCT release_tag, 'provision', provision_id, canonical_record FROM provisions WHERE {_READY}),
+leaves AS (
+  SELECT r.release_tag, r.record_type, r.record_id, r.j, t.fullkey || '|' || t.type || '|' || coalesce(t.atom ->> '$', '') AS leaf
+  FROM records r, json_tree(r.j) t),
+val AS (
+  SELECT release_tag, record_type, record_id, min(v) AS v FROM (
+    SELECT release_tag, record_type, record_id, j, md5(string_agg(leaf, chr(1) ORDER BY leaf)) AS v FROM leaves GROUP BY ALL) GROUP BY ALL),
+numbered AS (SELECT val.*, no FROM val JOIN tags USING (release_tag)),
+found AS (
+  SELECT t.release_tag, coalesce(a.record_type, b.record_type) AS record_type, coalesce(a.record_id, b.record_id) AS record_id,
+    CASE WHEN b.v IS NULL THEN 'added' WHEN a.v IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+  FROM (SELECT * FROM numbered WHERE no > 1) a
+  FULL JOIN (SELECT record_type, record_id, v, no + 1 AS no FROM numbered WHERE no < (SELECT max(no) FROM tags)) b
+    ON a.no = b.no AND a.record_type = b.record_type AND a.record_id = b.record_id
+  JOIN tags t ON t.no = coalesce(a.no, b.no) WHERE a.v IS DISTINCT FROM b.v)"""
+
+_ORPHANS = f"""c AS (SELECT * FROM citations WHERE {_READY}), p AS (SELECT * FROM provisions WHERE {_READY}),
+refs AS (
+  SELECT release_tag, 'citation.source_provision_id' AS reference_field, citation_id AS record_id, source_provision_id AS missing_key FROM c
+  UNION SELECT release_tag, 'citation.target.provision_id', citation_id, target_provision_id FROM c
+  UNION SELECT release_tag, 'citation.target.act_id', citation_id, target_act_id FROM c
+  UNION SELECT release_tag, 'provision.source_id', provision_id, unnest(source_ids) FROM p),
+held AS (
+  SELECT DISTINCT release_tag, 'provision_id' AS kind, provision_id AS key FROM p UNION SELECT release_tag, 'act_id', act_id FROM acts
+  UNION SELECT release_tag, 'source_id', source_id FROM sources),
+found AS (
+  SELECT * FROM refs r WHERE missing_key IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM held h WHERE h.release_tag = r.release_tag AND h.key = r.missing_key AND ends_with(r.reference_field, h.kind)))"""
 
 
 _NODES = """nodes AS (
@@ -102,4 +184,11 @@ FROM status s LEFT JOIN (SELECT release_tag, ancestor, count(*) AS n FROM pairs
 ON p.release_tag = s.release_tag AND p.ancestor = s.provision_id""",
     "p2_descendants": f"""WITH RECURSIVE {_NODES}, {_CLOSURE}
 SELECT release_tag, ancestor, descendant, distance FROM pairs""",
+    "p3_found": f"WITH {_CHANGES} SELECT * FROM found",
+    "p3_summary": f"WITH {_CHANGES} SELECT release_tag, record_type, change_kind, count(*) AS n FROM found GROUP BY ALL",
+    "p4_found": f"WITH {_ORPHANS} SELECT * FROM found",
+    "p4_report": f"""WITH {_ORPHANS}
+SELECT CASE WHEN starts_with(reference_field, 'citation') THEN 'citations' ELSE 'provisions' END AS table_name, reference_field, release_tag,
+  count(*) AS n_references, count(DISTINCT record_id) AS n_records, count(DISTINCT missing_key) AS n_missing_keys
+FROM found GROUP BY ALL""",
 }
