@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "codicil", cores: str = "*") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -23,6 +25,21 @@ def get_spark(app: str = "codicil", cores: str = "*") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once for each context, so that none needs it on its path."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_codicil_shipped", False):
+        root = pathlib.Path(__file__).resolve().parent
+        path = pathlib.Path(tempfile.mkdtemp(prefix="codicil-")) / "codicil.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(path))  # the driver serves it from here to all workers
+        sc._codicil_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
