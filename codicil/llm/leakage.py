@@ -125,6 +125,17 @@ class ItemIndex:
         self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         self.start = np.concatenate(start) if start else np.zeros(0, np.int64)
         self.prints = np.concatenate([simhash(_mix(p), width) for p in parts]) if parts else np.zeros(0, np.uint64)
+        self._tables()
+
+    def __getstate__(self) -> dict:
+        """What is sent: the windows. The tables are made again where they are used."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("order", "sorted", "filters")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._tables()
+
+    def _tables(self) -> None:
         self.order, self.sorted, self.filters = [], [], []
         for key in _keys(self.prints):
             order = np.argsort(key, kind="stable")

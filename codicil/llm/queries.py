@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from codicil.llm import language
 from codicil.llm.leakage import leaked_items
+from codicil.llm.mixing import Mixture
+from codicil.llm.scan_repair import ScanRepair
 from codicil.llm.uniform_text import uniform_text
 from codicil.session import ready_releases, table
 
@@ -36,6 +38,25 @@ def p1_uniform(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy(*keys).agg(F.min("_uniform").alias("text"), F.bool_or("_changed").alias("changed")).withColumn("digest", F.sha2("text", 256))
 
 
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    return Mixture(table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "mixture_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents with their number of uses."""
+    return _mixture(spark, d).documents()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each listed source."""
+    return _mixture(spark, d).shares()
+
+
+def p7_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every use of every chosen document, range-sorted by training position."""
+    return _mixture(spark, d).order()
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(table(spark, d, "documents").select("doc_id", "lang", "text"), "text", "lang", ["doc_id", "lang"])
 
@@ -59,6 +80,20 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("x.segment_no").cast("long").alias("segment_no"), "x.lang", F.round("x.confidence", 6).alias("confidence"))
 
 
+def _repair(spark: SparkSession, d: str) -> ScanRepair:
+    return ScanRepair(table(spark, d, "draft_text_blocks"), table(spark, d, "audit_exclusions"), table(spark, d, "sources"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with traces of layout and misreading, and exclusions with a wrong reason."""
+    return _repair(spark, d).noise()
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The continuous readable text of each block."""
+    return _repair(spark, d).paragraphs()
+
+
 def _leaked(spark: SparkSession, d: str, **how) -> DataFrame:
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text")
     return leaked_items(docs, "doc_id", "text", items, "item_id", "text", **how)
@@ -75,7 +110,7 @@ def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_uniform, p6_found, p6_leaks, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_uniform, p5_found, p5_paragraphs, p6_found, p6_leaks, p7_mixture, p7_shares, p7_order, p8_found, p8_languages)}
 
 
 SQL: dict[str, str] = {}
