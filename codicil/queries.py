@@ -8,22 +8,12 @@ from pyspark.sql import functions as F
 from codicil.operators import hierarchy as H
 from codicil.operators.orphan_refs import orphan_references
 from codicil.operators.snapshot_diff import snapshot_changes
-from codicil.session import ready_releases, table
+from codicil.plans import tree
+from codicil.plans.common import provision_hierarchy
+from codicil.plans.common import ready as _ready
+from codicil.session import durable, ready_releases, table
 
-
-def _ready(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """Rows of the ready releases; the register of releases is a few rows, refused beyond 10,000."""
-    return table(spark, d, name).join(F.broadcast(ready_releases(spark, d).select("release_tag")), "release_tag", "left_semi")
-
-
-# Provision ids are act:segment.segment..., so the first segment tells what hangs together.
-def provision_locality() -> tuple:
-    return F.regexp_extract("provision_id", "^[^:]*:?[^.]*", 0), F.substring_index("provision_id", ":", 1)
-
-
-def provision_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    p = _ready(spark, d, "provisions").select("release_tag", "provision_id", "parent_provision_id")
-    return H.build_hierarchy(p, "release_tag", "provision_id", "parent_provision_id", provision_locality())
+MODULES = (tree,)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,8 +25,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Status, root, depth, path and number of descendants of each provision."""
-    from codicil.session import durable
-
     h = durable(provision_hierarchy(spark, d), "hierarchy")
     below = H.closure(h, "release_tag", "provision_id").groupBy("release_tag", F.col("ancestor").alias("provision_id")).agg(F.count(F.lit(1)).alias("n_descendants"))
     out = h.join(below, ["release_tag", "provision_id"], "left")
@@ -92,7 +80,8 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_summary, p4_found, p4_report)}
+    own = (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_summary, p4_found, p4_report)
+    return {f.__name__: f for f in (*own, *(q for m in MODULES for q in m.QUERIES))}
 
 
 _READY = "release_tag IN (SELECT release_tag FROM corpus_releases WHERE import_state = 'ready')"
@@ -192,3 +181,5 @@ SELECT CASE WHEN starts_with(reference_field, 'citation') THEN 'citations' ELSE
   count(*) AS n_references, count(DISTINCT record_id) AS n_records, count(DISTINCT missing_key) AS n_missing_keys
 FROM found GROUP BY ALL""",
 }
+for _m in MODULES:
+    SQL |= _m.SQL
