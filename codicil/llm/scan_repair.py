@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,16 +175,19 @@ SURE_RATIO = 8
 MIN_LETTERS = 4
 
 
-def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One skeleton: the frequent forms that one confusion leads to, for each word."""
-    count = dict(zip(pdf["word"], pdf["n"]))
-    rows = []
-    for w, n in count.items():
-        forms = [(count[v], v) for v in variants(w) if v in count and count[v] > max(1, n)]
-        if forms:
-            m, f = max(forms)
-            rows.append((w, n, f, m))
-    return pd.DataFrame(rows, columns=["word", "n", "form", "m"])
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each word of a skeleton's group, the most frequent form that one confusion leads to."""
+    for batch in batches:
+        rows = []
+        for group in batch.column("words").to_pylist():
+            count = {x["word"]: x["n"] for x in group}
+            for w, n in count.items():
+                forms = [(count[v], v) for v in variants(w) if v in count and count[v] > max(1, n)]
+                if forms:
+                    m, f = max(forms)
+                    rows.append((w, n, f, m))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["word", "n", "form", "m"])
 
 
 def _odd_token(word: str) -> str | None:
@@ -222,7 +226,8 @@ def misread_words(occurrences: DataFrame) -> DataFrame:
     """word, form, sure: the form each misread word must have been; not sure where neighbours decide."""
     vocabulary = durable(occurrences.groupBy("word").agg(F.sum(F.when(F.col("head").isNull(), 1).otherwise(0)).alias("n")), "vocabulary")
     grouped = vocabulary.withColumn("sk", _arrow("string", skeleton)("word"))
-    chosen = grouped.groupBy("sk").applyInPandas(_choose, "word string, n long, form string, m long").withColumn(
+    groups = grouped.groupBy("sk").agg(F.collect_list(F.struct("word", "n")).alias("words")).where("size(words) > 1").select("words")
+    chosen = groups.mapInArrow(_choose, "word string, n long, form string, m long").withColumn(
         "sure", (F.col("m") >= SURE_RATIO * F.greatest("n", F.lit(1))) & (F.length("form") >= MIN_LETTERS) & ~F.col("form").rlike("^[0-9]+$"))
     chosen = durable(chosen, "chosen")
 
