@@ -92,7 +92,7 @@ def segment_scores(pieces: list[bytes], models: np.ndarray) -> tuple[np.ndarray,
     joined = b" \x00 ".join(pieces)  # the zero byte is no letter, so n-grams across pieces have two non-letters
     data = np.frombuffer(joined, np.uint8)
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    starts = np.concatenate([[0], np.cumsum(lengths + 3)[:-1]])
+    starts = np.concatenate([[0], np.cumsum(lengths + 3)[:-1] - 1])  # the blank before a piece is its first character
     scores, counts = np.zeros((len(pieces), models.shape[2])), np.zeros(len(pieces))
     for k, h in enumerate(grams(np.where(data == 0, 32, data))):
         if not len(h):
