@@ -81,6 +81,10 @@ def _difference(elements: DataFrame, n_cells: int) -> DataFrame:
     return left.groupBy("pair", "bucket").applyInPandas(_peel(n_cells), _DIFF)
 
 
+def back_names(names: list[str], keys: list[str]) -> list:
+    return [F.col(k).alias(n) for n, k in zip(names, keys)]
+
+
 def snapshot_changes(
     df: DataFrame,
     snapshots: DataFrame,
@@ -98,8 +102,10 @@ def snapshot_changes(
     is enlarged for the buckets that need it; both steer speed only.
     """
     no = F.broadcast(snapshots.select(tag, "release_no"))  # a numbered register, bounded by ready_releases
-    rows = df.select(tag, *keys, value).join(no, tag).select("release_no", *keys, value)
-    rows = rows.where(" and ".join(f"`{k}` is not null" for k in keys))
+    names, keys = keys, [f"_k{i}" for i in range(len(keys))]  # keys may have any name
+    rows = df.select(F.col(tag).alias("_tag"), *[F.col(n).alias(k) for n, k in zip(names, keys)], F.col(value).alias("_value"))
+    value, no = "_value", no.withColumnRenamed(tag, "_tag")
+    rows = rows.join(no, "_tag").select("release_no", *keys, value).where(" and ".join(f"{k} is not null" for k in keys))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != value] + ["digest long"])
     digests = rows.mapInArrow(with_digest(value), schema).groupBy("release_no", *keys).agg(F.min("digest").alias("digest"))
     digests = durable(digests.withColumns({"h1": F.xxhash64(*keys, F.lit(1)), "h2": F.xxhash64(*keys, F.lit(2))}), "digests")
@@ -107,7 +113,7 @@ def snapshot_changes(
     last = snapshots.agg(F.max("release_no")).first()[0]
     n = digests.count()
     if not n or not last:
-        return digests.limit(0).select(F.lit("").alias(tag), *keys, F.lit("").alias("change_kind"))
+        return digests.limit(0).select(F.lit("").alias(tag), *back_names(names, keys), F.lit("").alias("change_kind"))
     n_buckets = max(1, -(-n // ((last + 1) * per_bucket)))
     # Pair i compares snapshot i with i+1: a snapshot is the later of one pair and the earlier of the next.
     sides = F.array(F.struct((F.col("release_no") - 1).alias("pair"), F.lit(1).alias("side")), F.struct(F.col("release_no").alias("pair"), F.lit(-1).alias("side")))
@@ -134,4 +140,4 @@ def snapshot_changes(
     changed = back.groupBy("pair", *keys).agg(F.sum("side").alias("net"), F.count(F.lit(1)).alias("n"))
     kind = F.when(F.col("n") == 2, "changed").when(F.col("net") == 1, "added").otherwise("removed")
     later = F.broadcast(snapshots.select(tag, (F.col("release_no") - 1).alias("pair")))
-    return changed.join(later, "pair").select(tag, *keys, kind.alias("change_kind"))
+    return changed.join(later, "pair").select(tag, *back_names(names, keys), kind.alias("change_kind"))
