@@ -156,10 +156,10 @@ def _tokens(text: DataFrame) -> DataFrame:
 def _occurrences(lines: DataFrame) -> DataFrame:
     """Each word with its neighbours; broken words in one piece, at the line where they start."""
     broken = F.col("broken") & F.col("next_words").isNotNull() & (F.size("next_words") > 0) & (F.size("words") > 0)
-    joined = F.when(broken, F.concat(F.element_at("words", -1), F.element_at("next_words", 1)))
+    joined = F.when(broken, F.concat(F.try_element_at("words", F.lit(-1)), F.try_element_at("next_words", F.lit(1))))
     whole = F.slice("words", F.when(F.col("continues"), 2).otherwise(1), F.greatest(F.lit(0), F.size("words") - F.when(F.col("continues"), 1).otherwise(0) - F.when(broken, 1).otherwise(0)))
-    row = lines.select("draft_block_id", "line_no", "next_no", joined.alias("joined"), whole.alias("whole"), F.element_at("words", -1).alias("head"), F.element_at("next_words", 1).alias("tail"),
-                       F.when(~F.col("continues"), F.element_at("last_words", -1)).alias("w0"), F.when(~broken, F.element_at("next_words", 1)).alias("w9"))
+    row = lines.select("draft_block_id", "line_no", "next_no", joined.alias("joined"), whole.alias("whole"), F.try_element_at("words", F.lit(-1)).alias("head"), F.try_element_at("next_words", F.lit(1)).alias("tail"),
+                       F.when(~F.col("continues"), F.try_element_at("last_words", F.lit(-1))).alias("w0"), F.when(~broken, F.try_element_at("next_words", F.lit(1))).alias("w9"))
     entries = F.concat(
         F.transform("whole", lambda w: F.struct(w.alias("word"), F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("tail"))),
         F.when(F.col("joined").isNotNull(), F.array(F.struct(F.col("joined").alias("word"), F.col("head"), F.col("tail")))).otherwise(F.array().cast("array<struct<word:string,head:string,tail:string>>")))

@@ -33,7 +33,7 @@ def make(spark):
     plain = [(i, "s1", BODY.replace(" ", "\n", i % 3)) for i in range(1, 40)]
     faulty = [
         (101, "s1", "the council shall pub-\nlish the annual report"), (102, "s1", "the councll shall publish the\nHARBOUR ACT 1973    12\nannual rep-\n\n13\nort within"), (103, "s1", "every vesse1 at the harb0ur"),
-        (104, "s1", "the sub-\ncommittee met"), (105, "s1", "the sub-committee and the sub-committee"), (106, "s1", None), (107, "s1", ""), (103, "s1", "every vesse1 at the harb0ur")]
+        (104, "s1", "the sub-\ncommittee met"), (105, "s1", "the sub-committee and the sub-committee"), (106, "s1", None), (108, "s1", "--\n...\nthe council shall\n***\npublish-\n--"), (107, "s1", ""), (103, "s1", "every vesse1 at the harb0ur")]
     blocks = spark.createDataFrame(plain + faulty, "draft_block_id long, source_id string, text string").selectExpr("*", "'x' as sig", "1 as kind")
     ex = spark.createDataFrame([(1, "s1", "recurring_header", "HARBOUR ACT 1973"), (2, "s1", "recurring_header", "14"), (3, "s1", None, "[Cap. 3]"), (4, "s1", "printed_page_number", None), (4, "s1", "printed_page_number", None)], "exclusion_id long, source_id string, reason string, source_excerpt string")
     return blocks, ex
