@@ -129,7 +129,7 @@ def duplicate_content_ids(blocks: DataFrame) -> DataFrame:
 def citation_ranges(citations: DataFrame, blocks: DataFrame) -> DataFrame:
     """A citation's block exists, has text, and holds its range of code points."""
     own = citations.select(R, "citation_id", F.col("source_provision_id").alias("provision_id"), F.col("source_block_id").alias("block_id"),
-                           F.get_json_object("canonical_record", "$.text_range.start").cast("int").alias("start"), F.get_json_object("canonical_record", "$.text_range.end").cast("int").alias("end"))
+                           F.get_json_object("canonical_record", "$.text_range.start").try_cast("int").alias("start"), F.get_json_object("canonical_record", "$.text_range.end").try_cast("int").alias("end"))
     texts = blocks.where("text is not null and block_id is not null").groupBy(R, "provision_id", "block_id").agg(F.max(F.char_length("text")).alias("size"))
     j = own.join(texts, [R, "provision_id", "block_id"], "left")
     why = F.when(F.col("size").isNull(), "no_block").when(~((F.col("start") >= 0) & (F.col("start") < F.col("end"))), "reversed").when(F.col("end") > F.col("size"), "beyond_text")

@@ -41,7 +41,7 @@ def act_rows(acts: DataFrame) -> DataFrame:
     text = F.array_join(F.filter(F.transform(lines, lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")), lambda x: x != ""), "\n")
     return acts.select(
         R, "act_id", "schema_version", "jurisdiction", "country_code", t["official"].alias("official_title"), t["short"].alias("short_title"), "year", "number", "citation",
-        F.coalesce("text_kind", F.lit("as_enacted")).alias("text_kind"), "status", F.to_date("checked_through_date").alias("checked_through_date"),
+        F.coalesce("text_kind", F.lit("as_enacted")).alias("text_kind"), "status", F.col("checked_through_date").try_cast("date").alias("checked_through_date"),
         K.distinct_keys(titles).alias("title_keys"), K.search_key("citation").alias("citation_key"),
         F.array_sort(F.array_distinct(F.transform("source_refs", lambda x: x["source_id"]))).alias("source_ids"), text.alias("searchable_text"), F.col("record").alias("canonical_record"))
 

@@ -73,7 +73,7 @@ def citation_segments(spark: SparkSession, d: str) -> DataFrame:
     c = clean(spark, d, "citations", "source_provision_id", "source_block_id", "canonical_record")
     texts = flatten_blocks(clean(spark, d, "provisions", "canonical_record")).where("text is not null and block_id is not null").groupBy("release_tag", "provision_id", "block_id").agg(F.min("text").alias("text"))
     own = c.select("release_tag", "citation_id", F.col("source_provision_id").alias("provision_id"), F.col("source_block_id").alias("block_id"),
-                   F.get_json_object("canonical_record", "$.text_range.start").cast("int").alias("s"), F.get_json_object("canonical_record", "$.text_range.end").cast("int").alias("e"))
+                   F.get_json_object("canonical_record", "$.text_range.start").try_cast("int").alias("s"), F.get_json_object("canonical_record", "$.text_range.end").try_cast("int").alias("e"))
     j = own.join(texts, ["release_tag", "provision_id", "block_id"]).where("s >= 0 and s < e and e <= char_length(text)")
     return j.select("release_tag", "citation_id", F.substring("text", F.col("s") + 1, F.col("e") - F.col("s")).alias("cited"))
 

@@ -8,9 +8,11 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from codicil import schemas
 from codicil.errors import PipelineError
@@ -49,7 +51,7 @@ def layout(spark: SparkSession, root: str) -> DataFrame:
     """Missing and unexpected files below ``root``: kind, path (relative)."""
     base = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    have = files.select(F.regexp_replace("path", "^.*?" + re.escape(base).replace("\\", "\\\\"), "").alias("path"))
+    have = files.select(F.regexp_replace("path", "^.*?" + re.escape(base), "").alias("path"))
     acts = have.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("dir")).where("dir <> ''").distinct()
     want = acts.select(F.explode(F.array(*[F.concat("dir", F.lit("/" + f)) for f in PER_ACT])).alias("path"))
     want = want.unionByName(spark.createDataFrame([(f,) for f in EXPECTED], "path string"))
@@ -103,19 +105,18 @@ def inspect_pages(documents: DataFrame, inspect: Callable[[bytes], Iterator[dict
     The inspector yields one dict for each page; a document that can't be read
     gives one row with ``inspection_error`` and does not stop the others.
     """
-    fields = [f.strip().split(" ")[0] for f in schema.split(", ")]
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for source, content in zip(pdf["source_id"], pdf["content"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, content in zip(batch.column("source_id").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    rows += [{"source_id": source} | r for r in inspect(bytes(content))]
+                    rows = [{"source_id": source} | r for r in inspect(content)]
                 except Exception as e:  # noqa: BLE001 - any failure of one document is its own result
-                    rows.append({"source_id": source, "inspection_error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=fields)
+                    rows = [{"source_id": source, "inspection_error": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return documents.select("source_id", "content").mapInPandas(run, schema)
+    return documents.select("source_id", "content").mapInArrow(run, schema)
 
 
 def pdf_inspector(content: bytes) -> Iterator[dict]:
