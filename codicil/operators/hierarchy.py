@@ -176,10 +176,11 @@ def build_hierarchy(
     """scope, node, status, root, depth (null unless a root is reached), path (ids from the root).
 
     ``localities``: keys over ``node`` and ``scope``, from fine to coarse, that
-    tell which nodes probably hang together; they steer speed, never results.
+    tell which nodes probably hang together (the scope by default); a key with
+    too many rows for a bucket is split by id. They steer speed, never results.
     """
     spark = df.sparkSession
-    localities = list(localities) or [F.col(node)]
+    localities = list(localities) or [F.col(scope)]
     keys = [c.cast("string").alias(f"l{i}") for i, c in enumerate(localities)]
     rows = (
         df.select(F.col(scope).cast("string").alias("s"), F.col(node).cast("string").alias("v"), F.col(parent).cast("string").alias("parent"), *keys)
