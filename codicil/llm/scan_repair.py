@@ -135,6 +135,9 @@ def header_signatures(exclusions: DataFrame, sources: DataFrame | None) -> DataF
 def classify_lines(blocks: DataFrame, exclusions: DataFrame, sources: DataFrame | None) -> DataFrame:
     """Lines with ``kind``: text, running_header, page_number or blank."""
     lines = _lines(blocks).withColumn("sig", _arrow("string", signature)("line"))
+    # Lines too short for a header, a large share of all, get a key of their own, so that they don't meet in one task.
+    own = F.concat(F.lit("\x00"), F.xxhash64("draft_block_id", "line_no").cast("string"))
+    lines = lines.withColumn("sig", F.when(F.length("sig") >= 8, F.col("sig")).otherwise(own))
     headers = header_signatures(exclusions, sources).withColumn("_header", F.lit(True))
     kind = (
         F.when(F.trim("line") == "", "blank").when(F.col("line").rlike(PAGE_NUMBER), "page_number")
