@@ -21,8 +21,10 @@ def list_acts(acts: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
     if not (0 <= offset and 1 <= limit <= 100):
         raise ValueError("offset from 0, limit from 1 to 100")
     w = Window.partitionBy(R).orderBy(F.try_element_at("title_keys", F.lit(1)), F.desc("year"), "act_id")
-    rows = acts.select(R, "act_id", "official_title", "short_title", "year", "number", "citation", "text_kind", "status", F.row_number().over(w).alias("_n"), F.count(F.lit(1)).over(Window.partitionBy(R)).alias("total"))
-    return rows.where((F.col("_n") > offset) & (F.col("_n") <= offset + limit)).drop("_n")
+    rows = acts.select(R, "act_id", "official_title", "short_title", "year", "number", "citation", "text_kind", "status", F.row_number().over(w).alias("_n"))
+    # The bound on the row number lets each task keep only its first rows before the shuffle.
+    page = rows.where(F.col("_n") <= offset + limit).where(F.col("_n") > offset).drop("_n")
+    return page.join(acts.groupBy(R).agg(F.count(F.lit(1)).alias("total")), R)
 
 
 def act_sources(acts: DataFrame, sources: DataFrame) -> DataFrame:

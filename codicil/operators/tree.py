@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codicil.operators.ranking import ranked
 from codicil.session import durable
 
 R = "release_tag"
@@ -27,12 +28,11 @@ def contents(nodes: DataFrame, hierarchy: DataFrame) -> DataFrame:
     """Outline rows of every act: preorder position, depth, whether there is content and children."""
     rows = ordered(nodes, hierarchy)
     parents = nodes.where("parent_provision_id is not null").select(R, F.col("parent_provision_id").alias("provision_id"), F.lit(True).alias("_kids")).distinct()
-    w = Window.partitionBy(R, "act_id").orderBy("step_path")
-    return rows.join(parents, [R, "provision_id"], "left").select(
-        R, "act_id", "provision_id", "parent_provision_id", "node_type", "display_label", "heading", F.col("sibling_order").alias("order"),
-        F.row_number().over(w).cast("long").alias("position"), F.col("links").alias("depth"),
+    slim = rows.join(parents, [R, "provision_id"], "left").select(
+        R, "act_id", "provision_id", "parent_provision_id", "node_type", "display_label", "heading", F.col("sibling_order").alias("order"), "step_path", F.col("links").alias("depth"),
         (F.coalesce(F.json_array_length(F.get_json_object("canonical_record", "$.content_blocks")), F.lit(0)) > 0).alias("has_content"),
         F.coalesce("_kids", F.lit(False)).alias("has_children"))
+    return ranked(slim, [R, "act_id"], ["step_path"], "position").drop("step_path")
 
 
 def subtree(closure: DataFrame, hierarchy: DataFrame, provision_id: str) -> DataFrame:
@@ -52,8 +52,10 @@ def breadcrumbs(nodes: DataFrame, hierarchy: DataFrame) -> DataFrame:
 
 def previous_next(nodes: DataFrame) -> DataFrame:
     """Neighbours in document order within the act."""
-    w = Window.partitionBy(R, "act_id").orderBy("sequence", "provision_id")
-    return nodes.select(R, "provision_id", F.lag("provision_id").over(w).alias("previous_id"), F.lead("provision_id").over(w).alias("next_id"))
+    at = durable(ranked(nodes.select(R, "act_id", "provision_id", "sequence"), [R, "act_id"], ["sequence", "provision_id"]), "positions")
+    beside = lambda step, name: at.select(R, "act_id", (F.col("rank") + step).alias("rank"), F.col("provision_id").alias(name))
+    out = at.join(beside(1, "previous_id"), [R, "act_id", "rank"], "left").join(beside(-1, "next_id"), [R, "act_id", "rank"], "left")
+    return out.select(R, "provision_id", "previous_id", "next_id")
 
 
 def inherited_heading(nodes: DataFrame, hierarchy: DataFrame) -> DataFrame:

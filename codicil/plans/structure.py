@@ -163,9 +163,9 @@ SELECT scope, node_id, n0 || upper(s0) AS after, num || upper(suf) AS found FROM
   array_to_string(title_keys, '|') AS title_keys, array_to_string(source_ids, '|') AS source_ids FROM acts WHERE {READY}""",
     "project_provisions": f"""SELECT DISTINCT release_tag, provision_id, act_id, sibling_order, node_type, reference_key, array_to_string(list_sort(list_distinct(source_ids)), '|') AS source_ids FROM provisions WHERE {READY}""",
     "token_usage": """WITH e AS (SELECT user_id AS run_id, event_id AS position, sum(CAST(floor(abs(value)) AS BIGINT) + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)
-SELECT run_id, min(position) AS position, min(spent) AS spent FROM e WHERE spent > 500 GROUP BY 1""",
+SELECT run_id, min(position) AS position, CAST(min(spent) AS BIGINT) AS spent FROM e WHERE spent > 500 GROUP BY 1""",
     "promotion_gate": f"""WITH {P_SQL}, b AS (SELECT act_id, count(*) AS n_before FROM p WHERE release_tag = 'corpus-v0.10.0' GROUP BY 1),
-a AS (SELECT act_id, count(*) AS n_after, count_if(text_fidelity = 'machine_extracted') AS n_machine FROM p WHERE release_tag = 'corpus-v0.10.1' GROUP BY 1),
+a AS (SELECT act_id, count(*) AS n_after, count(*) FILTER (WHERE text_fidelity = 'machine_extracted') AS n_machine FROM p WHERE release_tag = 'corpus-v0.10.1' GROUP BY 1),
 l AS (SELECT x.act_id, count(*) AS n_lost FROM p x WHERE release_tag = 'corpus-v0.10.0' AND NOT EXISTS (SELECT 1 FROM p y WHERE y.release_tag = 'corpus-v0.10.1' AND y.act_id = x.act_id AND y.provision_id = x.provision_id) GROUP BY 1),
 j AS (SELECT coalesce(a.act_id, b.act_id) AS act_id, coalesce(n_before, 0) AS n_before, coalesce(n_after, 0) AS n_after, coalesce(n_machine, 0) AS n_machine FROM b FULL JOIN a ON a.act_id = b.act_id)
 SELECT j.*, coalesce(n_lost, 0) AS n_lost, n_machine = 0 AND coalesce(n_lost, 0) = 0 AND n_after >= n_before AS ready FROM j LEFT JOIN l ON l.act_id = j.act_id""",

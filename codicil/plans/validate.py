@@ -107,6 +107,22 @@ def valid_grids(spark: SparkSession, d: str) -> DataFrame:
     return V.all_of(V.cells_beyond(cells), V.cell_overlap(cells), V.header_references(cells), V.blank_with_content(cells, blocks))
 
 
+def valid_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Members, types and closed values of every record of every kind."""
+    from codicil.functions.records import check_records
+
+    kinds = (("act", "acts", "act_id"), ("provision", "provisions", "provision_id"), ("source", "sources", "source_id"), ("citation", "citations", "citation_id"))
+    parts = [check_records(ready(spark, d, t).select("release_tag", k, "canonical_record"), kind, k).withColumn("kind", F.lit(kind)) for kind, t, k in kinds]
+    return V.all_of(*parts).groupBy("kind", "path", "message").agg(F.countDistinct("release_tag", "key").alias("n_records"))
+
+
+def draft_block_issues(spark: SparkSession, d: str) -> DataFrame:
+    from codicil.operators.drafts import block_issues
+    from codicil.session import table
+
+    return block_issues(table(spark, d, "draft_text_blocks"))
+
+
 def content_blocks(spark: SparkSession, d: str) -> DataFrame:
     b = _blocks(spark, d)
     return b.where(F.col("kind").isin(*vocab.TEXT_BLOCK_KINDS)).select("release_tag", "provision_id", "block_id", "kind", F.char_length("text").cast("long").alias("n_chars"))
@@ -158,7 +174,7 @@ def json_field_mirror(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     valid_duplicate_keys, valid_ids, valid_ids_across, valid_vocabularies, valid_references, valid_tree, valid_sequence, valid_reading_order, valid_no_cycle,
-    valid_reference_keys, valid_mirrors, valid_sources_of_act, valid_pages, valid_content_ids, valid_citations, valid_grids, content_blocks, content_characters,
+    valid_reference_keys, valid_mirrors, valid_sources_of_act, valid_pages, valid_content_ids, valid_citations, valid_grids, valid_shapes, draft_block_issues, content_blocks, content_characters,
     source_locations, act_directories, grid_overlap, key_integrity, json_field_mirror,
 )
 
@@ -209,6 +225,10 @@ WHERE CASE WHEN a.parent_provision_id IS NULL THEN 0 ELSE b.depth + 1 END IS NOT
         "SELECT 'not_positive', release_tag, provision_id, concat_ws('/', sibling_order, sequence, depth) FROM p WHERE sibling_order < 1 OR sequence < 1 OR depth < 0"),
     "valid_sequence": f"""WITH {P_SQL}, s AS (SELECT *, coalesce(lag(sequence) OVER (PARTITION BY release_tag, act_id ORDER BY sequence, provision_id), 0) AS before FROM p)
 SELECT {_V.format('sequence', 'provision_id', "concat_ws('/', before, sequence)")} FROM s WHERE sequence <> before + 1""",
+    "draft_block_issues": """SELECT draft_block_id, problem FROM (SELECT draft_block_id, CASE
+  WHEN kind IS NULL OR kind NOT IN ('text', 'quoted_text', 'formula', 'signature', 'list', 'table') THEN 'unknown_kind'
+  WHEN kind NOT IN ('list', 'table') AND trim(coalesce(text, '')) = '' THEN 'blank_text' WHEN pdf_pages IS NULL OR len(pdf_pages) = 0 THEN 'no_pages'
+  WHEN list_min(pdf_pages) < 1 THEN 'not_positive' WHEN pdf_pages <> list_sort(list_distinct(pdf_pages)) THEN 'not_increasing' END AS problem FROM draft_text_blocks) WHERE problem IS NOT NULL""",
     "valid_reference_keys": f"WITH {P_SQL} SELECT {_V.format('reference_key_used_twice', 'act_id', 'reference_key')} FROM p GROUP BY release_tag, act_id, reference_key HAVING count(*) > 1",
     "valid_mirrors": _union(*[
         f"SELECT DISTINCT {_V.format('column_differs_from_record', 'provision_id', repr(c))} FROM provisions WHERE {READY} AND {c} IS DISTINCT FROM (canonical_record ->> '{path}')" for c, path in MIRRORED.items()]),
@@ -216,7 +236,7 @@ SELECT {_V.format('sequence', 'provision_id', "concat_ws('/', before, sequence)"
 n AS (SELECT DISTINCT release_tag, act_id, unnest(source_ids) AS s FROM acts)
 SELECT {_V.format('source_not_of_act', 'provision_id', 's')} FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.release_tag = o.release_tag AND n.act_id = o.act_id AND n.s = o.s)""",
     "content_blocks": f"WITH {_TEXTS} SELECT release_tag, provision_id, block_id, kind, length(text) AS n_chars FROM texts WHERE kind IS NOT NULL",
-    "content_characters": f"""WITH {_TEXTS} SELECT a.release_tag, a.act_id, sum(length(t.text)) AS n_chars
+    "content_characters": f"""WITH {_TEXTS} SELECT a.release_tag, a.act_id, CAST(sum(length(t.text)) AS BIGINT) AS n_chars
 FROM texts t JOIN (SELECT DISTINCT release_tag, provision_id, split_part(provision_id, ':', 1) AS act_id FROM provisions) a USING (release_tag, provision_id) WHERE t.kind IS NOT NULL GROUP BY 1, 2""",
     "valid_content_ids": f"WITH {_TEXTS} SELECT {_V.format('content_id_used_twice', 'provision_id', 'block_id')} FROM ids GROUP BY release_tag, provision_id, block_id HAVING count(*) > 1",
     "valid_citations": f"""WITH {_TEXTS},
