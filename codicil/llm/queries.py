@@ -113,4 +113,25 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_uniform, p5_found, p5_paragraphs, p6_found, p6_leaks, p7_mixture, p7_shares, p7_order, p8_found, p8_languages)}
 
 
-SQL: dict[str, str] = {}
+_READY = "release_tag IN (SELECT release_tag FROM corpus_releases WHERE import_state = 'ready')"
+_ODD = (
+    "[\\x{A0}\\x{AD}\\x{34F}\\x{1680}\\x{2000}-\\x{200F}\\x{2028}-\\x{202F}\\x{205F}-\\x{206F}\\x{2116}\\x{3000}\\x{FB00}-\\x{FB06}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FF01}-\\x{FF5E}\\x{1D400}-\\x{1D7FF}\\x{251}\\x{261}\\x{585}]"
+)
+_WORDS = "regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\\p{L}\\p{N}]+')"
+
+#: p1: the classes of characters that occur in these tables, by regular expression (the operator covers all of Unicode).
+#: p6: all runs of 13 words, joined. DuckDB has no NFKC or case folding; on these texts NFC, lower case and ß suffice.
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH f AS (
+  SELECT release_tag, 'acts' AS table_name, act_id AS record_id, 'official_title' AS field_name, official_title AS text FROM acts
+  UNION ALL SELECT release_tag, 'acts', act_id, 'searchable_text', searchable_text FROM acts
+  UNION ALL SELECT release_tag, 'provisions', provision_id, 'searchable_text', searchable_text FROM provisions),
+w AS (SELECT *, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}]+') AS words FROM f WHERE {_READY} AND text IS NOT NULL)
+SELECT DISTINCT release_tag, table_name, record_id, field_name FROM w
+WHERE nfc_normalize(text) <> text OR regexp_matches(text, '{_ODD}') OR len(list_filter(words, lambda x:
+  regexp_matches(x, '[\\p{{Cyrillic}}\\p{{Greek}}\\p{{Armenian}}]') AND (regexp_matches(x, '\\p{{Latin}}') OR length(x) = 1))) > 0""",
+    "p6_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
