@@ -142,7 +142,30 @@ _N = f"""p AS (SELECT DISTINCT release_tag || '|' || act_id AS scope, provision_
 _ALLOWED = " OR ".join(
     f"(a.node_type = '{k}' AND NOT coalesce({'a.parent_id IS NULL OR ' if None in v else ''}b.node_type IN ({', '.join(repr(x) for x in v if x)}), false))" for k, v in vocab.PARENTS.items())
 
+_BARE = "trim(regexp_replace(trim(display_label, ' ' || chr(9) || chr(10) || chr(13)), '(?i)^(?:PART|CHAPTER|DIVISION|SECTION)\\s+', ''), ' ' || chr(9) || chr(10) || chr(13) || '().:-')"
+_DIGITS = "list_transform(list_reverse(string_split(upper({w}), '')), lambda c: CASE c WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 END)"
+_ROMAN = "list_sum(list_transform({d}, lambda v, i: CASE WHEN i > 1 AND v < list_max({d}[1:i - 1]) THEN -v ELSE v END))"
+_SLUG = "nullif(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '')"
+_SEGMENTS = f"""p AS (SELECT DISTINCT release_tag || '|' || act_id AS scope, provision_id AS node_id, parent_provision_id AS parent_id, sequence AS seq, node_type, display_label, heading, sibling_order AS ord, searchable_text
+  FROM provisions WHERE {READY}),
+b AS (SELECT *, {_BARE} AS bare, sum(CASE WHEN node_type = 'schedule' THEN 1 ELSE 0 END) OVER (PARTITION BY scope ORDER BY seq, node_id ROWS UNBOUNDED PRECEDING) AS schedule_no FROM p),
+r AS (SELECT *, CASE WHEN node_type IN ('part', 'chapter', 'division', 'schedule_part') AND regexp_matches(upper(bare), '^[IVXLCDM]+$') THEN {_DIGITS.format(w='bare')} END AS d FROM b),
+t AS (SELECT *, coalesce(CASE WHEN node_type = 'definition' THEN {_SLUG.format(x="nullif(regexp_extract(searchable_text, '^\\s*[\"“‘'']([^\"”’'']+)[\"”’'']', 1), '')")}
+  ELSE coalesce(CAST({_ROMAN.format(d='d')} AS VARCHAR), {_SLUG.format(x='bare')}) END,
+  CASE WHEN node_type IN ('cross_heading', 'table', 'form') THEN {_SLUG.format(x='heading')} END,
+  CASE WHEN node_type IN ('subsection', 'paragraph', 'subparagraph', 'schedule_paragraph', 'schedule_subparagraph') AND parent_id IS NOT NULL AND ord >= 1 THEN 'unnumbered-' || ord END) AS token FROM r),
+s AS (SELECT *, CASE WHEN node_type = 'schedule' THEN 'schedule-' || schedule_no WHEN node_type IN ({', '.join(repr(x) for x in S.FIXED)}) THEN replace(node_type, '_', '-')
+  WHEN token IS NULL THEN NULL ELSE replace(regexp_replace(node_type, '^schedule_', ''), '_', '-') || '-' || token END AS segment, node_type IN ({', '.join(repr(x) for x in S.ABSOLUTE)}) AS absolute FROM t)"""
+
 SQL = {
+    "unassignable_ids": f"WITH {_SEGMENTS} SELECT scope, node_id, node_type FROM s WHERE segment IS NULL",
+    "assigned_ids": f"""WITH RECURSIVE {_SEGMENTS},
+walk AS (SELECT scope, node_id, seq, segment, segment AS base FROM s WHERE parent_id IS NULL
+  UNION ALL SELECT s.scope, s.node_id, s.seq, s.segment, CASE WHEN s.absolute THEN s.segment ELSE concat_ws('.', w.base, s.segment) END FROM s JOIN walk w ON w.scope = s.scope AND w.node_id = s.parent_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY scope, base ORDER BY seq, node_id) AS k FROM walk WHERE segment IS NOT NULL)
+SELECT scope, node_id, CASE WHEN k = 1 THEN base ELSE base || '~' || k END AS local_id FROM n""",
+    "roman_numbers": f"""WITH w AS (SELECT DISTINCT regexp_extract(display_label, '([ivxlcdmIVXLCDM]+)', 1) AS word FROM provisions WHERE {READY}), d AS (SELECT word, {_DIGITS.format(w='word')} AS d FROM w WHERE word <> '')
+SELECT word, CAST({_ROMAN.format(d='d')} AS BIGINT) AS value FROM d""",
     "parent_matrix": f"WITH {_N} SELECT a.scope, a.node_id, a.node_type, coalesce(b.node_type, '') AS parent_type FROM p a LEFT JOIN p b ON b.scope = a.scope AND b.node_id = a.parent_id WHERE {_ALLOWED}",
     "mixed_children": f"""WITH {_N} SELECT scope, parent_id AS node_id FROM p x WHERE node_type IN ('subsection', 'paragraph')
   AND EXISTS (SELECT 1 FROM p s WHERE s.scope = x.scope AND s.node_id = x.parent_id AND s.node_type = 'section') GROUP BY 1, 2 HAVING count(DISTINCT node_type) = 2""",

@@ -10,7 +10,8 @@ from codicil.functions.blocks import flatten_blocks
 from codicil.operators import hierarchy as H
 from codicil.operators import tree
 from codicil.operators import validate as V
-from codicil.plans.common import NODE, READY, P_SQL, clean, provision_hierarchy, ready
+from codicil.plans.common import NODE, P_SQL, READY, clean, provision_hierarchy, ready
+from codicil.plans.tree import _CONTENTS
 
 MIRRORED = {"schema_version": "$.schema_version", "parent_provision_id": "$.parent_provision_id", "node_type": "$.node_type", "display_label": "$.display_label", "heading": "$.heading", "text_fidelity": "$.text_fidelity"}
 
@@ -229,6 +230,16 @@ SELECT {_V.format('sequence', 'provision_id', "concat_ws('/', before, sequence)"
   WHEN kind IS NULL OR kind NOT IN ('text', 'quoted_text', 'formula', 'signature', 'list', 'table') THEN 'unknown_kind'
   WHEN kind NOT IN ('list', 'table') AND trim(coalesce(text, '')) = '' THEN 'blank_text' WHEN pdf_pages IS NULL OR len(pdf_pages) = 0 THEN 'no_pages'
   WHEN list_min(pdf_pages) < 1 THEN 'not_positive' WHEN pdf_pages <> list_sort(list_distinct(pdf_pages)) THEN 'not_increasing' END AS problem FROM draft_text_blocks) WHERE problem IS NOT NULL""",
+    "valid_reading_order": f"""WITH RECURSIVE {_CONTENTS},
+r AS (SELECT c.release_tag, c.provision_id, c.position, row_number() OVER (PARTITION BY c.release_tag, c.act_id ORDER BY p.sequence, c.provision_id) AS rank
+  FROM contents c JOIN p ON p.release_tag = c.release_tag AND p.provision_id = c.provision_id)
+SELECT {_V.format('reading_order', 'provision_id', "concat_ws('/', rank, position)")} FROM r WHERE rank <> position""",
+    "valid_pages": f"""WITH rec AS (SELECT release_tag, provision_id, min(canonical_record) AS j FROM provisions WHERE {READY} GROUP BY 1, 2),
+n AS (SELECT r.release_tag, r.provision_id, t.path AS node_path, t.key, t.atom ->> '$' AS v FROM rec r, json_tree(r.j) t WHERE starts_with(t.fullkey, '$.content_blocks')),
+s AS (SELECT DISTINCT a.release_tag, a.provision_id, a.v AS source_id, CAST(b.v AS INT) AS page FROM n a
+  JOIN n b ON b.release_tag = a.release_tag AND b.provision_id = a.provision_id AND b.node_path = a.node_path AND b.key = 'pdf_page' WHERE a.key = 'source_id'),
+c AS (SELECT release_tag, source_id, min(page_count) AS page_count FROM sources GROUP BY 1, 2)
+SELECT {_V.format('page_beyond_source', 'provision_id', "concat_ws('/', page, page_count)")} FROM s JOIN c USING (release_tag, source_id) WHERE page < 1 OR page > page_count""",
     "valid_reference_keys": f"WITH {P_SQL} SELECT {_V.format('reference_key_used_twice', 'act_id', 'reference_key')} FROM p GROUP BY release_tag, act_id, reference_key HAVING count(*) > 1",
     "valid_mirrors": _union(*[
         f"SELECT DISTINCT {_V.format('column_differs_from_record', 'provision_id', repr(c))} FROM provisions WHERE {READY} AND {c} IS DISTINCT FROM (canonical_record ->> '{path}')" for c, path in MIRRORED.items()]),

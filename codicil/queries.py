@@ -183,3 +183,5 @@ FROM found GROUP BY ALL""",
 }
 for _m in MODULES:
     SQL |= _m.SQL
+SQL["valid_no_cycle"] = f"""WITH RECURSIVE {_NODES}
+SELECT 'parent_cycle' AS rule, release_tag, provision_id AS key, status AS detail FROM status WHERE status IN ('on_cycle', 'cycle')"""
