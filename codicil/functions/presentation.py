@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from codicil.functions.textkeys import json_script_safe
 from codicil.sources.sinks import json_text
 
-#: Node types that hold others and are listed, not read through.
+#: Node types that hold others and are listed, not read through.
 CONTAINERS = ("part", "chapter", "division", "schedule", "schedule_part", "arrangement")
-#: Legal force in structured data; spent and unknown say nothing.
+#: Legal force in structured data; spent and unknown say nothing.
 FORCE = {"in_force": "InForce", "repealed": "NotInForce", "not_yet_commenced": "NotInForce", "mixed": "PartiallyInForce"}
 
 

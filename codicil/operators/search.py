@@ -24,7 +24,7 @@ from codicil.functions.stemming import STOP_WORDS, stem
 from codicil.functions.textkeys import excerpt, search_key_py
 
 R = "release_tag"
-#: Order of exact matches.
+#: Order of exact matches.
 PRIORITY = {"exact_act_id": 1, "exact_provision_id": 1, "exact_act_citation": 2, "exact_act_title": 3, "exact_act_alias": 4, "exact_provision_reference": 5, "lexical": 6}
 _TOKEN = re.compile(r"[^\W_]+")
 

@@ -17,7 +17,7 @@ from codicil.session import durable
 
 # Permanent ids.
 
-#: Node types whose ids are fixed, and those that start anew instead of extending their parent's id.
+#: Node types whose ids are fixed, and those that start anew instead of extending their parent's id.
 FIXED = ("document_title", "long_title", "arrangement", "preamble", "enacting_formula", "authentication", "explanatory_note")
 ABSOLUTE = ("part", "chapter", "division", "section", "schedule", *FIXED)
 UNNUMBERED = ("subsection", "paragraph", "subparagraph", "schedule_paragraph", "schedule_subparagraph")

@@ -7,6 +7,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,7 @@ def bad_lines(lines: DataFrame) -> DataFrame:
     return lines.where("_corrupt_record is not null").select("file", "line", F.left("record", F.lit(120)).alias("excerpt"))
 
 
-#: The files of a corpus: one list of sources, and three files in each act's folder.
+#: The files of a corpus: one list of sources, and three files in each act's folder.
 EXPECTED = ("sources.jsonl",)
 PER_ACT = ("act.json", "provisions.jsonl", "citations.jsonl")
 
@@ -50,7 +51,9 @@ PER_ACT = ("act.json", "provisions.jsonl", "citations.jsonl")
 def layout(spark: SparkSession, root: str) -> DataFrame:
     """Missing and unexpected files below ``root``: kind, path (relative)."""
     base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    # The listing, not the rows, since empty files have none; a release has three files for each act.
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).inputFiles()
+    files = spark.createDataFrame([(unquote(n),) for n in names], "path string")
     have = files.select(F.regexp_replace("path", "^.*?" + re.escape(base), "").alias("path"))
     acts = have.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("dir")).where("dir <> ''").distinct()
     want = acts.select(F.explode(F.array(*[F.concat("dir", F.lit("/" + f)) for f in PER_ACT])).alias("path"))
@@ -168,7 +171,7 @@ def fetch(url: str, opener: Callable[[str], tuple[int, Iterator[bytes]]], sleep:
     raise AssertionError
 
 
-#: Members of an acquisition request.
+#: Members of an acquisition request.
 REQUEST_FIELDS = ("url", "document_title", "document_publisher", "language", "source_class")
 REQUEST_OPTIONAL = ("publication", "provider_name", "redistribution", "document_notes", "notes")
 

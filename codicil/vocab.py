@@ -24,7 +24,7 @@ ISSUE_CODES = ("missing_source", "unsupported_output", "duplicate_source_claim",
 EXCLUSION_REASONS = ("printed_page_number", "recurring_header", "editorial_annotation")
 RELEASE_ACTIONS = ("import_and_activate", "activate_existing", "noop", "blocked")
 
-#: Forms of identifiers.
+#: Forms of identifiers (fixed values).
 ID_PATTERNS = {
     "act_id": "^[a-z]{2}(?:-[a-z0-9]+)+-[0-9]{4}-[a-z0-9][a-z0-9-]*$",
     "provision_id": "^[a-z]{2}(?:-[a-z0-9]+)+-[0-9]{4}-[a-z0-9][a-z0-9-]*:[a-z0-9][a-z0-9.-]*(?:~[0-9]+)?$",
@@ -37,7 +37,7 @@ ID_PATTERNS = {
     "unit_id": "^[a-z0-9][a-z0-9-]{0,63}$",
 }
 
-#: Which node types may own a node of a type (None: it may be a root).
+#: Which node types may own a node of a type (None: it may be a root).
 PARENTS = {
     "section": (None, "part", "chapter", "division", "cross_heading"),
     "subsection": ("section",),
