@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codicil.llm.batches import by_size
+
 LANGUAGES = ("eng", "fra", "hau", "yor", "por", "swa", "spa", "deu")
 #: Notations of language labels (ISO 639-1, 639-2/B and 639-3 codes, names in English and in the language).
 NOTATIONS = {
@@ -189,8 +191,7 @@ def _classify(column: str, models, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = models.value
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                batch = big.slice(at, 500)
+            for batch in by_size(big, column):
                 texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
                 pieces, doc, number, size = [], [], [], []
                 for i, text in enumerate(texts):

@@ -34,6 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codicil.llm.batches import by_size
+
 WORD = re.compile(r"[^\W_]+")
 BLOCKS, BLOCK_BITS, MAX_RADIUS = 4, 16, 2
 PAIRS = tuple(combinations(range(BLOCKS), BLOCKS - MAX_RADIUS))
@@ -195,14 +197,23 @@ def shingle_similarity(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     return both / (2 * n - both)
 
 
+def _candidates(ix: ItemIndex, flat: np.ndarray, radius: int, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate windows of a run of words, block by block, so that memory does not grow with the text."""
+    left, right = [], []
+    for start in range(0, max(0, len(flat) - ix.width + 1), step):
+        w, i = ix.candidates(simhash(_mix(flat[start : start + step + ix.width - 1]), ix.width), radius)
+        left.append(w + start)
+        right.append(i)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _match(id_column: str, text_column: str, index, radius: int, similarity: float, shingle: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: ItemIndex = index.value
         width, hashes = ix.width, WordHashes()
         span = np.arange(width)
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
+            for batch in by_size(big, text_column):
                 ids = batch.column(batch.schema.get_field_index(id_column)).to_pylist()
                 docs = [hashes.of(words(t)) if t else np.zeros(0, np.uint64) for t in batch.column(batch.schema.get_field_index(text_column)).to_pylist()]
                 size = np.array([len(d) for d in docs])
@@ -210,8 +221,7 @@ def _match(id_column: str, text_column: str, index, radius: int, similarity: flo
                     continue
                 flat = np.concatenate(docs)
                 doc = np.repeat(np.arange(len(docs)), size)
-                prints = simhash(_mix(flat), width)
-                w, i = ix.candidates(prints, radius)
+                w, i = _candidates(ix, flat, radius)
                 inside = doc[w] == doc[w + width - 1]  # a window must not reach into the next document
                 w, i = w[inside], i[inside]
                 if not len(w):
