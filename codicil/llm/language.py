@@ -226,16 +226,19 @@ def _classify(column: str, models, keep: list[str]):
 
 def sample_labelled(df: DataFrame, text: str, label: str, per_label: int) -> tuple[list[str], list[str]]:
     """At most ``per_label`` documents for each language, by hash of the text, and their labels."""
-    kinds = {r[0]: label_language(r[0]) for r in df.select(label).distinct().limit(100_000).collect()}
-    n_by = {}
-    known = [(k, v) for k, v in kinds.items() if v in LANGUAGES]
+    counts = df.groupBy(label).count().limit(100_001).collect()  # reads the labels only
+    if len(counts) > 100_000:
+        raise ValueError("more than 100,000 notations of labels")
+    known, n_by = [], {}
+    for notation, n in counts:
+        lang = label_language(notation)
+        if lang in LANGUAGES:
+            known.append((notation, lang))
+            n_by[lang] = n_by.get(lang, 0) + n
     if not known:
         raise ValueError("no labelled documents to fit on")
-    spark = df.sparkSession
-    names = F.broadcast(spark.createDataFrame(known, "_label string, _lang string"))  # at most 100,000 notations
+    names = F.broadcast(df.sparkSession.createDataFrame(known, "_label string, _lang string"))  # at most 100,000 notations
     labelled = df.join(names, df[label] == F.col("_label")).select(F.col(text).alias("t"), "_lang", F.xxhash64(text).alias("h")).where("t is not null")
-    for lang, n in labelled.groupBy("_lang").count().collect():
-        n_by[lang] = n
     keep = F.lit(False)
     for lang, n in n_by.items():
         share = min(1.0, 2.0 * per_label / n)
