@@ -242,9 +242,10 @@ def sample_labelled(df: DataFrame, text: str, label: str, per_label: int) -> tup
     keep = F.lit(False)
     for lang, n in n_by.items():
         share = min(1.0, 2.0 * per_label / n)
-        keep = keep | ((F.col("_lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)))
+        keep = keep | ((F.col("_lang") == lang) & (F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40))))
     w = Window.partitionBy("_lang").orderBy("h", "t")
-    rows = labelled.where(keep).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_label).select("t", "_lang").collect()
+    # Copies of one text count once, so a text with a third of all rows neither floods the sample nor a task.
+    rows = labelled.where(keep).dropDuplicates(["_lang", "h"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_label).select("t", "_lang").collect()
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
