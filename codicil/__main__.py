@@ -1,8 +1,9 @@
-"""python -m codicil run QUERY DIR [--out PATH] | publish CORPUS STORE TAG COMMIT [--execute] | search STORE WORDS"""
+"""python -m codicil run QUERY DIR [--queries MODULE] [--out PATH] | publish CORPUS STORE TAG COMMIT [--execute] | search STORE WORDS"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 
 
@@ -13,6 +14,7 @@ def main() -> None:
     run.add_argument("query")
     run.add_argument("dir")
     run.add_argument("--out")
+    run.add_argument("--queries", default="codicil.queries", help="module that registers the query")
     publish = sub.add_parser("publish", help="publish a corpus folder as a release; without --execute only say what would happen")
     for a in ("corpus", "store", "tag", "commit"):
         publish.add_argument(a)
@@ -29,16 +31,7 @@ def main() -> None:
 
     spark = get_spark()
     if args.command == "run":
-        from codicil import queries
-
-        known = queries.queries()
-        try:
-            from codicil.llm import queries as more
-
-            known |= more.queries()
-        except ImportError:
-            pass
-        df = known[args.query](spark, args.dir)
+        df = importlib.import_module(args.queries).queries()[args.query](spark, args.dir)
         df.write.parquet(args.out) if args.out else df.show(50, truncate=100)
     elif args.command == "publish":
         store, records = J.Store(spark, args.store), load_corpus(spark, args.corpus, args.tag)
