@@ -208,6 +208,8 @@ def build_hierarchy(
     ports = links.select("s", "v", F.col("parent").alias("port"))
     merged = links.drop("parent")
     for i in range(1, len(keys)):
+        if merged.where(F.col("status") == OPEN).limit(1).count() == 0:
+            break  # most links lead straight to a root
         merged = _level(merged, rows, f"l{i}", max_bucket)
     merged = _close(merged, max_bucket)
 
