@@ -9,6 +9,13 @@ pairs of blocks are looked up exactly. Candidate windows are then verified by
 the exact similarity of their weighted word shingles; where a run of identical
 words is asked for, the words themselves are compared last.
 
+Equal windows have equal fingerprints, but windows of a lower similarity may lie
+further apart than any radius. Where they are asked for, candidates also come
+from an index of the items' word shingles: two windows of n shingles that are as
+similar as asked for share at least m of them, so of any n - m + 1 shingles of a
+document's window (the rarest are taken) one is in the item's. This finds every
+pair of windows with the similarity.
+
 The items are the stated query set: their index is built in blocks of at most
 ``block_windows`` windows, so what is sent to the executors is bounded, and each
 block is matched against all documents in one pass without a shuffle. Documents
@@ -43,6 +50,8 @@ _FILTER_BITS = 22
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 _TOP = np.uint64(0x8080808080808080)
 _GATHER = np.uint64(0x0102040810204080)
+#: Places of shared shingles that are expanded and verified at a time.
+_PLACES = 20_000
 
 
 def words(text: str) -> list[str]:
@@ -108,10 +117,27 @@ def _slot(key: np.ndarray) -> np.ndarray:
         return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _FILTER_BITS)
 
 
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words along the last axis."""
+    n = h.shape[-1] - size + 1
+    if n <= 0:
+        return np.zeros((*h.shape[:-1], 0), np.uint64)
+    out, mixed = np.zeros((*h.shape[:-1], n), np.uint64), _mix(h)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + mixed[..., k : k + n]
+    return out
+
+
+def shared_shingles(similarity: float, n: int) -> int:
+    """How many of their ``n`` shingles two windows of at least this similarity share."""
+    return next(m for m in range(n + 1) if m / (2 * n - m) >= similarity)
+
+
 class ItemIndex:
-    """Windows of a block of items: word hashes, fingerprints, and a table for each pair of blocks."""
+    """Windows of a block of items: word hashes, fingerprints, and a table for each pair of blocks; with ``shingle``, also one of the places of each shingle."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
+    def __init__(self, items: list[tuple[int, str]], width: int, shingle: int = 0):
         hashes, owner, start = WordHashes(), [], []
         parts, at = [], 0
         for item, text in items:
@@ -122,7 +148,7 @@ class ItemIndex:
                 owner.append(np.full(n, item, np.int64))
                 start.append(at + np.arange(n))
                 at += len(h)
-        self.width = width
+        self.width, self.shingle = width, shingle
         self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         self.start = np.concatenate(start) if start else np.zeros(0, np.int64)
@@ -131,7 +157,7 @@ class ItemIndex:
 
     def __getstate__(self) -> dict:
         """What is sent: the windows. The tables are made again where they are used."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("order", "sorted", "filters")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("order", "sorted", "filters", "known", "first", "places", "known_filter", "window_at")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -146,6 +172,21 @@ class ItemIndex:
             seen = np.zeros(1 << _FILTER_BITS, bool)
             seen[_slot(key)] = True
             self.filters.append(seen)
+        if self.shingle:
+            # The window that starts at a place; an item's last places start none, so that no shingle leads to the item before.
+            self.window_at = np.full(len(self.words), -1, np.int64)
+            self.window_at[self.start] = np.arange(len(self.start))
+            inside = np.zeros(len(self.words) + 1, np.int64)
+            np.add.at(inside, self.start, 1)
+            np.add.at(inside, self.start + self.width - self.shingle + 1, -1)
+            places = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+            at = shingles(self.words, self.shingle)[places]
+            order = np.argsort(at, kind="stable")
+            self.places = places[order]
+            self.known, first = np.unique(at[order], return_index=True)
+            self.first = np.append(first, len(places))
+            self.known_filter = np.zeros(1 << _FILTER_BITS, bool)
+            self.known_filter[self.known >> np.uint64(64 - _FILTER_BITS)] = True
 
     def candidates(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item window) pairs with fingerprints within ``radius``."""
@@ -169,6 +210,32 @@ class ItemIndex:
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
+    def sharing(self, flat: np.ndarray, need: int, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item window) pairs, in parts, among them all that share ``need`` shingles or more; ``inside``: the windows that count."""
+        n = self.width - self.shingle + 1
+        s = shingles(flat, self.shingle)
+        at = np.flatnonzero(self.known_filter[s >> np.uint64(64 - _FILTER_BITS)])
+        k = np.searchsorted(self.known, s[at])
+        k[k == len(self.known)] = 0
+        hit = self.known[k] == s[at] if len(self.known) else np.zeros(0, bool)
+        at, k = at[hit], k[hit]
+        count, first = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+        count[at], first[at] = self.first[k + 1] - self.first[k], self.first[k]
+        total = np.concatenate([[0], np.cumsum(count > 0)])
+        w = np.flatnonzero((total[n:] - total[:-n] >= need) & inside)
+        for part in np.array_split(w, len(w) // _PLACES + 1):
+            q = part[:, None] + np.arange(n)
+            rare = np.take_along_axis(q, np.argsort(count[q], axis=1, kind="stable")[:, : n - need + 1], 1).ravel()
+            of, ends = np.repeat(part, n - need + 1), np.cumsum(count[rare])
+            for lo in range(0, int(ends[-1]) if len(ends) else 0, _PLACES):
+                x = np.arange(lo, min(lo + _PLACES, ends[-1]))
+                row = np.searchsorted(ends, x, "right")
+                place = self.places[first[rare[row]] + x - (ends[row] - count[rare[row]])]
+                start = place[:, None] - np.arange(n)
+                i = np.where(start >= 0, self.window_at[start], -1)
+                keep = i >= 0
+                yield np.repeat(of[row], n).reshape(-1, n)[keep], i[keep]
+
 
 def shingle_similarity(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     """Weighted Jaccard similarity of the word shingles of windows, row by row.
@@ -179,15 +246,7 @@ def shingle_similarity(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     if not len(a):
         return np.zeros(0)
 
-    def shingles(x):
-        n = x.shape[1] - size + 1
-        out = np.zeros((len(x), n), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(size):
-                out = out * np.uint64(0x9E3779B97F4A7C15) + _mix(x[:, k : k + n])
-        return out
-
-    sa, sb = shingles(a), shingles(b)
+    sa, sb = shingles(a, size), shingles(b, size)
     n = sa.shape[1]
     # Occurrence number of each shingle in its window makes the multiset a set.
     occurrence = lambda s: np.stack([(s[:, :k] == s[:, k : k + 1]).sum(1) for k in range(n)], 1).astype(np.uint64)
@@ -197,20 +256,24 @@ def shingle_similarity(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     return both / (2 * n - both)
 
 
-def _candidates(ix: ItemIndex, flat: np.ndarray, radius: int, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(ix: ItemIndex, flat: np.ndarray, doc: np.ndarray, radius: int, need: int, step: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate windows of a run of words, block by block, so that memory does not grow with the text."""
-    left, right = [], []
     for start in range(0, max(0, len(flat) - ix.width + 1), step):
-        w, i = ix.candidates(simhash(_mix(flat[start : start + step + ix.width - 1]), ix.width), radius)
-        left.append(w + start)
-        right.append(i)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        block = flat[start : start + step + ix.width - 1]
+        of = doc[start : start + len(block)]
+        inside = of[: len(of) - ix.width + 1] == of[ix.width - 1 :]  # a window must not reach into the next document
+        w, i = ix.candidates(simhash(_mix(block), ix.width), radius)
+        yield w[inside[w]] + start, i[inside[w]]
+        if ix.shingle:
+            for w, i in ix.sharing(block, need, inside):
+                yield w + start, i
 
 
 def _match(id_column: str, text_column: str, index, radius: int, similarity: float, shingle: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: ItemIndex = index.value
         width, hashes = ix.width, WordHashes()
+        need = shared_shingles(similarity, width - shingle + 1)
         span = np.arange(width)
         for big in batches:
             for batch in by_size(big, text_column):
@@ -221,22 +284,22 @@ def _match(id_column: str, text_column: str, index, radius: int, similarity: flo
                     continue
                 flat = np.concatenate(docs)
                 doc = np.repeat(np.arange(len(docs)), size)
-                w, i = _candidates(ix, flat, radius)
-                inside = doc[w] == doc[w + width - 1]  # a window must not reach into the next document
-                w, i = w[inside], i[inside]
-                if not len(w):
-                    continue
-                a, b = flat[w[:, None] + span], ix.words[ix.start[i][:, None] + span]
-                sim = shingle_similarity(a, b, shingle)
-                keep = sim >= similarity
-                if exact:
-                    keep &= (a == b).all(1)
-                w, i, sim = w[keep], i[keep], sim[keep]
                 found: dict = {}
-                for d, item, pos, s in zip(doc[w].tolist(), ix.owner[i].tolist(), w.tolist(), sim.tolist()):
-                    x = found.setdefault((d, item), [set(), 0.0])
-                    x[0].add(pos)
-                    x[1] = max(x[1], s)
+                for w, i in _candidates(ix, flat, doc, radius, need):
+                    if not len(w):
+                        continue
+                    a, b = flat[w[:, None] + span], ix.words[ix.start[i][:, None] + span]
+                    sim = shingle_similarity(a, b, shingle)
+                    keep = sim >= similarity
+                    if exact:
+                        keep &= (a == b).all(1)
+                    w, i, sim = w[keep], i[keep], sim[keep]
+                    for d, item, pos, s in zip(doc[w].tolist(), ix.owner[i].tolist(), w.tolist(), sim.tolist()):
+                        x = found.setdefault((d, item), [set(), 0.0])
+                        x[0].add(pos)
+                        x[1] = max(x[1], s)
+                if not found:
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[d] for d, _ in found], batch.schema.field(id_column).type), pa.array([m for _, m in found], pa.int64()),
                      pa.array([len(x[0]) for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.float64())],
@@ -265,15 +328,16 @@ def leaked_items(
     """doc_id, item_id, number of matching windows and best similarity, of all pairs with a match.
 
     ``radius`` up to 2 between fingerprints; ``similarity`` of the weighted
-    ``shingle``-word shingles of two windows; ``exact``: the same words in order.
+    ``shingle``-word shingles of two windows, whatever their fingerprints;
+    ``exact``: the same words in order, for which fingerprints suffice.
     """
-    if not 0 <= radius <= MAX_RADIUS or not 1 <= width <= 127 or width % 2 == 0 or not 1 <= shingle <= width:
-        raise ValueError("radius 0 to 2, odd width up to 127, shingle up to the width")
+    if not 0 <= radius <= MAX_RADIUS or not 1 <= width <= 127 or width % 2 == 0 or not 1 <= shingle <= width or not 0 < similarity <= 1:
+        raise ValueError("radius 0 to 2, odd width up to 127, shingle up to the width, similarity above 0 and up to 1")
     spark = docs.sparkSession
     schema = f"`{doc_id}` {dict(docs.dtypes)[doc_id]}, item_id long, n_windows long, similarity double"
     out = None
     for block in item_blocks(items, item_id, item_text, width, block_windows):
-        index = spark.sparkContext.broadcast(ItemIndex(block, width))
+        index = spark.sparkContext.broadcast(ItemIndex(block, width, 0 if exact else shingle))
         part = docs.select(doc_id, text).mapInArrow(_match(doc_id, text, index, radius, similarity, shingle, exact), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out

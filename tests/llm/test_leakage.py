@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -89,3 +90,39 @@ def test_empty_tables(spark):
     assert leaked_items(d, "doc_id", "text", m, "item_id", "text").first()["similarity"] == 1
     with pytest.raises(ValueError):
         leaked_items(d, "doc_id", "text", m, "item_id", "text", radius=9)
+
+
+def near(docs, items, similarity, width=13, size=5):
+    """Number of windows and best similarity of all pairs, by comparing every two windows."""
+    def windows(t):
+        w = words(t) if t else []
+        return [Counter(tuple(w[p:p + size]) for p in range(k, k + width - size + 1)) for k in range(len(w) - width + 1)]
+
+    out, n = {}, width - size + 1
+    for m, t in items:
+        theirs = windows(t)
+        for d, u in docs:
+            best = [max(((c := (a & b).total()) / (2 * n - c) for b in theirs), default=0) for a in windows(u)]
+            if got := [x for x in best if x >= similarity]:
+                out[d, m] = (len(got), max(got))
+    return out
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_similar_windows_equal_brute_force(spark, similarity):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"t{rng.randrange(60)}" for _ in range(rng.choice([12, 13, 14, 25])))) for i in range(12)]
+    items += [(20, "a " * 15), (21, items[1][1]), (22, None), (23, "a b " * 8)]
+    docs = []
+    for i in range(40):
+        src = words(items[rng.randrange(12)][1])
+        src[rng.choice([0, -1, len(src) // 2])] = "changed"  # an edge word leaves 8 of 10 shingles, one amid the window less
+        w = [f"u{rng.randrange(30)}" for _ in range(rng.randrange(20))]
+        docs.append((i, " ".join(w[:5] + src + w[5:])))
+    docs += [(50, "a " * 14), (51, "b a " * 9), (52, items[1][1] + " " + items[2][1]), (53, None), (54, "")]
+    d, m = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = near(docs, items, similarity)
+    assert any(s < 1 for _, s in want.values())
+    for block in (400_000, 20):
+        got = leaked_items(d, "doc_id", "text", m, "item_id", "text", radius=2, similarity=similarity, block_windows=block).collect()
+        assert {(r["doc_id"], r["item_id"]): (r["n_windows"], r["similarity"]) for r in got} == want and len(got) == len(want)
