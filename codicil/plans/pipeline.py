@@ -25,6 +25,10 @@ from codicil.sources.corpus import fetch, load_artifact, load_request
 from codicil.sources.sinks import append_event, json_bytes, jsonl_bytes, write_artifact, write_atomically, write_candidate
 
 
+#: Pages of a document, at most.
+MAX_PAGES = 2000
+
+
 def now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -53,7 +57,7 @@ def acquire(text: str, root: str, opener: Callable, count_pages: Callable[[bytes
     try:
         content, digest = fetch(request["url"], opener, sleep)
         pages = count_pages(content)
-        if not 1 <= pages <= 2000:
+        if not 1 <= pages <= MAX_PAGES:
             raise PipelineError("unusable_pdf", f"{pages} pages")
         record = source_candidate(request, digest, len(content), pages, request["url"])
         bad = check_record("source", json.dumps(record))
@@ -73,11 +77,19 @@ def acquire(text: str, root: str, opener: Callable, count_pages: Callable[[bytes
     return write_artifact(root, relative, receipt)
 
 
+def _page_rows(pages: DataFrame) -> list[dict]:
+    """The pages of one document in order; an error where there are more than a document may have."""
+    rows = [r.asDict() for r in pages.orderBy("pdf_page").limit(MAX_PAGES + 1).collect()]
+    if len(rows) > MAX_PAGES:
+        raise PipelineError("unusable_pdf", f"more than {MAX_PAGES} pages")
+    return rows
+
+
 def classify(pages: DataFrame, source_id: str, root: str, receipt: str) -> dict:
     """Report of the pages of one document: evidence, routes, summary, thresholds, warnings."""
     load_artifact(root, receipt, "acquire", source_id)
     routed = P.routed(P.text_evidence(pages.where(F.col("document") == source_id)))
-    rows = [r.asDict() for r in routed.drop("text").orderBy("pdf_page").limit(2000).collect()]  # documents have at most 2,000 pages
+    rows = _page_rows(routed.drop("text"))
     s = P.summary(routed).first()
     review = sorted(r["pdf_page"] for r in P.review_pages(routed).collect())
     report = {
@@ -95,7 +107,7 @@ def extract(pages: DataFrame, ocr: DataFrame, source_id: str, root: str, classif
     got = P.merge_extraction(routed, ocr)
     if got.where("missing").limit(1).count() or P.unexpected_ocr(routed, ocr.where(F.col("document") == source_id)).limit(1).count():
         raise PipelineError("ocr_pages_differ", source_id)
-    rows = [r.asDict() for r in got.drop("missing").orderBy("pdf_page").limit(2000).collect()]
+    rows = _page_rows(got.drop("missing"))
     methods = {m: sum(r["method"] == m for r in rows) for m in ("native", "ocr", "skip")}
     result = {"stage": "extract", "status": "success", "source_id": source_id, "input_classification": classification, "pages": rows, "summary": {"page_methods": methods, "text_characters": sum(r["text_characters"] for r in rows)}}
     return write_artifact(root, f"extractions/{source_id[7:19]}-{_stamp()}.json", result)

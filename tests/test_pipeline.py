@@ -31,6 +31,20 @@ def test_acquire_classify_extract(spark, tmp_path):
             L.extract(pages, bad, sid, root, report["path"])
 
 
+def test_pages_beyond_the_bound_are_refused_not_dropped(spark, tmp_path):
+    root = str(tmp_path)
+    receipt = L.acquire(json.dumps(REQUEST), root, lambda url: (200, iter([b"%PDF-1.7 body"])), lambda b: 3, execute=True)
+    sid = receipt["source_id"]
+    pages = lambda n: spark.range(1, n + 1).selectExpr(f"'{sid}' AS document", "int(id) AS pdf_page", "repeat('w', 150) AS text")
+    ocr = spark.createDataFrame([], "document string, pdf_page int, text string")
+    report = L.classify(pages(2000), sid, root, receipt["path"])
+    assert len(report["pages"]) == len(L.extract(pages(2000), ocr, sid, root, report["path"])["pages"]) == 2000
+    for stage in (lambda: L.classify(pages(2001), sid, root, receipt["path"]), lambda: L.extract(pages(2001), ocr, sid, root, report["path"])):
+        with pytest.raises(PipelineError, match="more than 2000 pages"):
+            stage()
+    assert len(os.listdir(os.path.join(root, "classifications"))) == len(os.listdir(os.path.join(root, "extractions"))) == 1
+
+
 def drafts():
     rows = []
     for p in X.provisions():
