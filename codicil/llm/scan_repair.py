@@ -14,8 +14,9 @@
    group, a rare word that one confusion leads to a frequent form takes that
    form: at once where the form is far more frequent, else where its neighbours
    support the form and not the word. Words too rare to have a frequent form
-   (names) are compared by their letter sequences: what no other word contains
-   is misread where one confusion leads to sequences that many words contain.
+   (names) are compared by their letters: a model of the letters of all other
+   words tells how much likelier a spelling is that one confusion
+   leads to, so that the test goes by the vocabulary, whatever its size.
 4. Paragraphs. Text lines are joined again by window order, split words in one
    piece and misread words in their chosen form.
 
@@ -26,9 +27,11 @@ no audited headers and no source titles no line is a running header.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +62,8 @@ PAGE_NUMBER = r"^\s*(?:[-–—]\s*[\dlIO]{1,5}\s*[-–—]|\[\s*[\dlIO]{1,5}\s*
 _GLYPHS = r"(?:[\p{L}\p{M}\p{N}|]|!(?=[\p{L}|]))+"
 WORD = rf"{_GLYPHS}(?:['’-]{_GLYPHS})*"
 BROKEN = r"[\p{L}\p{N}|!][-­¬‐‑‒–]\s*$"
-_GRAM, _GRAM_BITS = 4, 18
+#: Letters that the model looks at, bits of its tables, and by how much (natural logarithm) a spelling must be likelier than a word, for each time that the word occurs.
+_GRAM, _GRAM_BITS, LIKELIER = 4, 20, 8.0
 
 
 def skeleton(word: str) -> str:
@@ -101,9 +105,42 @@ def variants(word: str) -> set[str]:
     return out
 
 
-def _gram_slots(word: str) -> list[int]:
-    w = f"^{word.lower()}$"
-    return [zlib.crc32(w[i : i + _GRAM].encode()) >> (32 - _GRAM_BITS) for i in range(max(1, len(w) - _GRAM + 1))]
+def _grams(word: str) -> list[str]:
+    """Each letter with up to three before it: for each letter the sequences from the longest to the letter alone."""
+    w = "^" * (_GRAM - 1) + word.lower() + "$"
+    return [w[i - k : i + 1] for i in range(_GRAM - 1, len(w)) for k in range(_GRAM - 1, -1, -1)]
+
+
+def _slot(gram: str) -> int:
+    return zlib.crc32(gram.encode()) >> (32 - _GRAM_BITS)
+
+
+def letter_score(word: str, model: np.ndarray, less: tuple[Counter, Counter, Counter]) -> float:
+    """Log-likelihood of a word by its letters (Witten-Bell), without the counts ``less``.
+
+    model: by slot, how often a sequence occurs, how often its start does, and how many letters follow the start.
+    """
+    out, p = 0.0, 1.0
+    for k, g in enumerate(reversed(_grams(word))):
+        if k % _GRAM == 0:
+            out, p = out + math.log(p), 1 / 64
+        x, c = _slot(g), _slot(g[:-1])
+        total, kinds = model[1, c] - less[1][c], model[2, c] - less[2][c]
+        if total > 0:
+            p = (max(model[0, x] - less[0][x], 0) + max(kinds, 1) * p) / (total + max(kinds, 1))
+    return out + math.log(p)
+
+
+def own_counts(word: str, model: np.ndarray) -> tuple[Counter, Counter, Counter]:
+    """What a word itself adds to the model."""
+    grams = Counter(_grams(word))
+    less: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
+    for g, n in grams.items():
+        less[0][_slot(g)] += n
+        less[1][_slot(g[:-1])] += n
+    for g in grams:
+        less[2][_slot(g[:-1])] += int(model[0, _slot(g)] <= less[0][_slot(g)])
+    return less
 
 
 def _arrow(kind: str, f):
@@ -210,19 +247,37 @@ def _odd_token(word: str) -> str | None:
 
 
 def _by_letters(table):
-    """For words without a frequent form: a spelling with well-known letter sequences in place of unknown ones."""
+    """For words without a frequent form: a spelling that the letters of the other words make far likelier."""
 
-    def best(word: str) -> str | None:
-        known = table.value
+    def best(word: str, n: int) -> str | None:
         if not word.isalpha() or not word[:1].isupper() or not word[1:].islower() or len(word) < MIN_LETTERS:
             return None
-        own = min(known[s] for s in _gram_slots(word))
-        if own > 1:
+        forms = [v for v in variants(word) if v.isalpha() and v[:1].isupper() and v[1:].islower()]
+        if not forms:
             return None
-        score, form = max(((min(known[s] for s in _gram_slots(v)), v) for v in variants(word) if v.isalpha()), default=(0, None))
-        return form if score >= 5 else None
+        model = table.value
+        less = own_counts(word, model)
+        score, form = max((letter_score(v, model, less), v) for v in forms)
+        return form if score - letter_score(word, model, less) >= LIKELIER * max(n, 1) else None
+
+    @F.pandas_udf("string")
+    def run(words: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([best(w, k) for w, k in zip(words, n)], dtype=object)
+
+    return run
+
 
-    return best
+def letter_model(vocabulary: DataFrame) -> np.ndarray:
+    """Counts of the letter sequences of distinct words, in tables of fixed size."""
+    grams = vocabulary.select(F.explode(F.pandas_udf(lambda s: s.map(_grams), "array<string>")("word")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    slot = lambda c: F.shiftright(F.crc32(F.encode(c, "UTF-8")), 32 - _GRAM_BITS).cast("int")
+    start = slot(F.expr("substring(g, 1, length(g) - 1)"))
+    entry = lambda kind, at, n: F.struct(F.lit(kind).alias("kind"), at.alias("at"), n.alias("n"))
+    entries = grams.select(F.explode(F.array(entry(0, slot(F.col("g")), F.col("n")), entry(1, start, F.col("n")), entry(2, start, F.lit(1).cast("long")))).alias("e"))
+    model = np.zeros((3, 1 << _GRAM_BITS), np.int64)
+    for kind, at, n in entries.select("e.*").groupBy("kind", "at").agg(F.sum("n").alias("n")).toLocalIterator():
+        model[kind, at] = n
+    return model
 
 
 def misread_words(occurrences: DataFrame) -> DataFrame:
@@ -234,15 +289,11 @@ def misread_words(occurrences: DataFrame) -> DataFrame:
         "sure", (F.col("m") >= SURE_RATIO * F.greatest("n", F.lit(1))) & (F.length("form") >= MIN_LETTERS) & ~F.col("form").rlike("^[0-9]+$"))
     chosen = durable(chosen, "chosen")
 
-    # What is left: mixtures of letters and digits, and names. Sequence counts are a table of fixed size.
-    slots = F.pandas_udf(lambda s: s.map(lambda w: sorted(set(_gram_slots(w)))), "array<int>")
-    names = vocabulary.where(F.col("word").rlike("^\\p{Lu}[\\p{Ll}\\p{M}]+$"))
-    counts = np.zeros(1 << _GRAM_BITS, np.int64)
-    for slot, n in names.select(F.explode(slots("word")).alias("slot")).groupBy("slot").count().toLocalIterator():
-        counts[slot] = n
-    table = occurrences.sparkSession.sparkContext.broadcast(counts)
+    # What is left: mixtures of letters and digits, and names.
+    letters = vocabulary.where(F.col("word").rlike("^[\\p{L}\\p{M}]+$"))
+    table = occurrences.sparkSession.sparkContext.broadcast(letter_model(letters))
     rest = vocabulary.join(chosen.where("sure").select("word"), "word", "left_anti")
-    odd = rest.select("word", F.coalesce(_arrow("string", _odd_token)("word"), _arrow("string", _by_letters(table))("word")).alias("form")).where("form is not null and form != word")
+    odd = rest.select("word", F.coalesce(_arrow("string", _odd_token)("word"), _by_letters(table)("word", "n")).alias("form")).where("form is not null and form != word")
     unsure = chosen.where("not sure").join(odd.select("word"), "word", "left_anti")
     return chosen.where("sure").select("word", "form", "sure").unionByName(odd.select("word", "form", F.lit(True).alias("sure"))).unionByName(unsure.select("word", "form", "sure"))
 

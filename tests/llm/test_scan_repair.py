@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from codicil.llm.scan_repair import PAGE_NUMBER, ScanRepair, form_of, signature, skeleton, variants
+from codicil.llm.scan_repair import PAGE_NUMBER, ScanRepair, form_of, misread_words, signature, skeleton, variants
 
 BODY = "the council shall publish the annual report within thirty days and the registrar may inspect every vessel at the harbour before the season"
 
@@ -56,3 +56,15 @@ def test_empty(spark):
     blocks, ex = make(spark)
     r = ScanRepair(blocks.limit(0), ex.limit(0))
     assert r.noise().count() == 0 and r.paragraphs().count() == 0
+
+
+@pytest.mark.parametrize("size", [150, 600])
+def test_misread_names_are_found_without_a_frequent_form(spark, size):
+    """Names that occur once: the letters of the others tell which are misread, whatever the size of the vocabulary."""
+    parts = ["Mor", "Gaul", "Tel", "Nar", "Wen", "Pol", "Sun", "Rim", "Zin", "Ret", "Qua", "Ther"]
+    names = [a + b.lower() + c.lower() for a in parts for b in parts for c in parts][::1728 // size]
+    misread = {"Morwentelnar": "Morwenfelnar", "Polsunrimgaul": "Polsiinrimgaul", "Therzinmorpol": "Therzirimorpol"}
+    assert not set(misread) & set(names)
+    words = [(w, None) for w in [*names, *misread.values()]]
+    got = {r["word"]: r["form"] for r in misread_words(spark.createDataFrame(words, "word string, head string")).collect()}
+    assert got == {v: k for k, v in misread.items()}
