@@ -26,13 +26,14 @@ def main() -> None:
 
     from codicil.plans import projection as J
     from codicil.service import Reader
-    from codicil.session import get_spark
+    from codicil.session import get_spark, scope
     from codicil.sources.corpus import load_corpus
 
     spark = get_spark()
     if args.command == "run":
-        df = importlib.import_module(args.queries).queries()[args.query](spark, args.dir)
-        df.write.parquet(args.out) if args.out else df.show(50, truncate=100)
+        with scope(spark):
+            df = importlib.import_module(args.queries).queries()[args.query](spark, args.dir)
+            df.write.parquet(args.out) if args.out else df.show(50, truncate=100)
     elif args.command == "publish":
         store, records = J.Store(spark, args.store), load_corpus(spark, args.corpus, args.tag)
         want = J.Release(args.tag, args.commit, tuple(J.schema_versions(records)))

@@ -170,7 +170,7 @@ def plan_issues(units: DataFrame, plans: DataFrame, pages: DataFrame) -> DataFra
         issue(u.where("start_page < legal_start or end_page > legal_end"), "unit_outside_range", F.col("unit_id")),
         issue(u.where("start_page < end0"), "units_overlap", F.col("unit_id")), issue(u.where("start_page > end0 + 1"), "page_gap", F.concat_ws("/", "unit0", "unit_id")),
         issue(inside.where(~F.col("in") & (F.size(K.markers("text")) > 0)), "marker_outside_range", F.col("pdf_page")),
-        issue(inside.where(F.col("in") & F.col("text").rlike("(?im)^\\s*(explanatory note|arrangement of sections|index)\\s*$")), "excluded_heading_inside", F.col("pdf_page")),
+        issue(inside.where(F.col("in") & F.exists(F.split("text", "\n"), lambda x: F.lower(F.trim(x)).isin(*vocab.FRONT_HEADINGS))), "excluded_heading_inside", F.col("pdf_page")),
         issue(expected.join(covered, ["scope", "pdf_page"], "left_anti"), "page_not_covered", F.col("pdf_page")), *named)
 
 

@@ -9,6 +9,7 @@ DataFrame actions, and its bounds are parameters.
 from __future__ import annotations
 
 import os
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -51,8 +52,31 @@ def pending(units: DataFrame, done: DataFrame) -> DataFrame:
     return units.join(done.where("valid").select("key"), "key", "left_anti")
 
 
-def run_units(units: DataFrame, worker: Callable[[dict], str], attempts: int = 2) -> DataFrame:
-    """Results of an injected worker: key, output, error, attempts. A failure is a row, not the end of the run."""
+def _within(seconds: float | None, f: Callable, *args):
+    """The result of a call, or TimeoutError; a call that hangs is left behind in its thread."""
+    if seconds is None:
+        return f(*args)
+    box: list = []
+
+    def run() -> None:
+        try:
+            box.append((True, f(*args)))
+        except Exception as e:  # noqa: BLE001 - handed to the caller
+            box.append((False, e))
+
+    t = threading.Thread(target=run, daemon=True)
+    t.start()
+    t.join(seconds)
+    if not box:
+        raise TimeoutError(f"no result within {seconds} s")
+    ok, value = box[0]
+    if not ok:
+        raise value
+    return value
+
+
+def run_units(units: DataFrame, worker: Callable[[dict], str], attempts: int = 2, timeout_s: float | None = None) -> DataFrame:
+    """Results of an injected worker: key, output, error, attempts. A failure is a row, not the end of the run, and so is an attempt longer than ``timeout_s``."""
     columns = units.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,7 +86,7 @@ def run_units(units: DataFrame, worker: Callable[[dict], str], attempts: int = 2
                 error, output, n = None, None, 0
                 for n in range(1, attempts + 1):
                     try:
-                        output, error = worker({c: unit[c] for c in columns}), None
+                        output, error = _within(timeout_s, worker, {c: unit[c] for c in columns}), None
                         break
                     except Exception as e:  # noqa: BLE001
                         error = f"{type(e).__name__}: {e}"

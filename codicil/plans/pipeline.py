@@ -21,8 +21,9 @@ from codicil.errors import PipelineError
 from codicil.functions.records import check_record
 from codicil.operators import pages as P
 from codicil.operators.structure import assign_ids, unassignable
+from codicil.sources import files
 from codicil.sources.corpus import fetch, load_artifact, load_request
-from codicil.sources.sinks import append_event, json_bytes, jsonl_bytes, write_artifact, write_atomically, write_candidate
+from codicil.sources.sinks import append_event, json_bytes, jsonl_bytes, same_files, write_artifact, write_atomically, write_candidate
 
 
 #: Pages of a document, at most.
@@ -63,11 +64,10 @@ def acquire(text: str, root: str, opener: Callable, count_pages: Callable[[bytes
         bad = check_record("source", json.dumps(record))
         if bad:
             raise PipelineError("invalid_source", "; ".join(f"{p}: {m}" for p, m in bad))
-        path = os.path.join(root, "documents", digest.removeprefix("sha256:") + ".pdf")
-        if os.path.exists(path):
-            with open(path, "rb") as f:
-                if f.read() != content:
-                    raise PipelineError("digest_collision", digest)
+        path = files.join(root, "documents", digest.removeprefix("sha256:") + ".pdf")
+        if files.exists(path):
+            if files.read(path) != content:
+                raise PipelineError("digest_collision", digest)
         else:
             write_atomically(path, content)
         receipt |= {"status": "success", "source_id": digest, "source": record}
@@ -133,8 +133,8 @@ def candidate(spark: SparkSession, act: dict, drafts: list[dict], source: dict,
          "parent_provision_id": ids.get(d["parent_draft_id"]), "order": d["order"], "source_spans": d["source_spans"], "content_blocks": d["content_blocks"], "text_fidelity": "machine_extracted"} for d in drafts]
     folder = os.path.join(root, "candidates", act["act_id"])
     manifest = {"candidate_version": 1, "act_id": act["act_id"], "source_id": source["source_id"], "provision_count": len(provisions), "ordered_provision_ids_sha256": ordered_digest([p["provision_id"] for p in provisions])}
-    files = {"act.json": json_bytes(act), "provisions.jsonl": jsonl_bytes(provisions), "citations.jsonl": b"", "source.json": json_bytes(source), "candidate.json": json_bytes(manifest)}
-    return manifest | {"reused": write_candidate(files, folder) == "unchanged", "candidate_path": os.path.relpath(folder, root)}
+    made = {"act.json": json_bytes(act), "provisions.jsonl": jsonl_bytes(provisions), "citations.jsonl": b"", "source.json": json_bytes(source), "candidate.json": json_bytes(manifest)}
+    return manifest | {"reused": write_candidate(made, folder) == "unchanged", "candidate_path": os.path.relpath(folder, root)}
 
 
 def _load_candidate(folder: str) -> tuple[dict, dict, list[dict], dict]:
@@ -158,8 +158,25 @@ def review(folder: str) -> dict:
     return {"ready": not machine and not bad, "provisions": len(provisions), "machine_extracted": machine, "problems": bad[:20]}
 
 
-def promote(folder: str, corpus: str, execute: bool = False) -> dict:
-    """Adds a reviewed candidate to a corpus: its source by id, keeping the order, and its act folder as one step."""
+def verify_bytes(source: dict, documents: str) -> None:
+    """The stored document of a source has the length and the digest that its record states."""
+    path = os.path.join(documents, source["source_id"].removeprefix("sha256:") + ".pdf")
+    if not os.path.exists(path):
+        raise PipelineError("source_missing", path)
+    digest, size = hashlib.sha256(), 0
+    with open(path, "rb") as f:
+        while part := f.read(65536):
+            digest.update(part)
+            size += len(part)
+    if size != source["byte_length"] or "sha256:" + digest.hexdigest() != source["source_id"]:
+        raise PipelineError("source_changed", source["source_id"])
+
+
+def promote(folder: str, corpus: str, execute: bool = False, documents: str | None = None) -> dict:
+    """Adds a reviewed candidate to a corpus: its source by id, keeping the order, and its act folder as one step.
+
+    With ``documents``, the folder of the content-addressed store, the bytes of the source are verified again first.
+    """
     manifest, act, provisions, source = _load_candidate(folder)
     state = review(folder)
     path = os.path.join(corpus, "sources.jsonl")
@@ -172,12 +189,18 @@ def promote(folder: str, corpus: str, execute: bool = False) -> dict:
     target = os.path.join(corpus, country, scope, "acts", year, number)
     if not state["ready"]:
         raise PipelineError("review_incomplete", f"{state['machine_extracted']} provisions as extracted; {state['problems'][:3]}")
-    if os.path.exists(target):
+    with open(os.path.join(folder, "citations.jsonl"), "rb") as f:
+        made = {"act.json": json_bytes(act), "provisions.jsonl": jsonl_bytes(provisions), "citations.jsonl": f.read()}
+    if os.path.exists(target) and (source["source_id"] in held or not same_files(made, target)):
         raise PipelineError("act_exists", target)
     if source["source_id"] in held and held[source["source_id"]] != source:
         raise PipelineError("source_conflict", source["source_id"])
+    if documents is not None:
+        verify_bytes(source, documents)
     if execute:
+        # The act folder appears whole, by one rename, and the register that makes its source known is swapped after it. Where
+        # the second step is missing after a crash, the same candidate is promoted again and finds its folder unchanged.
         merged = sorted((held | {source["source_id"]: source}).values(), key=lambda s: s["source_id"])
+        write_candidate(made, target)
         write_atomically(path, jsonl_bytes(merged))
-        write_candidate({"act.json": json_bytes(act), "provisions.jsonl": jsonl_bytes(provisions), "citations.jsonl": b""}, target)
     return {"stage": "promote", "status": "success" if execute else "dry_run", "act_directory": os.path.relpath(target, corpus), "provisions": manifest["provision_count"]}

@@ -9,12 +9,11 @@ replaced in one step, so they see the release before or after, never a mixture.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codicil import schemas
@@ -23,6 +22,7 @@ from codicil.functions import textkeys as K
 from codicil.functions.blocks import flatten_blocks
 from codicil.operators import hierarchy as H
 from codicil.session import durable
+from codicil.sources import files
 from codicil.sources.sinks import json_bytes, write_atomically
 from codicil.vocab import TEXT_BLOCK_KINDS
 
@@ -75,9 +75,9 @@ def citation_rows(citations: DataFrame) -> DataFrame:
 
 def build(records: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All tables of a release; unsupported schema versions and repeated reference keys stop it."""
-    versions = schema_versions(records)
-    if set(versions) - set(SUPPORTED):
-        raise PipelineError("unsupported_schema_version", ", ".join(versions))
+    strange = _versions(records).where(~F.col("schema_version").isin(*SUPPORTED)).limit(5).collect()
+    if strange:
+        raise PipelineError("unsupported_schema_version", ", ".join(sorted(r[0] for r in strange)))
     out = {"acts": act_rows(records["acts"]), "sources": source_rows(records["sources"]), "provisions": provision_rows(records["provisions"]), "citations": citation_rows(records["citations"])}
     out["provisions"] = durable(out["provisions"], "provisions")
     twice = out["provisions"].groupBy("act_id", "reference_key").count().where("count > 1").limit(5).collect()
@@ -86,12 +86,20 @@ def build(records: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
-def schema_versions(records: dict[str, DataFrame]) -> list[str]:
+def _versions(records: dict[str, DataFrame]) -> DataFrame:
     found = None
     for df in records.values():
         v = df.select("schema_version").distinct()
         found = v if found is None else found.unionByName(v)
-    return sorted(r[0] for r in found.distinct().limit(1000).collect() if r[0] is not None)
+    return found.where("schema_version is not null").distinct()
+
+
+def schema_versions(records: dict[str, DataFrame]) -> list[str]:
+    """All versions in use, sorted; more than a thousand are refused, none is left out."""
+    found = [r[0] for r in _versions(records).limit(1001).collect()]
+    if len(found) > 1000:
+        raise PipelineError("unsupported_schema_version", "more than 1,000 schema versions")
+    return sorted(found)
 
 
 # Releases.
@@ -139,6 +147,25 @@ def decide(want: Release, state: State, read_only: bool) -> tuple[str, tuple[str
     return ("noop" if state.active is not None and state.active.release_tag == want.release_tag else "activate_existing"), ()
 
 
+def decide_all(wanted: DataFrame, registry: DataFrame, active: Release | None, previous: Release | None) -> DataFrame:
+    """``decide`` for many releases at once: wanted and registry are joined by tag; the two releases of the pointer are given.
+
+    wanted: release_tag, commit_sha, canonical_schema_versions, projection_schema_version; the registry has import_state too.
+    """
+    held = registry.select(R, F.struct("commit_sha", "canonical_schema_versions", "projection_schema_version", "import_state").alias("held"))
+    usable = lambda r: r is None or (r.import_state == "ready" and r.projection_schema_version == schemas.PROJECTION_VERSION and set(r.canonical_schema_versions) <= set(SUPPORTED))
+    h = F.col("held")
+    same = (h["canonical_schema_versions"] == F.col("canonical_schema_versions")) & (h["projection_schema_version"] == F.col("projection_schema_version"))
+    conflict = (
+        F.when(h.isNull(), None).when(h["commit_sha"] != F.col("commit_sha"), "release_commit_conflict").when(~same, "release_metadata_conflict")
+        .when(h["import_state"] != "ready", "release_import_incomplete"))
+    of_state = [F.lit(f"{role}_release_invalid") for role, r in (("active", active), ("previous", previous)) if not usable(r)]
+    codes = F.array_compact(F.array(*of_state, conflict))
+    action = (
+        F.when(F.size(codes) > 0, "blocked").when(h.isNull(), "import_and_activate").when(F.col(R).eqNullSafe(F.lit(active.release_tag if active else None)), "noop").otherwise("activate_existing"))
+    return wanted.join(held, R, "left").select(*wanted.columns, action.alias("action"), F.array_join(codes, ",").alias("blockers"))
+
+
 @dataclass
 class Store:
     """Published releases below ``root``: tables partitioned by release, a register, and the pointer."""
@@ -148,26 +175,20 @@ class Store:
     tables: tuple[str, ...] = field(default=("acts", "sources", "provisions", "citations"))
 
     def _path(self, *parts: str) -> str:
-        return os.path.join(self.root, *parts)
+        return files.join(self.root, *parts)
 
     @contextmanager
     def lock(self) -> Iterator[None]:
         """One publication at a time; a second one fails at once."""
-        os.makedirs(self.root, exist_ok=True)
         try:
-            fd = os.open(self._path("lock"), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError as e:
+            with files.exclusive(self._path("lock")):
+                yield
+        except BlockingIOError as e:
             raise PipelineError("projection_busy", "another publication is running", retryable=True) from e
-        try:
-            yield
-        finally:
-            os.close(fd)
-            os.unlink(self._path("lock"))
 
     def _load(self, name: str) -> dict | None:
         try:
-            with open(self._path(name), encoding="utf-8") as f:
-                return json.load(f)
+            return json.loads(files.read(self._path(name)))
         except FileNotFoundError:
             return None
 
@@ -216,10 +237,10 @@ class Store:
         write_atomically(self._path("releases", f"{want.release_tag}.json"), json_bytes(record | {"import_state": "importing"}))
         try:
             for name in self.tables:
-                rows[name].drop(R).write.mode("errorifexists").parquet(self._path(name, f"{R}={want.release_tag}"))
-            for name in self.tables:
-                got = self.spark.read.parquet(self._path(name, f"{R}={want.release_tag}")).count()
-                if got != rows[name].count():
+                # The rows are counted on their way to the files, so that no plan runs twice.
+                seen = Observation(f"import_{name}")
+                rows[name].drop(R).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(self._path(name, f"{R}={want.release_tag}"))
+                if self.spark.read.parquet(self._path(name, f"{R}={want.release_tag}")).count() != seen.get["n"]:
                     raise PipelineError("import_count_mismatch", name)
             lost = self._dangling(want.release_tag)
             if lost:
@@ -241,9 +262,6 @@ class Store:
 
     def _undo(self, tag: str) -> None:
         """A failed import leaves no trace: only folders of this release, which no reader may see yet, are removed."""
-        import shutil
-
         for name in self.tables:
-            shutil.rmtree(self._path(name, f"{R}={tag}"), ignore_errors=True)
-        if os.path.exists(self._path("releases", f"{tag}.json")):
-            os.unlink(self._path("releases", f"{tag}.json"))
+            files.delete(self._path(name, f"{R}={tag}"))
+        files.delete(self._path("releases", f"{tag}.json"))

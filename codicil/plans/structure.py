@@ -113,17 +113,19 @@ def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def release_actions(spark: SparkSession, d: str) -> DataFrame:
-    """What publishing each registered release would do while the newest ready one is active."""
-    from codicil.session import version_key
-
-    rel = [J.Release(r["release_tag"], r["commit_sha"], tuple(r["canonical_schema_versions"]), r["projection_schema_version"], r["import_state"]) for r in table(spark, d, "corpus_releases").limit(10_000).collect()]
-    live = sorted((r for r in rel if r.import_state == "ready"), key=lambda r: version_key(r.release_tag))
-    active, previous = live[-1], live[-2]
-    out = []
-    for r in rel:
-        action, codes = J.decide(J.Release(r.release_tag, r.commit_sha, r.canonical_schema_versions, r.projection_schema_version), J.State(active, previous, r), True)
-        out.append((r.release_tag, action, ",".join(codes)))
-    return spark.createDataFrame(out, "release_tag string, action string, blockers string")
+    """What publishing would do while the newest ready release is active: each registered release, the same under another commit, and one of the next major version."""
+    rel = table(spark, d, "corpus_releases").where("release_tag is not null").select("release_tag", "commit_sha", "canonical_schema_versions", "projection_schema_version", "import_state")
+    version = F.transform(F.split(F.substr("release_tag", F.lit(9)), "\\."), lambda x: x.cast("int"))
+    live = rel.where("import_state = 'ready'").withColumn("version", version)
+    record = lambda row: J.Release(row["release_tag"], row["commit_sha"], tuple(row["canonical_schema_versions"]), row["projection_schema_version"], row["import_state"]) if row else None
+    active, previous = ([record(r) for r in live.orderBy(F.desc("version")).limit(2).collect()] + [None, None])[:2]
+    wanted = rel.drop("import_state")
+    number = F.split(F.substr("release_tag", F.lit(9)), "\\.")
+    ahead = F.concat_ws(".", (number[0].cast("int") + 1).cast("string"), number[1], number[2])
+    many = wanted.withColumn("request", F.lit("as registered")).unionByName(
+        wanted.withColumns({"commit_sha": F.reverse("commit_sha"), "request": F.lit("other commit")})).unionByName(
+        wanted.withColumns({"release_tag": F.concat(F.lit("corpus-v"), ahead), "request": F.lit("next major version")}))
+    return J.decide_all(many, rel, active, previous).select("release_tag", "request", "action", "blockers")
 
 
 def schema_differences(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +200,10 @@ rec AS (SELECT release_tag, provision_id, min(canonical_record) AS j FROM provis
 n AS (SELECT r.release_tag, r.provision_id, t.path AS node_path, t.key, t.atom ->> '$' AS v FROM rec r, json_tree(r.j) t WHERE starts_with(t.fullkey, '$.content_blocks')),
 x AS (SELECT a.release_tag, a.provision_id, a.v AS bid, b.v AS text FROM n a JOIN n b ON b.release_tag = a.release_tag AND b.provision_id = a.provision_id AND b.node_path = a.node_path AND b.key = 'text' WHERE a.key = 'block_id')
 SELECT c.release_tag, c.citation_id, substr(x.text, s + 1, e - s) AS cited FROM c JOIN x ON x.release_tag = c.release_tag AND x.provision_id = c.pid AND x.bid = c.bid WHERE s >= 0 AND s < e AND e <= length(x.text)""",
-    "release_actions": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY import_state ORDER BY list_transform(string_split(substr(release_tag, 9), '.'), lambda x: CAST(x AS INT)) DESC) AS n FROM corpus_releases)
-SELECT release_tag, CASE WHEN import_state <> 'ready' THEN 'blocked' WHEN n = 1 THEN 'noop' ELSE 'activate_existing' END AS action,
-  CASE WHEN import_state <> 'ready' THEN 'release_import_incomplete' ELSE '' END AS blockers FROM r""",
+    "release_actions": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY import_state ORDER BY list_transform(string_split(substr(release_tag, 9), '.'), lambda x: CAST(x AS INT)) DESC) AS n FROM corpus_releases),
+w AS (SELECT release_tag, commit_sha, 'as registered' AS request FROM r UNION ALL SELECT release_tag, reverse(commit_sha), 'other commit' FROM r
+  UNION ALL SELECT 'corpus-v' || (CAST(split_part(substr(release_tag, 9), '.', 1) AS INT) + 1) || '.' || split_part(release_tag, '.', 2) || '.' || split_part(release_tag, '.', 3), commit_sha, 'next major version' FROM r),
+c AS (SELECT w.release_tag, request, r.n, r.release_tag IS NULL AS fresh, CASE WHEN r.release_tag IS NULL THEN '' WHEN r.commit_sha <> w.commit_sha THEN 'release_commit_conflict'
+  WHEN r.import_state <> 'ready' THEN 'release_import_incomplete' ELSE '' END AS blockers FROM w LEFT JOIN r ON r.release_tag = w.release_tag)
+SELECT release_tag, request, CASE WHEN blockers <> '' THEN 'blocked' WHEN fresh THEN 'import_and_activate' WHEN n = 1 THEN 'noop' ELSE 'activate_existing' END AS action, blockers FROM c""",
 }

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pathlib
 import tempfile
 import uuid
+import warnings
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +46,9 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_warned: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -51,6 +58,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if path and not sc.master.startswith("local") and (path.startswith("file:") or "://" not in path) and path not in _warned:
+        _warned.add(path)
+        warnings.warn(f"spark.checkpoint.dir is {path}: on a cluster it must be a folder that all executors share", stacklevel=2)
     if not path:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
@@ -60,18 +70,54 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it once as Parquet to the shared folder and read it back.
 
     Unlike a cache this survives the loss of executors, and its rows, order of
-    partitions and generated ids are fixed from here on.
+    partitions and generated ids are fixed from here on. The folder is removed at
+    the end of the innermost ``scope``, or else when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    base = f"{shared_dir(spark)}/codicil-{spark.sparkContext.applicationId}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
+    elif base not in _left:
+        _left.add(base)
+        atexit.register(_remove, spark, base)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_left: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None:  # a context that was stopped before can't remove any more
+        try:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the end of an application must not fail for its leftovers
+            pass
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is made durable within is removed at the end; results must have been written or collected by then."""
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield
+    finally:
+        _open.remove(mine)
+        for path in mine:
+            _remove(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

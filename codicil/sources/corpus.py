@@ -17,6 +17,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from codicil import schemas
 from codicil.errors import PipelineError
+from codicil.sources import files
 
 
 def read_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -32,8 +33,8 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     Line order has meaning, so a file is one row before it is split; it is a
     list of the records of one act and stays well below a task's memory.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "record"))
-    rows = files.where(F.trim("record") != "").select("file", (F.col("i") + 1).alias("line"), "record")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "record"))
+    rows = whole.where(F.trim("record") != "").select("file", (F.col("i") + 1).alias("line"), "record")
     parsed = rows.withColumn("r", F.from_json("record", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     return parsed.select("file", "line", "record", "r.*")
 
@@ -53,8 +54,8 @@ def layout(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/") + "/"
     # The listing, not the rows, since empty files have none; a release has three files for each act.
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).inputFiles()
-    files = spark.createDataFrame([(unquote(n),) for n in names], "path string")
-    have = files.select(F.regexp_replace("path", "^.*?" + re.escape(base), "").alias("path"))
+    listed = spark.createDataFrame([(unquote(n),) for n in names], "path string")
+    have = listed.select(F.regexp_replace("path", "^.*?" + re.escape(base), "").alias("path"))
     acts = have.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("dir")).where("dir <> ''").distinct()
     want = acts.select(F.explode(F.array(*[F.concat("dir", F.lit("/" + f)) for f in PER_ACT])).alias("path"))
     want = want.unionByName(spark.createDataFrame([(f,) for f in EXPECTED], "path string"))
@@ -190,12 +191,16 @@ def load_request(text: str) -> dict:
 
 def load_artifact(root: str, relative: str, stage: str, source_id: str | None = None) -> dict:
     """A stage artifact below ``root``: path stays inside, it names itself, its stage and its source."""
-    base = os.path.realpath(root)
-    path = os.path.realpath(os.path.join(base, relative))
-    if os.path.commonpath([base, path]) != base:
-        raise PipelineError("artifact_outside_cache", relative)
-    with open(path, encoding="utf-8") as f:
-        value = json.load(f)
+    if files.is_remote(root):
+        if relative.startswith("/") or ".." in relative.split("/"):
+            raise PipelineError("artifact_outside_cache", relative)
+        path = files.join(root, relative)
+    else:
+        base = os.path.realpath(root)
+        path = os.path.realpath(os.path.join(base, relative))
+        if os.path.commonpath([base, path]) != base:
+            raise PipelineError("artifact_outside_cache", relative)
+    value = json.loads(files.read(path))
     if value.get("stage") != stage or value.get("path") != relative or (source_id and value.get("source_id") != source_id):
         raise PipelineError("artifact_mismatch", relative)
     return value

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codicil.errors import PipelineError
 from codicil.session import durable
+from codicil.sources import files
 
 
 def json_text(row: Column) -> Column:
@@ -33,20 +34,14 @@ def write_lines(df: DataFrame, order: list[str], text: str, path: str) -> None:
 
 
 def write_atomically(path: str, data: bytes) -> None:
-    """A driver-side artifact appears whole or not at all."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with open(part, "wb") as f:
-        f.write(data)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(part, path)
+    """An artifact appears whole or not at all, in the file system of its path."""
+    files.write(path, data)
 
 
 def write_artifact(root: str, relative: str, result: dict) -> dict:
     """A stage artifact that names its own path."""
     result = result | {"path": relative}
-    write_atomically(os.path.join(root, relative), json_bytes(result))
+    write_atomically(files.join(root, relative), json_bytes(result))
     return result
 
 
@@ -54,7 +49,7 @@ def store_documents(documents: DataFrame, store: str) -> DataFrame:
     """Adds documents that the content-addressed store lacks; returns what was added."""
     spark = documents.sparkSession
     new = documents.where("problem is null").select("source_id", "content", "length").dropDuplicates(["source_id"])
-    if os.path.exists(store):
+    if files.exists(store):
         new = new.join(spark.read.parquet(store).select("source_id"), "source_id", "left_anti")
     new = durable(new, "stored")
     new.write.mode("append").parquet(store)
@@ -66,15 +61,24 @@ def collisions(stored: DataFrame, documents: DataFrame) -> DataFrame:
     return stored.join(documents.select("source_id", F.col("length").alias("other")), "source_id").where("length <> other").select("source_id")
 
 
-def write_candidate(files: dict[str, bytes], folder: str) -> str:
+def same_files(wanted: dict[str, bytes], folder: str) -> bool:
+    """Whether a folder holds these files with these bytes and nothing else."""
+    have = {}
+    for d, _, names in os.walk(folder):
+        for name in names:
+            with open(os.path.join(d, name), "rb") as f:
+                have[os.path.relpath(os.path.join(d, name), folder)] = f.read()
+    return have == wanted
+
+
+def write_candidate(wanted: dict[str, bytes], folder: str) -> str:
     """Writes a candidate folder once: the same bytes again are no change, other bytes are refused."""
     if os.path.isdir(folder):
-        have = {os.path.relpath(os.path.join(d, f), folder): open(os.path.join(d, f), "rb").read() for d, _, fs in os.walk(folder) for f in fs}
-        if have == files:
+        if same_files(wanted, folder):
             return "unchanged"
         raise PipelineError("candidate_edited", folder)
     part = f"{folder}.{uuid.uuid4().hex}.part"
-    for name, data in files.items():
+    for name, data in wanted.items():
         write_atomically(os.path.join(part, name), data)
     os.rename(part, folder)
     return "written"
@@ -91,7 +95,7 @@ def changed_sources(registry: DataFrame, new: DataFrame) -> DataFrame:
 
 def append_event(root: str, table: str, event: dict) -> None:
     """Receipts, passes and progress: one JSON file for each event, so concurrent writers never meet."""
-    write_atomically(os.path.join(root, table, f"{uuid.uuid4().hex}.json"), jsonl_bytes([event]))
+    write_atomically(files.join(root, table, f"{uuid.uuid4().hex}.json"), jsonl_bytes([event]))
 
 
 def refresh(spark: SparkSession) -> None:

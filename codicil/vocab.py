@@ -37,6 +37,17 @@ ID_PATTERNS = {
     "unit_id": "^[a-z0-9][a-z0-9-]{0,63}$",
 }
 
+#: How an editorial note in brackets begins, the numbers that a schedule may be called by, and what a note says was done.
+NOTE_STARTS = ("section", "part", "item", "schedule")
+ORDINALS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth")
+ORDINAL_ENDINGS = ("st", "nd", "rd", "th")
+NOTE_VERBS = ("altered", "inserted", "substituted", "deleted")
+NOTE_TITLE = "alteration act"
+#: Headings of pages that are no part of the law itself.
+FRONT_HEADINGS = (
+    "foreword", "preface", "arrangement of sections", "arrangement of articles", "arrangement of regulations", "arrangement of rules", "table of contents", "explanatory memorandum", "explanatory note",
+)
+
 #: Which node types may own a node of a type (None: it may be a root).
 PARENTS = {
     "section": (None, "part", "chapter", "division", "cross_heading"),

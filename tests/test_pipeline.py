@@ -56,22 +56,33 @@ def test_candidate_review_promote(spark, tmp_path):
     root, corpus = str(tmp_path / "cache"), str(tmp_path / "corpus")
     source = X.source() | {"publication": None, "redistribution": {"status": "allowed", "license": None, "notes": None}, "document_notes": []}
     made = L.candidate(spark, X.act(), drafts(), source, root)
-    assert made["provision_count"] == 3 and not made["reused"] and L.candidate(spark, X.act(), drafts(), source, root)["reused"]
+    assert made["provision_count"] == 4 and not made["reused"] and L.candidate(spark, X.act(), drafts(), source, root)["reused"]
     folder = os.path.join(root, made["candidate_path"])
-    assert L.review(folder) == {"ready": False, "provisions": 3, "machine_extracted": 3, "problems": []}
+    assert L.review(folder) == {"ready": False, "provisions": 4, "machine_extracted": 4, "problems": []}
     with pytest.raises(PipelineError) as e:
         L.promote(folder, corpus)
     assert e.value.code == "review_incomplete"
     path = os.path.join(folder, "provisions.jsonl")
     lines = open(path).read().replace("machine_extracted", "double_reviewed")
     open(path, "w").write(lines.split("\n")[0] + "\n")
-    with pytest.raises(PipelineError, match="expected 3 provisions, found 1"):
+    with pytest.raises(PipelineError, match="expected 4 provisions, found 1"):
         L.review(folder)
     open(path, "w").write(lines)
     assert L.review(folder)["ready"]
     assert L.promote(folder, corpus)["status"] == "dry_run" and not os.path.exists(corpus)
+    with pytest.raises(PipelineError) as e:
+        L.promote(folder, corpus, execute=True, documents=root)
+    assert e.value.code == "source_missing" and not os.path.exists(corpus)
+    with open(os.path.join(root, "a" * 64 + ".pdf"), "wb") as f:
+        f.write(b"123456789")
+    with pytest.raises(PipelineError) as e:
+        L.promote(folder, corpus, execute=True, documents=root)
+    assert e.value.code == "source_changed" and not os.path.exists(corpus)
+    # A promotion that ended before the register was swapped is finished by the next one.
     assert L.promote(folder, corpus, execute=True)["act_directory"] == "qm/federal/acts/2023/37"
-    assert load_corpus(spark, corpus, "t")["provisions"].count() == 3
+    os.unlink(os.path.join(corpus, "sources.jsonl"))
+    assert L.promote(folder, corpus, execute=True)["status"] == "success"
+    assert load_corpus(spark, corpus, "t")["provisions"].count() == 4
     with pytest.raises(PipelineError) as e:
         L.promote(folder, corpus, execute=True)
     assert e.value.code == "act_exists"

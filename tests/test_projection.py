@@ -20,16 +20,16 @@ def release(tag="corpus-v0.1.0", sha="1" * 40):
 
 
 def test_golden_columns(rows):
-    assert {k: v.count() for k, v in rows.items()} == {"acts": 1, "sources": 1, "provisions": 3, "citations": 1}
+    assert {k: v.count() for k, v in rows.items()} == {"acts": 1, "sources": 1, "provisions": 4, "citations": 1}
     a = rows["acts"].first()
     assert a["title_keys"] == ["harbour act 2023", "harbour act", "an act about harbours", "ha 2023"] and a["citation_key"] == "act no 37 of 2023"
     assert a["searchable_text"].split("\n") == ["Harbour Act 2023", "Harbour Act", "An Act about harbours", "HA 2023", "Act No. 37 of 2023", "2023", "37"]
     p = rows["provisions"].orderBy("sequence").collect()
-    assert [r["sequence"] for r in p] == [1, 2, 3] and [r["depth"] for r in p] == [0, 1, 0]
-    assert [r["reference_key"] for r in p] == ["section 1", "section 1 subsection 1", "section 2"]
-    assert p[1]["searchable_text"] == "(1)\nChild wording.\n(x)\nListed wording.\nsection 1 subsection 1"
-    assert p[2]["searchable_text"].split("\n") == ["2.", "Fees", "Harbour fees", "Item", "Units", "Mooring", "100", "Fees are yearly.", "section 2"]
-    assert p[2]["source_ids"] == [X.SOURCE]
+    assert [r["sequence"] for r in p] == [1, 2, 3, 4] and [r["depth"] for r in p] == [0, 1, 2, 0]
+    assert [r["reference_key"] for r in p] == ["chapter 2", "section 8", "section 8 paragraph b", "schedule 1"]
+    assert p[2]["searchable_text"] == "(b)\nat every quay:\n(i)\na log;\n(ii)\na lamp.\nsection 8 paragraph b"
+    assert p[3]["searchable_text"].split("\n") == ["SCHEDULE", "Dues", "Quay dues", "Metres", "Due", "12", "45.50", "Per day or part of a day.", "schedule 1"]
+    assert p[3]["source_ids"] == [X.SOURCE]
 
 
 def test_import_activate_rollback(spark, rows, tmp_path):
@@ -82,18 +82,18 @@ def test_reader(spark, rows, tmp_path):
     assert r.list_acts()["total"] == 1 and r.list_acts(1, 5)["items"] == []
     assert [s["source_id"] for s in r.get_act(X.ACT)["sources"]] == [X.SOURCE]
     outline = [(x["provision_id"].split(":")[1], x["has_content"], x["has_children"]) for x in r.contents(X.ACT).collect()]
-    assert outline == [("section-1", True, True), ("section-1.subsection-1", True, False), ("section-2", True, False)]
+    assert outline == [("chapter-2", False, True), ("section-8", True, True), ("section-8.paragraph-b", True, False), ("schedule-1", True, False)]
     assert r.contents(X.ACT, max_depth=0).count() == 2 and r.contents(X.ACT, "qm-x-2000-1:none").count() == 0
-    d = r.get_provision(f"{X.ACT}:section-1.subsection-1")
-    assert d["ancestors"] == [f"{X.ACT}:section-1"] and d["previous"] == f"{X.ACT}:section-1" and d["next"] == f"{X.ACT}:section-2" and d["descendants"].count() == 0
-    top = r.get_provision(f"{X.ACT}:section-1")
-    assert [x["provision_id"] for x in top["descendants"].collect()] == [f"{X.ACT}:section-1.subsection-1"] and len(top["citations"]) == 1
+    d = r.get_provision(f"{X.ACT}:section-8.paragraph-b")
+    assert d["ancestors"] == [f"{X.ACT}:chapter-2", f"{X.ACT}:section-8"] and d["previous"] == f"{X.ACT}:section-8" and d["next"] == f"{X.ACT}:schedule-1" and d["descendants"].count() == 0
+    top = r.get_provision(f"{X.ACT}:section-8")
+    assert [x["provision_id"] for x in top["descendants"].collect()] == [f"{X.ACT}:section-8.paragraph-b"] and len(top["citations"]) == 1
     assert r.get_source(X.SOURCE)["document_title"] == "Gazette 1"
     assert r.search("HA 2023")[0]["match_kind"] == "exact_act_alias"
     assert r.search("Act No 37 of 2023")[0]["match_kind"] == "exact_act_citation"
-    hit = r.search("section 1 subsection 1", act_id=X.ACT)[0]
-    assert (hit["match_kind"], hit["breadcrumb"]) == ("exact_provision_reference", "1.")
-    assert [x["match_kind"] for x in r.search("moorings")] == ["lexical"]
+    hit = r.search("section 8 paragraph b", act_id=X.ACT)[0]
+    assert (hit["match_kind"], hit["breadcrumb"]) == ("exact_provision_reference", "CHAPTER II > 8.")
+    assert [x["match_kind"] for x in r.search("lamps")] == ["lexical"]
     for call in (lambda: r.get_act("Nope"), lambda: r.search("  "), lambda: r.search("x", limit=51), lambda: r.list_acts(limit=0), lambda: r.search("x" * 257)):
         with pytest.raises(InvalidRequest):
             call()

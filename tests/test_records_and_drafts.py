@@ -38,7 +38,7 @@ def test_mutations_are_refused(kind, change, path):
 
 
 def test_blank_cell_and_broken_text():
-    p = copy.deepcopy(X.provisions()[2])
+    p = copy.deepcopy(X.provisions()[3])
     p["content_blocks"][0]["row_groups"][1]["rows"][0]["cells"][0]["blank"] = True
     assert [m for _, m in check_record("provision", json.dumps(p))] == ["blank cell with content"]
     assert check_record("act", "{") == [("$", "no JSON")] and check_record("act", None) == [("$", "no object")]

@@ -68,7 +68,7 @@ def test_presentation(spark):
 
 
 def test_blocks():
-    rows = flatten(json.dumps(X.provisions()[2]))
+    rows = flatten(json.dumps(X.provisions()[3]))
     assert [r["kind"] for r in rows] == ["table", "caption", "cell", "text", "cell", "text", "cell", "text", "cell", "text", "text"]
     assert flatten(None) == flatten("no json") == flatten("[1]") == []
 
@@ -76,7 +76,7 @@ def test_blocks():
 def grid(spark, change):
     t = X.table()
     change(t)
-    p = X.provision("section-2", "section", "2.", "Fees", None, 2, [t])
+    p = X.provision("schedule-1", "schedule", "SCHEDULE", "Dues", None, 2, [t])
     df = spark.createDataFrame([("r", p["provision_id"], json.dumps(p))], "release_tag string, provision_id string, canonical_record string")
     b = flatten_blocks(df)
     cells = b.where("kind = 'cell'")
@@ -90,9 +90,9 @@ def test_table_rules(spark):
     assert grid(spark, lambda t: body(t)[1].update(column_span=2)) == {"cell_too_wide"}
     assert grid(spark, lambda t: body(t)[0].update(row_span=2)) == {"cell_too_tall"}
     assert grid(spark, lambda t: body(t)[0].update(column_span=2)) == {"cells_overlap"}
-    assert grid(spark, lambda t: body(t)[0].update(header_cell_ids=["c2", "gone"])) == {"header_reference"}
+    assert grid(spark, lambda t: body(t)[0].update(header_cell_ids=["short-due", "gone"])) == {"header_reference"}
     assert grid(spark, lambda t: body(t)[0].update(blank=True)) == {"blank_cell_with_content"}
-    assert grid(spark, lambda t: body(t)[0].update(cell_id="c2")) == {"content_id_used_twice"}
+    assert grid(spark, lambda t: body(t)[0].update(cell_id="short-due")) == {"content_id_used_twice"}
 
 
 def test_urls_and_requests(spark):
