@@ -1,31 +1,44 @@
 """Evaluation texts leaking into training text.
 
-Every window of ``width`` words of every document, at each position, gets a
-64-bit SimHash fingerprint, as does every window of the items (a window is as
-long as the shortest passage that counts as leaked). A multi-index over blocks
-of the fingerprint finds all pairs of fingerprints within ``radius``: with four
-blocks of 16 bits and a radius of 2, at least two blocks agree, so the six
-pairs of blocks are looked up exactly. Candidate windows are then verified by
-the exact similarity of their weighted word shingles; where a run of identical
-words is asked for, the words themselves are compared last.
-
-Equal windows have equal fingerprints, but windows of a lower similarity may lie
-further apart than any radius. Where they are asked for, candidates also come
-from an index of the items' word shingles: two windows of n shingles that are as
-similar as asked for share at least m of them, so of any n - m + 1 shingles of a
-document's window (the rarest are taken) one is in the item's. This finds every
-pair of windows with the similarity.
-
-The items are the stated query set: their index is built in blocks of at most
-``block_windows`` windows, so what is sent to the executors is bounded, and each
-block is matched against all documents in one pass without a shuffle. Documents
-are read whole; a document's result is made in its own task.
-
-Words are runs of letters and digits after NFKC and case folding.
-
-Defined results: null or empty texts, and items shorter than a window, have no
-windows and match nothing; repeated documents each give their rows; equal items
-under several ids are all reported.
+Windows of the items and of the documents are compared. A window is as long as
+the shortest passage that counts (``width``), so that parts of an item are found
+at any place of it; or, with ``item_sized``, as long as the item itself (rounded
+down to a step of a ladder, which bounds the number of widths), so that an item
+is found as a whole with words changed in it.
+
+1. Windows get a 64-bit SimHash fingerprint. A multi-index over ``radius`` + 2
+   blocks of the fingerprint finds all pairs of fingerprints within ``radius``:
+   at least two blocks of such a pair agree, so every pair of blocks is looked
+   up.
+2. Windows that are as similar as asked for may lie further apart than any
+   radius that can be indexed. Where that is wanted (all but ``exact``),
+   candidates come also from an index of the items' word shingles: two windows of
+   n shingles with the similarity share at least m of them, so of any n - m + 1
+   shingles of a document's window (the rarest are taken) one is in the item's.
+   This leaves no pair out.
+3. Candidates are verified by the exact similarity of their weighted word
+   shingles, and with ``exact`` by the words themselves.
+
+A window of a document with fewer than m shingles that occur anywhere in the
+items can't reach the similarity; only the others, few in most texts, get a
+fingerprint. Equal windows of the items are one class with a list of owners, and
+equal windows of a group of documents are looked up once, so repeated passages
+cost no pairs.
+
+The items are the stated query set. Their words are hashed by the executors and
+streamed to the driver in blocks of at most ``block_windows`` windows (a longer
+item is cut into overlapping pieces); each block is sent to the executors once.
+Documents are read, split into words and hashed in one pass; a task goes through
+the blocks one after another for each group of documents, with one block in
+memory, and there is no shuffle. Documents are read whole.
+
+Words are runs of letters and digits after NFKC and case folding; with
+``glyphs``, characters of scripts without blanks are words of their own.
+
+Defined results: null or empty texts, and items shorter than a window (with
+``item_sized``: than a shingle), have no windows and match nothing; repeated
+documents each give their rows; equal items under several ids are all reported;
+ids may have any type; other columns of both tables don't matter.
 """
 
 from __future__ import annotations
@@ -40,22 +53,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codicil.llm.batches import by_size
 
 WORD = re.compile(r"[^\W_]+")
-BLOCKS, BLOCK_BITS, MAX_RADIUS = 4, 16, 2
-PAIRS = tuple(combinations(range(BLOCKS), BLOCKS - MAX_RADIUS))
+#: Scripts without blanks: kana, ideographs, Thai, Lao, Khmer, Burmese.
+_GLYPH = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1780-\u17ff\u1000-\u109f"
+GLYPH_WORD = re.compile(f"[{_GLYPH}]|[^\\W_{_GLYPH}]+")
+MAX_RADIUS = 6
+#: Widths of item-sized windows: odd, so that no bit of a fingerprint is a tie.
+LADDER = (5, 7, 9, 11, 13, 17, 21, 25, 33, 41, 49, 65, 81, 97, 127)
 _FILTER_BITS = 22
-_SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
-_TOP = np.uint64(0x8080808080808080)
-_GATHER = np.uint64(0x0102040810204080)
-#: Places of shared shingles that are expanded and verified at a time.
-_PLACES = 20_000
+#: Words of documents that a task takes through all blocks at a time; starts of windows looked at, and candidates verified at a time.
+_GROUP_WORDS, _STEP, _PLACES = 1_000_000, 500_000, 20_000
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(unicodedata.normalize("NFKC", text).casefold())
+def words(text: str, glyphs: bool = False) -> list[str]:
+    low = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
+    return (GLYPH_WORD if glyphs else WORD).findall(low)
 
 
 class WordHashes(dict):
@@ -77,44 +93,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def simhash(h: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints of all windows of ``width`` (an odd number up to 127) hashes.
+_SHIFTS = np.arange(64, dtype=np.uint64)
 
-    The 64 bits of each hash are spread to one byte lane each, eight lanes to a
-    machine word; sliding sums by doubling count them, and a bit of the
-    fingerprint is set where more than half of the window's hashes have it.
-    """
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for byte in range(8):
-        lanes = _SPREAD[(h >> np.uint64(8 * byte)).astype(np.uint8)]
-        total, done, power, size = None, 0, lanes, 1
-        while size <= width:
-            if width & size:
-                part = power[done : done + n]
-                total = part.copy() if total is None else total + part
-                done += size
-            size *= 2
-            if size <= width:
-                power = power[: -(size // 2)] + power[size // 2 :]
-        flags = ((total + np.uint64(0x0101010101010101 * (127 - width // 2))) & _TOP) >> np.uint64(7)
-        with np.errstate(over="ignore"):
-            bits = (flags * _GATHER) >> np.uint64(56)
-        out |= bits << np.uint64(8 * byte)
+
+def simhash(windows: np.ndarray) -> np.ndarray:
+    """Fingerprints of windows (rows of an odd number of hashes): a bit is set where more than half of the hashes have it."""
+    out = np.zeros(len(windows), np.uint64)
+    half = windows.shape[1] // 2 if windows.ndim == 2 else 0
+    for at in range(0, len(windows), 4096):
+        part = windows[at : at + 4096]
+        bits = np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(*part.shape, 8), axis=2, bitorder="little")
+        set_ = bits.sum(1, dtype=np.uint16) > half
+        out[at : at + 4096] = (set_.astype(np.uint64) << _SHIFTS).sum(1, dtype=np.uint64)
     return out
 
 
-def _keys(f: np.ndarray) -> list[np.ndarray]:
-    """For each pair of blocks, the 32 bits of both."""
-    parts = [(f >> np.uint64(BLOCK_BITS * b)) & np.uint64(0xFFFF) for b in range(BLOCKS)]
-    return [(parts[a] | (parts[b] << np.uint64(BLOCK_BITS))).astype(np.uint32) for a, b in PAIRS]
+def block_pairs(radius: int) -> list[tuple[np.uint64, np.uint64, np.uint64, np.uint64]]:
+    """For each pair of the ``radius`` + 2 blocks of a fingerprint: shift and mask of both."""
+    m = radius + 2
+    edges = [64 * i // m for i in range(m + 1)]
+    block = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+    return [(*x, *y) for x, y in combinations(block, 2)]
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _FILTER_BITS)
+def _key(f: np.ndarray, pair) -> np.ndarray:
+    a, am, b, bm = pair
+    return ((f >> a) & am) | (((f >> b) & bm) << np.uint64(32))
 
 
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
@@ -134,107 +138,153 @@ def shared_shingles(similarity: float, n: int) -> int:
     return next(m for m in range(n + 1) if m / (2 * n - m) >= similarity)
 
 
-class ItemIndex:
-    """Windows of a block of items: word hashes, fingerprints, and a table for each pair of blocks; with ``shingle``, also one of the places of each shingle."""
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of ranges, with the range each belongs to."""
+    row = np.repeat(np.arange(len(first)), count)
+    return np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row], row
+
+
+class WindowIndex:
+    """The windows of one width of a block of items: classes of equal windows, their owners, fingerprints, and the places of each shingle."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int, shingle: int = 0):
-        hashes, owner, start = WordHashes(), [], []
-        parts, at = [], 0
-        for item, text in items:
-            h = hashes.of(words(text))
+    def __init__(self, width: int, shingle: int, radius: int, items: list[tuple[int, np.ndarray]]):
+        self.width, self.shingle, self.radius = width, shingle, radius
+        parts, owner, start, at = [], [], [], 0
+        for item, h in items:
             n = len(h) - width + 1
             if n > 0:
                 parts.append(h)
                 owner.append(np.full(n, item, np.int64))
                 start.append(at + np.arange(n))
                 at += len(h)
-        self.width, self.shingle = width, shingle
-        self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        self.start = np.concatenate(start) if start else np.zeros(0, np.int64)
-        self.prints = np.concatenate([simhash(_mix(p), width) for p in parts]) if parts else np.zeros(0, np.uint64)
+        cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
+        self.words, owner, start = cat(parts, np.uint64), cat(owner, np.int64), cat(start, np.int64)
+        prints = simhash(_mix(self.words)[start[:, None] + np.arange(width)]) if len(start) else np.zeros(0, np.uint64)
+        whole = shingles(self.words, width)[start]
+        order = np.lexsort((prints, whole))
+        new = np.ones(len(order), bool)
+        new[1:] = (whole[order][1:] != whole[order][:-1]) | (prints[order][1:] != prints[order][:-1])
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        self.start, self.prints = start[order[new]], prints[order[new]]
+        pairs = np.unique(np.stack([of, owner], 1), axis=0) if len(of) else np.zeros((0, 2), np.int64)
+        self.owner = pairs[:, 1]
+        self.owned = np.searchsorted(pairs[:, 0], np.arange(len(self.start) + 1))
+        self.class_at = np.full(len(self.words), -1, np.int64)  # the class of the window that starts at a place
+        self.class_at[start] = of
         self._tables()
 
     def __getstate__(self) -> dict:
-        """What is sent: the windows. The tables are made again where they are used."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("order", "sorted", "filters", "known", "first", "places", "known_filter", "window_at")}
+        """What is sent; the tables are made again where they are used."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("tables", "known", "first", "places")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._tables()
 
     def _tables(self) -> None:
-        self.order, self.sorted, self.filters = [], [], []
-        for key in _keys(self.prints):
+        self.tables = []
+        for pair in block_pairs(self.radius):
+            key = _key(self.prints, pair)
             order = np.argsort(key, kind="stable")
-            self.order.append(order)
-            self.sorted.append(key[order])
-            seen = np.zeros(1 << _FILTER_BITS, bool)
-            seen[_slot(key)] = True
-            self.filters.append(seen)
-        if self.shingle:
-            # The window that starts at a place; an item's last places start none, so that no shingle leads to the item before.
-            self.window_at = np.full(len(self.words), -1, np.int64)
-            self.window_at[self.start] = np.arange(len(self.start))
-            inside = np.zeros(len(self.words) + 1, np.int64)
-            np.add.at(inside, self.start, 1)
-            np.add.at(inside, self.start + self.width - self.shingle + 1, -1)
-            places = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-            at = shingles(self.words, self.shingle)[places]
-            order = np.argsort(at, kind="stable")
-            self.places = places[order]
-            self.known, first = np.unique(at[order], return_index=True)
-            self.first = np.append(first, len(places))
-            self.known_filter = np.zeros(1 << _FILTER_BITS, bool)
-            self.known_filter[self.known >> np.uint64(64 - _FILTER_BITS)] = True
-
-    def candidates(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (window, item window) pairs with fingerprints within ``radius``."""
-        left, right = [], []
-        for key, order, sorted_, seen in zip(_keys(prints), self.order, self.sorted, self.filters):
-            at = np.flatnonzero(seen[_slot(key)])
-            lo, hi = np.searchsorted(sorted_, key[at], "left"), np.searchsorted(sorted_, key[at], "right")
-            n = hi - lo
-            some = n > 0
-            at, lo, n = at[some], lo[some], n[some]
-            if not len(at):
-                continue
-            w = np.repeat(at, n)
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            i = order[np.repeat(lo, n) + step]
-            near = np.bitwise_count(prints[w] ^ self.prints[i]) <= radius
-            left.append(w[near])
-            right.append(i[near])
-        if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
-
-    def sharing(self, flat: np.ndarray, need: int, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, item window) pairs, in parts, among them all that share ``need`` shingles or more; ``inside``: the windows that count."""
-        n = self.width - self.shingle + 1
-        s = shingles(flat, self.shingle)
-        at = np.flatnonzero(self.known_filter[s >> np.uint64(64 - _FILTER_BITS)])
+            self.tables.append((pair, key[order], order))
+        # Places of shingles within windows: an item's last places belong to the window that ends there.
+        inside = np.zeros(len(self.words) + 1, np.int64)
+        starts = np.flatnonzero(self.class_at >= 0)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, starts + self.width - self.shingle + 1, -1)
+        places = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        at = shingles(self.words, self.shingle)[places] if len(places) else np.zeros(0, np.uint64)
+        order = np.argsort(at, kind="stable")
+        self.places = places[order]
+        self.known, first = np.unique(at[order], return_index=True)
+        self.first = np.append(first, len(places))
+
+    def lookup(self, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the positions ``at`` hold a shingle of this index, how many places have it, and the first of them."""
         k = np.searchsorted(self.known, s[at])
         k[k == len(self.known)] = 0
-        hit = self.known[k] == s[at] if len(self.known) else np.zeros(0, bool)
-        at, k = at[hit], k[hit]
-        count, first = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
-        count[at], first[at] = self.first[k + 1] - self.first[k], self.first[k]
-        total = np.concatenate([[0], np.cumsum(count > 0)])
-        w = np.flatnonzero((total[n:] - total[:-n] >= need) & inside)
-        for part in np.array_split(w, len(w) // _PLACES + 1):
-            q = part[:, None] + np.arange(n)
-            rare = np.take_along_axis(q, np.argsort(count[q], axis=1, kind="stable")[:, : n - need + 1], 1).ravel()
-            of, ends = np.repeat(part, n - need + 1), np.cumsum(count[rare])
+        hit = self.known[k] == s[at]
+        k = k[hit]
+        return at[hit], self.first[k + 1] - self.first[k], self.first[k]
+
+    def near(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (row, class) pairs of fingerprints within the radius, in parts; a pair may come more than once."""
+        for pair, keys, order in self.tables:
+            key = _key(prints, pair)
+            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            some = np.flatnonzero(hi > lo)
+            ends = np.cumsum(hi[some] - lo[some])
+            cuts = np.searchsorted(ends, np.arange(_PLACES, (int(ends[-1]) if len(ends) else 0) + 1, _PLACES)) if len(ends) else []
+            for part in np.split(some, np.unique(cuts)) if len(some) else []:
+                at, row = _ranges(lo[part], hi[part] - lo[part])
+                w, c = part[row], order[at]
+                close = np.bitwise_count(prints[w] ^ self.prints[c]) <= self.radius
+                yield w[close], c[close]
+
+    def sharing(self, w: np.ndarray, hits: np.ndarray, count: np.ndarray, first: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of ``w``, class) pairs, in parts, among them all that share ``need`` shingles; ``w``: starts of windows with as many known shingles."""
+        n = self.width - self.shingle + 1
+        rows = np.arange(len(w))
+        for part in np.array_split(rows, len(w) * n // _PLACES + 1):
+            q = w[part][:, None] + np.arange(n)
+            k = np.minimum(np.searchsorted(hits, q), len(hits) - 1)
+            places = np.where(hits[k] == q, count[k], 0)
+            # Known or not, any n - need + 1 shingles will do: those with the fewest places.
+            rare = np.argsort(places, axis=1, kind="stable")[:, : n - need + 1]
+            places, k = np.take_along_axis(places, rare, 1).ravel(), np.take_along_axis(k, rare, 1).ravel()
+            of, ends = np.repeat(part, n - need + 1), np.cumsum(places)
             for lo in range(0, int(ends[-1]) if len(ends) else 0, _PLACES):
                 x = np.arange(lo, min(lo + _PLACES, ends[-1]))
                 row = np.searchsorted(ends, x, "right")
-                place = self.places[first[rare[row]] + x - (ends[row] - count[rare[row]])]
+                place = self.places[first[k[row]] + x - (ends[row] - places[row])]
                 start = place[:, None] - np.arange(n)
-                i = np.where(start >= 0, self.window_at[start], -1)
-                keep = i >= 0
-                yield np.repeat(of[row], n).reshape(-1, n)[keep], i[keep]
+                c = np.where(start >= 0, self.class_at[start], -1)
+                keep = c >= 0
+                yield np.repeat(of[row], n).reshape(-1, n)[keep], c[keep]
+
+    def matches(self, flat: np.ndarray, s: np.ndarray, at: np.ndarray, inside: np.ndarray, similarity: float, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, class, similarity) of windows of a text; ``s``: its shingles, ``at``: where any of the items' may be, ``inside``: for each start how many words follow in its document."""
+        n = self.width - self.shingle + 1
+        need = max(1, shared_shingles(similarity, n))
+        if not len(self.start) or len(s) < n or len(at) < need:
+            return
+        hits, count, first = self.lookup(s, at)
+        if len(hits) < need:
+            return
+        # Windows whose first known shingle is hits[i] and that reach the one ``need`` - 1 further on.
+        i = np.arange(len(hits) - need + 1)
+        low = np.maximum(np.concatenate([[-1], hits[:-1]])[i] + 1, np.maximum(hits[i + need - 1] - n + 1, 0))
+        w, _ = _ranges(low, np.maximum(np.minimum(hits[i], len(s) - n) - low + 1, 0))
+        w = w[inside[w] >= self.width]
+        if not len(w):
+            return
+        span = np.arange(self.width)
+        prints = simhash(_mix(flat)[w[:, None] + span])
+        whole = np.zeros(len(w), np.uint64)
+        with np.errstate(over="ignore"):  # equal windows have equal shingles
+            for k in range(n):
+                whole = whole * np.uint64(0xD6E8FEB86659FD93) + s[w + k]
+        _, one, same = np.unique(np.stack([whole, prints], 1), axis=0, return_index=True, return_inverse=True)
+        by_class = np.argsort(same.ravel(), kind="stable")
+        members = np.searchsorted(same.ravel()[by_class], np.arange(len(one) + 1))
+        starts = w[one]
+        seen = np.zeros(0, np.int64)
+        parts = self.near(prints[one]) if exact else (p for source in (self.near(prints[one]), self.sharing(starts, hits, count, first, need)) for p in source)
+        step = max(1, 1_000_000 // n)
+        for r, c in parts:
+            pair = np.setdiff1d(r * len(self.start) + c, seen)
+            seen = np.union1d(seen, pair)
+            for k in range(0, len(pair), step):
+                rr, cc = pair[k : k + step] // len(self.start), pair[k : k + step] % len(self.start)
+                a, b = flat[starts[rr][:, None] + span], self.words[self.start[cc][:, None] + span]
+                sim = shingle_similarity(a, b, self.shingle)
+                keep = sim >= similarity
+                if exact:
+                    keep &= (a == b).all(1)
+                rr, cc, sim = rr[keep], cc[keep], sim[keep]
+                x, row = _ranges(members[rr], members[rr + 1] - members[rr])
+                yield w[by_class[x]], cc[row], sim[row]
 
 
 def shingle_similarity(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
@@ -248,96 +298,150 @@ def shingle_similarity(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
 
     sa, sb = shingles(a, size), shingles(b, size)
     n = sa.shape[1]
-    # Occurrence number of each shingle in its window makes the multiset a set.
-    occurrence = lambda s: np.stack([(s[:, :k] == s[:, k : k + 1]).sum(1) for k in range(n)], 1).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        sa, sb = sa + occurrence(sa) * np.uint64(0xD6E8FEB86659FD93), sb + occurrence(sb) * np.uint64(0xD6E8FEB86659FD93)
-    both = (sa[:, :, None] == sb[:, None, :]).any(2).sum(1)
+    # The occurrence number of each shingle in its window makes the multiset a set; in the two sets, sorted together, a shared one stands twice.
+    place = np.arange(n)
+
+    def numbered(x: np.ndarray) -> np.ndarray:
+        x = np.sort(x, axis=1)
+        new = np.ones(x.shape, bool)
+        new[:, 1:] = x[:, 1:] != x[:, :-1]
+        nth = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+        with np.errstate(over="ignore"):
+            return x + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+    together = np.sort(np.concatenate([numbered(sa), numbered(sb)], axis=1), axis=1)
+    both = (together[:, 1:] == together[:, :-1]).sum(1)
     return both / (2 * n - both)
 
 
-def _candidates(ix: ItemIndex, flat: np.ndarray, doc: np.ndarray, radius: int, need: int, step: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate windows of a run of words, block by block, so that memory does not grow with the text."""
-    for start in range(0, max(0, len(flat) - ix.width + 1), step):
-        block = flat[start : start + step + ix.width - 1]
-        of = doc[start : start + len(block)]
-        inside = of[: len(of) - ix.width + 1] == of[ix.width - 1 :]  # a window must not reach into the next document
-        w, i = ix.candidates(simhash(_mix(block), ix.width), radius)
-        yield w[inside[w]] + start, i[inside[w]]
-        if ix.shingle:
-            for w, i in ix.sharing(block, need, inside):
-                yield w + start, i
+class Block:
+    """A bounded part of the items: their ids, and an index for each width of window."""
+
+    def __init__(self, items: list[tuple[object, np.ndarray, int]], shingle: int, radius: int):
+        ids = {}
+        by_width: dict[int, list] = {}
+        for item, h, width in items:
+            by_width.setdefault(width, []).append((ids.setdefault(item, len(ids)), h))
+        self.ids = list(ids)
+        self.indexes = [WindowIndex(w, shingle, radius, rows) for w, rows in sorted(by_width.items())]
+        self._filter()
+
+    def _filter(self) -> None:
+        """One bit for each shingle of any index, so that a text is looked through once for all widths."""
+        self.any = np.zeros(1 << _FILTER_BITS, bool)
+        for ix in self.indexes:
+            self.any[ix.known >> np.uint64(64 - _FILTER_BITS)] = True
 
+    def __getstate__(self) -> dict:
+        return {"ids": self.ids, "indexes": self.indexes}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._filter()
+
+
+def _match(id_column: str, text_column: str, blocks: list, similarity: float, shingle: int, exact: bool, glyphs: bool, item_type: pa.DataType):
+    def results(ids: list, docs: list[np.ndarray], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        size = np.array([len(d) for d in docs], np.int64)
+        flat = np.concatenate(docs)
+        doc = np.repeat(np.arange(len(docs)), size)
+        inside = np.repeat(np.cumsum(size), size) - np.arange(len(flat))
+        s = shingles(flat, shingle)
+        found: dict = {}
+        for b in blocks:
+            block: Block = b.value
+            hits = np.flatnonzero(block.any[s >> np.uint64(64 - _FILTER_BITS)])
+            for ix in block.indexes:
+                for at in range(0, max(0, len(s)), _STEP):
+                    end = at + _STEP + ix.width - 1
+                    lo, hi = np.searchsorted(hits, [at, end - shingle + 1])
+                    for w, c, sim in ix.matches(flat[at:end], s[at : end - shingle + 1], hits[lo:hi] - at, inside[at:end], similarity, exact):
+                        x, row = _ranges(ix.owned[c], ix.owned[c + 1] - ix.owned[c])
+                        rows = np.stack([doc[w[row] + at], ix.owner[x], w[row] + at], 1)
+                        first = np.lexsort((-sim[row], rows[:, 2], rows[:, 1], rows[:, 0]))
+                        for (d, o, pos), v in zip(rows[first].tolist(), sim[row][first].tolist()):
+                            f = found.setdefault((d, block.ids[o]), [set(), 0.0])
+                            f[0].add(pos)
+                            f[1] = max(f[1], v)
+            if len(blocks) > 1:
+                b.__dict__.pop("_value", None)  # one block in memory at a time
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[d] for d, _ in found], id_type), pa.array([m for _, m in found], item_type),
+                 pa.array([len(x[0]) for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.float64())],
+                names=[id_column, "item_id", "n_windows", "similarity"])
 
-def _match(id_column: str, text_column: str, index, radius: int, similarity: float, shingle: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: ItemIndex = index.value
-        width, hashes = ix.width, WordHashes()
-        need = shared_shingles(similarity, width - shingle + 1)
-        span = np.arange(width)
+        hashes, ids, docs, n, kind = WordHashes(), [], [], 0, None
         for big in batches:
             for batch in by_size(big, text_column):
-                ids = batch.column(batch.schema.get_field_index(id_column)).to_pylist()
-                docs = [hashes.of(words(t)) if t else np.zeros(0, np.uint64) for t in batch.column(batch.schema.get_field_index(text_column)).to_pylist()]
-                size = np.array([len(d) for d in docs])
-                if size.sum() < width:
-                    continue
-                flat = np.concatenate(docs)
-                doc = np.repeat(np.arange(len(docs)), size)
-                found: dict = {}
-                for w, i in _candidates(ix, flat, doc, radius, need):
-                    if not len(w):
-                        continue
-                    a, b = flat[w[:, None] + span], ix.words[ix.start[i][:, None] + span]
-                    sim = shingle_similarity(a, b, shingle)
-                    keep = sim >= similarity
-                    if exact:
-                        keep &= (a == b).all(1)
-                    w, i, sim = w[keep], i[keep], sim[keep]
-                    for d, item, pos, s in zip(doc[w].tolist(), ix.owner[i].tolist(), w.tolist(), sim.tolist()):
-                        x = found.setdefault((d, item), [set(), 0.0])
-                        x[0].add(pos)
-                        x[1] = max(x[1], s)
-                if not found:
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d, _ in found], batch.schema.field(id_column).type), pa.array([m for _, m in found], pa.int64()),
-                     pa.array([len(x[0]) for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.float64())],
-                    names=[id_column, "item_id", "n_windows", "similarity"])
+                kind = batch.schema.field(id_column).type
+                for i, t in zip(batch.column(batch.schema.get_field_index(id_column)).to_pylist(), batch.column(batch.schema.get_field_index(text_column)).to_pylist()):
+                    h = hashes.of(words(t, glyphs)) if t else ()
+                    if len(h) >= shingle:
+                        ids.append(i)
+                        docs.append(h)
+                        n += len(h)
+                        if n >= _GROUP_WORDS:
+                            yield from results(ids, docs, kind)
+                            ids, docs, n = [], [], 0
+        if docs:
+            yield from results(ids, docs, kind)
+
+    return run
+
+
+def _item_words(id_column: str, text_column: str, glyphs: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_column)).to_pylist()
+            ids = batch.column(batch.schema.get_field_index(id_column))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([hashes.of(words(t, glyphs)).tobytes() for t in texts], pa.binary())], names=[id_column, "_words"])
 
     return run
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, width: int, block_windows: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, streamed to the driver, in blocks of a bounded number of windows."""
+def item_blocks(items: DataFrame, item_id: str, text: str, width: int, shingle: int, radius: int, item_sized: bool, block_windows: int, glyphs: bool) -> Iterator[Block]:
+    """The items' hashed words, streamed to the driver, in blocks of a bounded number of windows."""
     block, n = [], 0
-    for item, t in items.select(item_id, text).where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).distinct().toLocalIterator():
-        block.append((item, t))
-        n += max(0, t.count(" ") + 1)
-        if n >= block_windows:
-            yield block
-            block, n = [], 0
+    own = items.select(item_id, text).where(F.col(text).isNotNull() & F.col(item_id).isNotNull())
+    hashed = own.mapInArrow(_item_words(item_id, text, glyphs), f"`{item_id}` {dict(items.dtypes)[item_id]}, _words binary").distinct()
+    for item, raw in hashed.toLocalIterator(prefetchPartitions=True):
+        h = np.frombuffer(raw, np.uint64)
+        w = max((x for x in LADDER if x <= len(h) and x >= shingle), default=0) if item_sized else width
+        if not w or len(h) < w:
+            continue
+        for at in range(0, len(h) - w + 1, block_windows):
+            piece = h[at : at + block_windows + w - 1]
+            if block and n + len(piece) - w + 1 > block_windows:
+                yield Block(block, shingle, radius)
+                block, n = [], 0
+            block.append((item, piece, w))
+            n += len(piece) - w + 1
     if block:
-        yield block
+        yield Block(block, shingle, radius)
 
 
 def leaked_items(
     docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
-    width: int = 13, radius: int = 0, similarity: float = 0.8, shingle: int = 5, exact: bool = False, block_windows: int = 400_000,
+    width: int = 13, radius: int = 2, similarity: float = 0.8, shingle: int = 5, exact: bool = False, item_sized: bool = False, block_windows: int = 400_000, glyphs: bool = False,
 ) -> DataFrame:
     """doc_id, item_id, number of matching windows and best similarity, of all pairs with a match.
 
-    ``radius`` up to 2 between fingerprints; ``similarity`` of the weighted
+    ``radius`` 0 to 6 between fingerprints; ``similarity`` of the weighted
     ``shingle``-word shingles of two windows, whatever their fingerprints;
-    ``exact``: the same words in order, for which fingerprints suffice.
+    ``exact``: the same words in order, for which fingerprints suffice;
+    ``item_sized``: windows as long as their item, instead of ``width``.
     """
-    if not 0 <= radius <= MAX_RADIUS or not 1 <= width <= 127 or width % 2 == 0 or not 1 <= shingle <= width or not 0 < similarity <= 1:
-        raise ValueError("radius 0 to 2, odd width up to 127, shingle up to the width, similarity above 0 and up to 1")
+    if not 0 <= radius <= MAX_RADIUS or not 1 <= width <= 127 or width % 2 == 0 or not 1 <= shingle <= width or not 0 < similarity <= 1 or block_windows < 1:
+        raise ValueError("radius 0 to 6, odd width up to 127, shingle up to the width, similarity above 0 and up to 1")
+    if doc_id in ("item_id", "n_windows", "similarity"):
+        raise ValueError(f"the column {doc_id} of the documents has the name of a result; rename it")
     spark = docs.sparkSession
-    schema = f"`{doc_id}` {dict(docs.dtypes)[doc_id]}, item_id long, n_windows long, similarity double"
-    out = None
-    for block in item_blocks(items, item_id, item_text, width, block_windows):
-        index = spark.sparkContext.broadcast(ItemIndex(block, width, 0 if exact else shingle))
-        part = docs.select(doc_id, text).mapInArrow(_match(doc_id, text, index, radius, similarity, shingle, exact), schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    item_type = next(f.dataType for f in items.schema if f.name == item_id)
+    schema = f"`{doc_id}` {dict(docs.dtypes)[doc_id]}, item_id {item_type.simpleString()}, n_windows long, similarity double"
+    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, item_id, item_text, width, shingle, radius, item_sized, block_windows, glyphs)]
+    if not blocks:
+        return spark.createDataFrame([], schema)
+    return docs.select(doc_id, text).mapInArrow(_match(doc_id, text, blocks, similarity, shingle, exact, glyphs, to_arrow_type(item_type)), schema)

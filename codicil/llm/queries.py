@@ -101,7 +101,7 @@ def _leaked(spark: SparkSession, d: str, **how) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least 13 consecutive words of an item."""
-    return _leaked(spark, d, width=13, radius=2, similarity=1.0, exact=True).select("doc_id", "item_id")
+    return _leaked(spark, d, width=13, radius=2, similarity=0.8, exact=True).select("doc_id", "item_id")
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +109,13 @@ def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaked(spark, d, width=13, radius=2, similarity=0.8).withColumn("similarity", F.round("similarity", 6))
 
 
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an item as a whole, or nearly so: item-sized windows of at least 0.8 similarity."""
+    return _leaked(spark, d, radius=4, similarity=0.8, item_sized=True).withColumn("similarity", F.round("similarity", 6))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_uniform, p5_found, p5_paragraphs, p6_found, p6_leaks, p7_mixture, p7_shares, p7_order, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_uniform, p5_found, p5_paragraphs, p6_found, p6_leaks, p6_items, p7_mixture, p7_shares, p7_order, p8_found, p8_languages)}
 
 
 _READY = "release_tag IN (SELECT release_tag FROM corpus_releases WHERE import_state = 'ready')"
