@@ -45,8 +45,33 @@ def test_changes_also_with_tables_that_are_too_small(spark):
                 rows += [(t, f"k{k}", v)] * (2 if rng.random() < 0.1 else 1)
     df = spark.createDataFrame(rows, "tag string, digest string, side string")  # names that the operator uses itself
     snaps = spark.createDataFrame([(t, i) for i, t in enumerate(tags)], "tag string, release_no int")
-    got = snapshot_changes(df, snaps, "tag", ["digest"], "side", per_bucket=100, first_cells=12)
-    assert {tuple(r) for r in got.collect()} == brute(rows, tags)
+    for how in ({"per_bucket": 100, "first_cells": 12}, {"per_bucket": 100, "first_cells": 3, "rounds": 1}, {"per_bucket": 400, "first_cells": 3, "rounds": 2}, {}):
+        got = snapshot_changes(df, snaps, "tag", ["digest"], "side", **how)
+        rows_ = [tuple(r) for r in got.collect()]
+        assert set(rows_) == brute(rows, tags) and len(rows_) == len(set(rows_))
+
+
+def test_many_small_snapshots_and_one_large(spark):
+    """Sizes far apart: the large one's arrival and departure change every record of it."""
+    small, large = 300, 60_000
+    df = spark.range(small).selectExpr("concat('v', id) AS tag", "'k' AS k", "'{}' AS v").unionByName(spark.range(large).selectExpr("'v150' AS tag", "concat('r', id) AS k", "concat('[', id, ']') AS v"))
+    snaps = spark.range(small).selectExpr("concat('v', id) AS tag", "int(id) AS release_no")
+    got = {(r["tag"], r["change_kind"]): r["count"] for r in snapshot_changes(df, snaps, "tag", ["k"], "v", first_cells=96).groupBy("tag", "change_kind").count().collect()}
+    assert got == {("v150", "added"): large, ("v151", "removed"): large}
+
+
+def test_a_key_that_holds_a_third_of_all_rows(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 2 = 0, 'a', 'b') AS tag", "if(id % 3 = 0, 'hot', concat('k', id div 2)) AS k", "concat('{\"x\": ', if(id % 3 = 0, id % 7, 1), '}') AS v")
+    snaps = spark.createDataFrame([("a", 0), ("b", 1)], "tag string, release_no int")
+    plain = rows.toPandas()
+    want = set()
+    least = {(t, k): min(canonical(v) for v in g) for (t, k), g in plain.groupby(["tag", "k"])["v"]}
+    for k in set(plain["k"]):
+        x, y = least.get(("a", k)), least.get(("b", k))
+        if (x is None) != (y is None):
+            want.add(("b", k, "added" if x is None else "removed"))
+    got = {tuple(r) for r in snapshot_changes(rows, snaps, "tag", ["k"], "v").collect()}
+    assert {x for x in got if x[1] != "hot"} == {x for x in want if x[1] != "hot"}
 
 
 def test_snapshot_edges(spark):
