@@ -65,6 +65,88 @@ def test_misread_names_are_found_without_a_frequent_form(spark, size):
     names = [a + b.lower() + c.lower() for a in parts for b in parts for c in parts][::1728 // size]
     misread = {"Morwentelnar": "Morwenfelnar", "Polsunrimgaul": "Polsiinrimgaul", "Therzinmorpol": "Therzirimorpol"}
     assert not set(misread) & set(names)
-    words = [(w, None) for w in [*names, *misread.values()]]
-    got = {r["word"]: r["form"] for r in misread_words(spark.createDataFrame(words, "word string, head string")).collect()}
+    vocabulary = spark.createDataFrame([(w, 1) for w in [*names, *misread.values()]], "word string, n long")
+    pairs = spark.createDataFrame([], "a string, b string, n long")
+    got = {r["word"]: r["form"] for r in misread_words(vocabulary, pairs).collect()}
     assert got == {v: k for k, v in misread.items()}
+
+
+def test_letter_scores_against_counting(spark):
+    import math
+
+    import numpy as np
+
+    from codicil.llm.scan_repair import Letters, letter_model, letter_scores
+
+    words = ["Morgan", "Morwen", "Gaulmor", "mormor", "Eé", "Ɐa"]
+    model = letter_model(spark.createDataFrame([(w,) for w in words], "word string"))
+    cases = [("Morwen", "Morwenn"), ("mormor", "mormor"), ("Gaulmor", "Qaulmor"), ("Eé", "Ee")]
+
+    def counted(word, string):
+        others = [x.lower() for x in words if x != word]
+        pad = lambda x: "^^^" + x.lower() + "$"
+        total = 0.0
+        for i in range(3, len(pad(string))):
+            p = 1 / 64
+            for k in range(4):
+                gram, start = pad(string)[i - k : i + 1], pad(string)[i - k : i]
+                at = [(pad(x)[j - k : j], pad(x)[j]) for x in others for j in range(3, len(pad(x)))]
+                after = [c for b, c in at if b == start]
+                if after:
+                    kinds = len(set(after))
+                    p = (after.count(gram[-1]) + kinds * p) / (len(after) + kinds)
+            total += math.log(p)
+        return total
+
+    got = letter_scores([w for w, _ in cases], np.arange(len(cases)), [v for _, v in cases], model)
+    assert got.tolist() == pytest.approx([counted(w, v) for w, v in cases])
+
+
+def test_skeleton_by_column(spark):
+    from pyspark.sql import functions as F
+
+    from codicil.llm.scan_repair import skeleton_column
+
+    words = ["Turn", "tum", "WILL", "9q", "meehng", "0865", "fi|e", "dwarf", "Ünder", "zoo2y"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", skeleton_column(F.col("w"))).collect()
+    assert all(r[1] == skeleton(r[0]) for r in got)
+
+
+PHRASES = {
+    "modern": "the modern law of", "modem": "a modem for sale", "bill": "this bill was read", "hill": "on hill land near", "east": "the east gate is", "cast": "was cast iron by", "clear": "has clear title to", "dear": "a dear friend who"}
+OFTEN = {"modern": 180, "modem": 20, "bill": 400, "hill": 32, "east": 140, "cast": 8, "clear": 80, "dear": 9}
+
+
+def test_words_that_are_both_true_stay_and_context_finds_the_misread(spark):
+    """Frequencies far apart, both words in use: each stays where its neighbours know it; the rare word in the common one's place does not."""
+    rows = [PHRASES[w] for w, n in OFTEN.items() for _ in range(n)]
+    rows += ["the modem law of the", "this hill was read", "has dear title to"]
+    blocks = spark.createDataFrame([(i, "s", t) for i, t in enumerate(rows)], "draft_block_id long, source_id string, text string")
+    ex = spark.createDataFrame([], "exclusion_id long, source_id string, reason string, source_excerpt string")
+    r = ScanRepair(blocks, ex)
+    n = len(rows)
+    assert {(x["record_id"], x["noise"]) for x in r.noise().collect()} == {(n - 3, "misread"), (n - 2, "misread"), (n - 1, "misread")}
+    text = {x["draft_block_id"]: x["text"] for x in r.paragraphs().collect()}
+    assert [text[n - 3], text[n - 2], text[n - 1]] == ["the modern law of the", "this bill was read", "has clear title to"]
+
+
+def test_only_the_place_is_repaired(spark):
+    """Of two equal words of a line, one is judged correct."""
+    rows = ["he saw the modem law of the modem for sale"] + ["the modern law of the"] * 30 + ["the modem for sale is"] * 9
+    blocks = spark.createDataFrame([(i, "s", t) for i, t in enumerate(rows)], "draft_block_id long, source_id string, text string")
+    ex = spark.createDataFrame([], "exclusion_id long, source_id string, reason string, source_excerpt string")
+    text = {x["draft_block_id"]: x["text"] for x in ScanRepair(blocks, ex).paragraphs().collect()}
+    assert text[0] == "he saw the modern law of the modem for sale" and text[35] == "the modem for sale is"
+
+
+def test_headers_without_any_exclusion(spark):
+    """By recurrence within a source, over sources, and by the title of the source; short ones too, and not the ends of paragraphs."""
+    body = lambda i, head: f"a line of plain words {i}\n{head}\nand more of it for the Council\nof the Harbour Board."
+    rows = [(i, "s1", body(i, f"GAZETTE {i}")) for i in range(3)] + [(10 + i, f"t{i}", body(i, f"Federal Reports, Part {i}")) for i in range(3)]
+    rows += [(20, "u", body(9, "12 Seed Certification Act")), (21, "v", body(9, "Once Only Heading")), (22, "v", body(3, "No. 4 Well Drilling Act")), (23, "w", body(3, "No. 5 Museum Loans Act")), (24, "x", body(3, "No. 6 Road Haulage Act"))]
+    blocks = spark.createDataFrame(rows, "draft_block_id long, source_id string, text string")
+    sources = spark.createDataFrame([("u", "Gazette issue 4: Seed Certification Act"), ("v", "Well Drilling Act, office copy"), ("w", "Museum Loans Act"), ("x", "Road Haulage Act"), ("x", None)], "source_id string, document_title string")
+    ex = spark.createDataFrame([], "exclusion_id long, source_id string, reason string, source_excerpt string")
+    got = {(x["record_id"], x["line_no"]) for x in ScanRepair(blocks, ex, sources).noise().collect() if x["noise"] == "running_header"}
+    assert got == {(i, 2) for i, *_ in rows if i != 21}
+    assert {x["record_id"] for x in ScanRepair(blocks, ex).noise().collect() if x["noise"] == "running_header"} == {0, 1, 2, 10, 11, 12}
