@@ -139,30 +139,37 @@ def _arrow(kind: str, f):
 # Lines.
 
 
+_LETTER = "[\\p{L}\\p{M}\\p{N}|!'’]"
+
+
+def _share(line: Column, least: float) -> Column:
+    """Whether a line has longer words, at least so many of them capitalised."""
+    long, capital = (F.regexp_count(line, F.lit(f"(?<!{_LETTER}){first}{_LETTER}{{3,}}")) for first in ("\\p{L}", "\\p{Lu}"))
+    return (long > 0) & (capital >= least * long)
+
+
 def titlelike(line: Column) -> Column:
     """Whether a line is written like a title: most longer words capitalised, no stop at its end."""
-    long = F.regexp_extract_all(line, F.lit("[\\p{L}][\\p{L}\\p{M}\\p{N}|!'’]{3,}"), F.lit(0))
-    capital = F.size(F.filter(long, lambda w: w.rlike("^\\p{Lu}")))
-    return (F.size(long) > 0) & (capital >= TITLE_SHARE * F.size(long)) & ~line.rlike("[.;:,]\\s*$")
+    return ~line.rlike("[.;:,]\\s*$") & _share(line, TITLE_SHARE)
 
 
 def stands_alone(line: Column) -> Column:
     """Of lines like titles, those that no sentence runs through: a capital or figure first, nearly all longer words capitalised, a whole word last."""
-    long = F.regexp_extract_all(line, F.lit("[\\p{L}][\\p{L}\\p{M}\\p{N}|!'’]{3,}"), F.lit(0))
-    capital = F.size(F.filter(long, lambda w: w.rlike("^\\p{Lu}")))
-    return line.rlike("^\\s*[\\p{Lu}\\p{N}]") & (capital >= ALONE_SHARE * F.size(long)) & ~line.rlike("(?:^|\\s)\\p{Ll}{1,3}\\s*$")
+    return line.rlike("^\\s*[\\p{Lu}\\p{N}]") & _share(line, ALONE_SHARE) & ~line.rlike("(?:^|\\s)\\p{Ll}{1,3}\\s*$")
 
 
-def _lines(blocks: DataFrame) -> DataFrame:
-    """draft_block_id, source_id, line_no, line, and the signature of lines like titles."""
+def _blocks(blocks: DataFrame) -> DataFrame:
+    """draft_block_id, source_id, ls: the lines of each block."""
     own = blocks.where("draft_block_id is not null").select("draft_block_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), "source_id").alias("x"))
-    own = own.groupBy("draft_block_id").agg(F.min("x").alias("x")).select("draft_block_id", "x.source_id", "x.text")
-    lines = own.withColumn("ls", F.split("text", "\n")).select("draft_block_id", "source_id", "ls", F.posexplode("ls").alias("line_no", "line"))
-    # A sentence that goes on around a line, which a heading of the text itself never has.
-    before, after = F.get("ls", F.col("line_no") - 1), F.get("ls", F.col("line_no") + 1)
+    return own.groupBy("draft_block_id").agg(F.min("x").alias("x")).select("draft_block_id", "x.source_id", F.split("x.text", "\n").alias("ls"))
+
+
+def _signed(blocks: DataFrame) -> DataFrame:
+    """Lines like titles with their signature; ``amid``: a sentence goes on around them, which it never does around a heading of the text itself."""
+    lines = blocks.select("draft_block_id", "source_id", "ls", F.posexplode("ls").alias("i", "line")).where(titlelike(F.col("line")) & ~F.col("line").rlike(PAGE_NUMBER))
+    before, after = F.get("ls", F.col("i") - 1), F.get("ls", F.col("i") + 1)
     amid = F.coalesce(before.rlike("[\\p{Ll},]\\s*$"), F.lit(False)) | F.coalesce(after.rlike("^\\s*\\p{Ll}"), F.lit(False))
-    sig = _arrow("string", lambda x: signature(x) or None)
-    return lines.select("draft_block_id", "source_id", (F.col("line_no") + 1).alias("line_no"), "line", amid.alias("amid"), sig(F.when(titlelike(F.col("line")) & ~F.col("line").rlike(PAGE_NUMBER), F.col("line"))).alias("sig"))
+    return lines.select("draft_block_id", "source_id", (F.col("i") + 1).alias("line_no"), "line", amid.alias("amid"), _arrow("string", signature)("line").alias("sig")).where("sig <> ''")
 
 
 def _title_pieces(sources: DataFrame) -> DataFrame:
@@ -178,7 +185,7 @@ def header_signatures(lines: DataFrame, exclusions: DataFrame, sources: DataFram
     audited = exclusions.where("source_excerpt is not null").select("source_id", "source_excerpt")
     audited = audited.where(titlelike(F.col("source_excerpt")) & ~F.startswith(F.ltrim("source_excerpt"), F.lit("["))).select("source_id", _arrow("string", signature)("source_excerpt").alias("sig"), _arrow("string", form_of)("source_excerpt").alias("form"))
     audited = audited.where("sig <> '' and form = 'recurring_header'").groupBy("source_id", "sig").agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("aside"))
-    printed = lines.where("sig is not null").groupBy("source_id", "sig").agg(F.count_if(F.col("amid") & stands_alone(F.col("line"))).alias("n"), F.lit(False).alias("aside"))
+    printed = lines.groupBy("source_id", "sig").agg(F.count_if(F.col("amid") & stands_alone(F.col("line"))).alias("n"), F.lit(False).alias("aside"))
     by_source = durable(audited.unionByName(printed).groupBy("source_id", "sig").agg(F.sum("n").alias("n"), F.bool_or("aside").alias("aside")), "signatures")
     recurs = by_source.groupBy("sig").agg(F.max("n").alias("most"), F.count_if(F.col("n") > 0).alias("n_sources"), F.bool_or("aside").alias("aside"))
     out = recurs.where((F.col("most") >= MIN_REPEATS) | (F.col("n_sources") >= MIN_REPEATS) | F.col("aside")).select("sig")
@@ -193,28 +200,25 @@ def header_signatures(lines: DataFrame, exclusions: DataFrame, sources: DataFram
 
 
 def classify_lines(blocks: DataFrame, exclusions: DataFrame, sources: DataFrame | None) -> DataFrame:
-    """Lines with ``kind``: text, running_header, page_number or blank."""
-    lines = durable(_lines(blocks), "signed")
-    headers = header_signatures(lines, exclusions, sources).withColumn("_header", F.lit(True))
-    # Most lines have no signature; they get a key of their own, so that they don't meet in one task.
-    own = F.concat(F.lit("\x00"), F.xxhash64("draft_block_id", "line_no").cast("string"))
-    kind = (
-        F.when(F.trim("line") == "", "blank").when(F.col("line").rlike(PAGE_NUMBER), "page_number")
-        .when(F.col("_header"), "running_header").otherwise("text")
-    )
-    return lines.withColumn("sig", F.coalesce("sig", own)).join(headers, "sig", "left").select("draft_block_id", "source_id", "line_no", "line", kind.alias("kind"))
-
+    """Lines with ``kind`` (text, running_header, page_number or blank), and text lines as sequences of words.
 
-# Words.
-
-
-def _sequences(text: DataFrame) -> DataFrame:
-    """Text lines as sequences of words: ``e`` has the words, a broken one in one piece at the line where it starts.
-
-    first: how many words of the line belong to the line before; w0, w9: the words before and after; next_no: the next text line.
+    ``e`` has the words of a line, a broken one in one piece at the line where it
+    starts; first: how many words belong to the line before; w0, w9: the words before
+    and after; next_no: the next text line.
     """
-    order = Window.partitionBy("draft_block_id").orderBy("line_no")
-    t = text.select("draft_block_id", "line_no", F.regexp_extract_all("line", F.lit(WORD), F.lit(0)).alias("words"), F.col("line").rlike(BROKEN).alias("broken"))
+    blocks = durable(_blocks(blocks), "blocks")
+    signed = durable(_signed(blocks), "signed")
+    headers = header_signatures(signed, exclusions, sources)
+    hits = signed.join(headers, "sig", "left_semi").groupBy("draft_block_id").agg(F.collect_list("line_no").alias("headers"))
+    # Blocks are partitioned by id once, whole; their lines and the windows over them stay where they are.
+    lines = blocks.repartition("draft_block_id").join(hits, "draft_block_id", "left")
+    lines = lines.select("draft_block_id", "source_id", F.coalesce("headers", F.array().cast("array<int>")).alias("headers"), F.posexplode("ls").alias("i", "line")).withColumn("line_no", F.col("i") + 1)
+    kind = (
+        F.when(F.trim("line") == "", "blank").when(F.col("line").rlike(PAGE_NUMBER), "page_number").when(F.array_contains("headers", F.col("line_no")), "running_header").otherwise("text"))
+    text = F.col("kind") == "text"
+    t = lines.withColumn("kind", kind).select(
+        "draft_block_id", "source_id", "line_no", "line", "kind", F.when(text, F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"), F.when(text, F.col("line").rlike(BROKEN)).alias("broken"))
+    order = Window.partitionBy("draft_block_id", F.col("kind") == "text").orderBy("line_no")
     t = t.select(
         "*", F.lead("line_no").over(order).alias("next_no"), F.lead("words").over(order).alias("next_words"),
         F.coalesce(F.lag("broken").over(order), F.lit(False)).alias("continues"), F.lag("words").over(order).alias("last_words"))
@@ -222,20 +226,22 @@ def _sequences(text: DataFrame) -> DataFrame:
     broken = F.col("broken") & F.col("next_words").isNotNull() & (F.size("next_words") > 0) & (F.size("words") > 0)
     skip = F.when(F.col("continues"), 1).otherwise(0)
     whole = F.slice("words", skip + 1, F.greatest(F.lit(0), F.size("words") - skip - F.when(broken, 1).otherwise(0)))
-    none = F.lit(None).cast("string")
-    entries = F.concat(
-        F.transform(whole, lambda w: F.struct(w.alias("word"), none.alias("head"), none.alias("tail"))),
-        F.when(broken, F.array(F.struct(F.concat(last("words"), first("next_words")).alias("word"), last("words").alias("head"), first("next_words").alias("tail"))))
-        .otherwise(F.array().cast("array<struct<word:string,head:string,tail:string>>")))
-    return t.select("draft_block_id", "line_no", "next_no", skip.alias("first"), F.when(~F.col("continues"), last("last_words")).alias("w0"), F.when(~broken, first("next_words")).alias("w9"), entries.alias("e"))
+    joined = F.when(broken, F.struct(last("words").alias("head"), first("next_words").alias("tail")))
+    return t.select(
+        "draft_block_id", "source_id", "line_no", "line", "kind", "next_no", skip.alias("first"), F.when(~F.col("continues"), last("last_words")).alias("w0"), F.when(~broken, first("next_words")).alias("w9"),
+        F.when(broken, F.concat(whole, F.array(F.concat(joined["head"], joined["tail"])))).otherwise(whole).alias("e"), joined.alias("joined"))
+
+
+# Words.
 
 
-def _occurrences(sequences: DataFrame) -> DataFrame:
-    """Each word with its place and its neighbours."""
-    return sequences.select("draft_block_id", "line_no", "next_no", "first", "w0", "w9", "e", F.posexplode("e").alias("pos", "x")).select(
-        "draft_block_id", "line_no", "next_no", (F.col("pos") + F.col("first")).alias("place"), F.col("x.word").alias("word"), F.col("x.head").alias("head"), F.col("x.tail").alias("tail"),
-        F.when(F.col("pos") > 0, F.get(F.col("e.word"), F.col("pos") - 1)).otherwise(F.col("w0")).alias("before"),
-        F.coalesce(F.get(F.col("e.word"), F.col("pos") + 1), F.col("w9")).alias("after"))
+def _occurrences(lines: DataFrame) -> DataFrame:
+    """Each word of the text lines with its place and its neighbours; head and tail of a broken one."""
+    at = lines.where("kind = 'text'").select("draft_block_id", "line_no", "next_no", "first", "w0", "w9", "e", "joined", F.posexplode("e").alias("pos", "word"))
+    broken = F.col("joined").isNotNull() & (F.col("pos") == F.size("e") - 1)
+    return at.select(
+        "draft_block_id", "line_no", "next_no", (F.col("pos") + F.col("first")).alias("place"), "word", F.when(broken, F.col("joined.head")).alias("head"), F.when(broken, F.col("joined.tail")).alias("tail"),
+        F.when(F.col("pos") > 0, F.get("e", F.col("pos") - 1)).otherwise(F.col("w0")).alias("before"), F.coalesce(F.get("e", F.col("pos") + 1), F.col("w9")).alias("after"))
 
 
 def word_pairs(occurrences: DataFrame) -> DataFrame:
@@ -447,7 +453,7 @@ class ScanRepair:
 
     def __init__(self, blocks: DataFrame, exclusions: DataFrame, sources: DataFrame | None = None):
         self.lines = durable(classify_lines(blocks, exclusions, sources), "lines")
-        words = _occurrences(durable(_sequences(self.lines.where("kind = 'text'")), "sequences"))
+        words = _occurrences(self.lines)
         self.exclusions = exclusions
         pairs = durable(word_pairs(words), "pairs")
         vocabulary = durable(pairs.groupBy(F.col("b").alias("word")).agg(F.sum("n_whole").alias("n")), "vocabulary")
@@ -485,7 +491,7 @@ class ScanRepair:
         """draft_block_id and its continuous text."""
         repl = self.misread.where("head is null").groupBy("draft_block_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("place", "form"))).alias("repl"))
         split = self.split.select("draft_block_id", "line_no", "next_no", "head", "tail", "one")
-        line = self.lines.where("kind = 'text'").join(repl, ["draft_block_id", "line_no"], "left")
+        line = self.lines.where("kind = 'text'").select("draft_block_id", "line_no", "line").join(repl, ["draft_block_id", "line_no"], "left")
         line = line.join(split.select("draft_block_id", "line_no", "head", "one"), ["draft_block_id", "line_no"], "left")
         line = line.join(split.select("draft_block_id", F.col("next_no").alias("line_no"), "tail"), ["draft_block_id", "line_no"], "left")
         # What stands between the words, and the words: each replaced at its own place only.
