@@ -27,13 +27,13 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Fields that hold a character that is not the plain one for what is seen."""
-    changed = uniform_text(_fields(spark, d), "text", only_changed=True)
+    changed = uniform_text(_fields(spark, d), "text", only_changed=True, twice_widened=True)  # as these sources were
     return changed.select("release_tag", "table_name", "record_id", "field_name").distinct()
 
 
 def p1_uniform(spark: SparkSession, d: str) -> DataFrame:
     """Every field in its consistent form, and a digest of it to compare by."""
-    out = uniform_text(_fields(spark, d), "text")
+    out = uniform_text(_fields(spark, d), "text", twice_widened=True)
     keys = ["release_tag", "table_name", "record_id", "field_name"]
     return out.groupBy(*keys).agg(F.min("_uniform").alias("text"), F.bool_or("_changed").alias("changed")).withColumn("digest", F.sha2("text", 256))
 
