@@ -57,12 +57,12 @@ def p7_order(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).order()
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
-    return language.identify(table(spark, d, "documents").select("doc_id", "lang", "text"), "text", "lang", ["doc_id", "lang"])
+def _languages(spark: SparkSession, d: str, **how) -> DataFrame:
+    return language.identify(table(spark, d, "documents").select("doc_id", "lang", "text"), "text", "lang", ["doc_id", "lang"], **how)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose label is missing or wrong, and paragraphs in another language than the main one."""
+    """Documents whose label is missing or wrong, and paragraphs in another language than the main one, as far as they are in one of the eight."""
     docs = _languages(spark, d).where("main is not null")
     named = language.label_column("lang")
     wrong = F.when(named.eqNullSafe(F.col("main")), F.array()).otherwise(F.array(F.struct(F.lit(0).alias("segment_no"), F.col("main").alias("lang"))))
@@ -72,12 +72,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Main language and confidence of each document (segment 0) and of each paragraph."""
+    """Main language and confidence of each document (segment 0) and of each paragraph; und where it is none of the eight."""
     docs = _languages(spark, d)
     whole = F.array(F.struct(F.lit(0).alias("segment_no"), F.col("main").alias("lang"), F.col("main_confidence").alias("confidence")))
     parts = F.transform("segments", lambda s: F.struct(s["segment_no"].alias("segment_no"), s["lang"].alias("lang"), s["confidence"].alias("confidence")))
     rows = docs.select("doc_id", F.explode(F.concat(whole, parts)).alias("x"))
-    return rows.select("doc_id", F.col("x.segment_no").cast("long").alias("segment_no"), "x.lang", F.round("x.confidence", 6).alias("confidence"))
+    return rows.select("doc_id", F.col("x.segment_no").cast("long").alias("segment_no"), F.coalesce("x.lang", F.lit("und")).alias("lang"), F.round("x.confidence", 6).alias("confidence"))
+
+
+def p8_switches(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs that change their language amid the text: ranges of code points with their languages."""
+    rows = _languages(spark, d, switches=True).select("doc_id", F.explode("switches").alias("x"))
+    cols = [F.col(f"x.{c}").cast("long").alias(c) for c in ("segment_no", "part_no", "start", "end")]
+    return rows.select("doc_id", *cols, F.coalesce("x.lang", F.lit("und")).alias("lang"), F.round("x.confidence", 6).alias("confidence"))
 
 
 def _repair(spark: SparkSession, d: str) -> ScanRepair:
@@ -115,7 +122,7 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_uniform, p5_found, p5_paragraphs, p6_found, p6_leaks, p6_items, p7_mixture, p7_shares, p7_order, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p1_uniform, p5_found, p5_paragraphs, p6_found, p6_leaks, p6_items, p7_mixture, p7_shares, p7_order, p8_found, p8_languages, p8_switches)}
 
 
 _READY = "release_tag IN (SELECT release_tag FROM corpus_releases WHERE import_state = 'ready')"

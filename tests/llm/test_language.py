@@ -1,6 +1,6 @@
 import pytest
 
-from codicil.llm.language import LANGUAGES, fit, identify, label_column, label_language
+from codicil.llm.language import LANGUAGES, changes, fit, identify, label_column, label_language, sample_labelled, sentences
 
 #: Short passages of everyday wording in each language, written for these tests.
 SAYINGS = {
@@ -59,7 +59,7 @@ def test_held_out_accuracy():
     from codicil.llm.language import fold, segment_scores
 
     held = [SAYINGS[lang][2] for lang in LANGUAGES]
-    scores, _ = segment_scores([fold(t) for t in held], models)
+    scores, _, _ = segment_scores([fold(t) for t in held], models)
     right = sum(LANGUAGES[i] == lang for i, lang in zip(scores.argmax(1), LANGUAGES))
     assert right >= 6  # from two sentences each
 
@@ -67,3 +67,41 @@ def test_held_out_accuracy():
 def test_label_column(spark):
     df = spark.createDataFrame([("EN",), (None,), ("und",), ("ita",)], "lang string")
     assert [r[0] for r in df.select(label_column("lang")).collect()] == ["eng", None, None, "?"]
+
+
+OTHERS = {
+    "ita": "Il contadino porta le mele al mercato prima che il sole sia alto. Vorremmo sapere quando parte il prossimo treno per la costa. Nessuno aveva aperto la vecchia porta di legno da molti anni.",
+    "nld": "De boer brengt de appels naar de markt voordat de zon hoog staat. Wij willen graag weten wanneer de volgende trein naar de kust vertrekt. Niemand had de oude houten deur in vele jaren geopend.",
+    "none": "Qxj vrrk plomz ghtw ynnb eewq zzkl puhv drts mmgb okij nhuy tgbv rfcd edcx wsxz qazp lokm ijnb uhbv ygvc tfcx rdxz eszw",
+    "rus": "Крестьянин несёт яблоки на рынок, пока солнце не поднялось высоко."}
+
+
+def test_other_languages_are_none_of_ours_and_absent_ones_cannot_be_chosen(spark):
+    rows = [r for r in documents() if r[3] != "hau"]
+    df = spark.createDataFrame([(k, lang if lang != "hau" else "eng", t) for k, lang, t, _ in rows] + [(1000 + i, None, t) for i, t in enumerate([*OTHERS.values(), " ".join(SAYINGS["hau"])])], "doc_id long, lang string, text string")
+    got = {r["doc_id"]: r for r in identify(df, "text", "lang", ["doc_id"]).collect()}
+    assert all(got[k]["main"] == truth for k, _, _, truth in rows)
+    for i in range(5):
+        assert got[1000 + i]["main"] is None and got[1000 + i]["main_confidence"] == 0 and all(s["lang"] is None for s in got[1000 + i]["segments"])
+    assert all("hau" not in dict(r["proportions"] or {}) for r in got.values())
+
+
+def test_changes_within_a_paragraph():
+    texts = [" ".join(s) for s in SAYINGS.values()]
+    models = fit(texts, list(SAYINGS))
+    mixed = " ".join(SAYINGS["eng"]) + " " + " ".join(SAYINGS["fra"]) + " Sure?"
+    got = changes([mixed, " ".join(SAYINGS["deu"]), "", "1. 2. 3."], models)
+    cut = len(" ".join(SAYINGS["eng"])) + 1
+    assert [(a, b, lang) for a, b, lang, _ in got[0]] == [(0, cut, "eng"), (cut, len(mixed), "fra")] and got[1:] == [[], [], []]
+    assert sentences("") == [] and sentences("x" * 70 + ". " + "y" * 80) == [(0, 72), (72, 152)] and sentences("Short. " * 30)[-1][1] == 210 and sentences("Short. ") == [(0, 7)]
+
+
+def test_a_language_of_few_copied_texts_is_sampled(spark):
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, 'eng', 'swa') AS lang", "if(id % 2 = 0, concat('the farmer number ', id), 'mkulima analeta matunda sokoni') AS text")
+    texts, labels = sample_labelled(rows, "text", "lang", 20)
+    assert labels.count("swa") == 1 and labels.count("eng") == 20 and len(set(texts)) == 21
+    long = spark.createDataFrame([("eng", "word " * 1000), ("eng", "the farmer"), ("deu", "Der Bauer bringt die Äpfel")], "lang string, text string")
+    texts, labels = sample_labelled(long, "text", "lang", 20, sample_bytes=100)
+    assert sorted(labels) == ["deu", "eng"]
+    many = spark.range(120_000).selectExpr("if(id = 7, 'eng', concat('label ', id)) AS lang", "'the farmer brings the apples' AS text")
+    assert sample_labelled(many, "text", "lang", 20)[1] == ["eng"]
