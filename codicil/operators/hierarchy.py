@@ -37,7 +37,9 @@ from codicil.session import durable
 # What a vertex ends in.
 ROOT, MISSING, CYCLE, ON_CYCLE, OPEN = "root", "missing", "cycle", "on_cycle", "open"
 
-_LOCAL = "b long, s string, v string, t string, w long, status string, path array<string>, parent string"
+_LOCAL = "b long, s string, v string, t string, w long, status string, path array<string>, parent string, below long"
+#: Between an id and what it carries along its paths; stands for null there.
+_SEP, _NULL = "\x1f", "\x00"
 
 
 class WeightedForest:
@@ -112,15 +114,20 @@ def _local_forest(pdf: pd.DataFrame) -> pd.DataFrame:
     parent = pdf["parent"].to_numpy(object)
     has = pdf["parent"].notna().to_numpy()
     forest, outside = _forest_of(pdf["s"], pdf["v"], pdf["parent"], np.ones(len(pdf), np.int64), has)
-    ids = pdf["v"].to_numpy(object)
+    ids, labels = pdf["v"].to_numpy(object), pdf["label"].to_numpy(object)
     paths: list = [None] * len(pdf)
-    for i in forest.downward():
-        paths[i] = [ids[i]] if forest.root[i] == i else paths[forest.up[i]] + [ids[i]]
+    below = np.zeros(len(pdf), np.int64)
+    order = forest.downward()
+    for i in order:
+        paths[i] = [labels[i]] if forest.root[i] == i else paths[forest.up[i]] + [labels[i]]
+    for i in order[::-1]:
+        if forest.root[i] != i:
+            below[forest.up[i]] += below[i] + 1
     at = forest.root
     status = np.where(forest.on_cycle, ON_CYCLE, np.where(forest.on_cycle[at], CYCLE, np.where(outside[at], OPEN, ROOT)))
     return pd.DataFrame({
         "b": pdf["b"], "s": pdf["s"], "v": ids, "t": ids[at], "w": forest.offset, "status": status,
-        "path": paths, "parent": np.where(outside, parent, None),
+        "path": paths, "parent": np.where(outside, parent, None), "below": below,
     })
 
 
@@ -172,9 +179,15 @@ def build_hierarchy(
     parent: str,
     localities: Sequence[Column] = (),
     max_bucket: int = 200_000,
+    carry: Sequence[Column] = (),
+    sizes: bool = False,
 ) -> DataFrame:
     """scope, node, status, root, depth (null unless a root is reached), path (ids from the root).
 
+    ``carry``: values that each node takes along its paths; then ``steps`` has for
+    each node of the path its id and these values, as strings. ``sizes``: also
+    ``n_descendants``, summed from the subtrees of the buckets, without pairs.
+
     ``localities``: keys over ``node`` and ``scope``, from fine to coarse, that
     tell which nodes probably hang together (the scope by default); a key with
     too many rows for a bucket is split by id. They steer speed, never results.
@@ -182,10 +195,11 @@ def build_hierarchy(
     spark = df.sparkSession
     localities = list(localities) or [F.col(scope)]
     keys = [c.cast("string").alias(f"l{i}") for i, c in enumerate(localities)]
+    label = F.concat_ws(_SEP, F.col(node).cast("string"), *[F.coalesce(c.cast("string"), F.lit(_NULL)) for c in carry])
     rows = (
-        df.select(F.col(scope).cast("string").alias("s"), F.col(node).cast("string").alias("v"), F.col(parent).cast("string").alias("parent"), *keys)
+        df.select(F.col(scope).cast("string").alias("s"), F.col(node).cast("string").alias("v"), F.col(parent).cast("string").alias("parent"), *keys, label.alias("label"))
         .where("s is not null and v is not null")
-        .groupBy("s", "v").agg(F.min("parent").alias("parent"), *[F.min(f"l{i}").alias(f"l{i}") for i in range(len(keys))])
+        .groupBy("s", "v").agg(F.min("parent").alias("parent"), *[F.min(f"l{i}").alias(f"l{i}") for i in range(len(keys))], F.min("label").alias("label"))
     )
     rows = durable(rows, "nodes")
     n = max(1, -(-rows.count() * 4 // max_bucket))
@@ -194,7 +208,7 @@ def build_hierarchy(
     hot = rows.groupBy("s", "l0").count().where(F.col("count") > max_bucket // 4).select("s", "l0", F.lit(True).alias("_split"))
     split = rows.join(hot, ["s", "l0"], "left").withColumn("_split", F.coalesce("_split", F.lit(False)))
     placed = split.withColumn("b", _buckets(split, [F.col("s"), F.col("l0")], max_bucket, n))
-    local = durable(placed.select("b", "s", "v", "parent").groupBy("b").applyInPandas(_local_forest, _LOCAL), "forest")
+    local = durable(placed.select("b", "s", "v", "parent", "label").groupBy("b").applyInPandas(_local_forest, _LOCAL), "forest")
 
     # Up: a link from each open local root to the local root of its parent.
     crossing = local.where((F.col("status") == OPEN) & F.col("parent").isNotNull()).select("s", "v", "parent")
@@ -226,12 +240,21 @@ def build_hierarchy(
     )
     depth = F.col("w") + F.when(F.col("status") == OPEN, F.col("w2")).otherwise(0)
     path = F.when((F.col("status") == OPEN) & (F.col("status2") == ROOT), F.concat("prefix", "path")).when(F.col("status") == ROOT, F.col("path"))
+    more = []
+    if sizes:
+        # What hangs below a node in other buckets: the local trees whose way to the root leads through it.
+        hung = merged.where(F.col("status") == ROOT).select("s", F.col("v").alias("r"), F.explode("prefix").alias("x")).join(local.select("s", F.col("v").alias("r"), (F.col("below") + 1).alias("n")), ["s", "r"])
+        hung = hung.groupBy("s", F.split_part("x", F.lit(_SEP), F.lit(1)).alias("v")).agg(F.sum("n").alias("_hung"))
+        out = out.join(hung, ["s", "v"], "left")
+        more = [F.when(F.col("status") == ROOT, F.col("_below")).alias("n_descendants")]
+    below = F.col("below") + F.coalesce("_hung", F.lit(0)) if sizes else F.lit(None)
+    out = out.select(F.col("s").alias(scope), F.col("v").alias(node), status.alias("status"), path.alias("path"), depth.alias("_depth"), below.alias("_below"))
+    ids = F.transform("path", lambda x: F.split_part(x, F.lit(_SEP), F.lit(1))) if carry else F.col("path")
+    if carry:
+        more.append(F.when(F.col("status") == ROOT, F.transform("path", lambda x: F.transform(F.split(x, _SEP), lambda v: F.nullif(v, F.lit(_NULL))))).alias("steps"))
     return out.select(
-        F.col("s").alias(scope), F.col("v").alias(node), status.alias("status"), path.alias("path"), depth.alias("_depth"),
-    ).select(
-        scope, node, "status", F.when(F.col("status") == ROOT, F.col("path")[0]).alias("root"),
-        F.when(F.col("status") == ROOT, F.col("_depth")).alias("depth"), F.when(F.col("status") == ROOT, F.col("path")).alias("path"),
-    )
+        scope, node, "status", F.when(F.col("status") == ROOT, ids[0]).alias("root"),
+        F.when(F.col("status") == ROOT, F.col("_depth")).alias("depth"), F.when(F.col("status") == ROOT, ids).alias("path"), *more)
 
 
 def _level(links: DataFrame, rows: DataFrame, key: str, max_bucket: int) -> DataFrame:

@@ -63,13 +63,14 @@ def citations_of(citations: DataFrame, acts: DataFrame, provisions: DataFrame) -
         R, "citation_id", "source_provision_id", "target_act_id", "target_title", "target_provision_id", "target_label")
 
 
-def provision_detail(provisions: DataFrame, neighbours: DataFrame, crumbs: DataFrame, below: DataFrame, citations: DataFrame) -> DataFrame:
+def provision_detail(provisions: DataFrame, neighbours: DataFrame, hierarchy: DataFrame, citations: DataFrame) -> DataFrame:
     """One row for each provision: breadcrumb, neighbours, number of descendants, sources, and its citations in order."""
     cited = citations.groupBy(R, F.col("source_provision_id").alias("provision_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation_id"))), lambda x: x["citation_id"]), ",").alias("citations"))
-    n_below = below.groupBy(R, F.col("ancestor").alias("provision_id")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    names = F.array_join(F.transform(F.slice("steps", 1, F.col("depth").cast("int")), lambda x: x[2]), " > ")
+    placed = hierarchy.where("steps is not null").select(R, "provision_id", names.alias("breadcrumb"), "n_descendants")
     out = provisions.select(R, "provision_id", "act_id", F.array_join(F.array_sort(F.array_distinct("source_ids")), ",").alias("sources"))
-    for extra in (neighbours, crumbs, n_below, cited):
+    for extra in (neighbours, placed, cited):
         out = out.join(extra, [R, "provision_id"], "left")
     return out.select(R, "provision_id", "act_id", "sources", "previous_id", "next_id", F.coalesce("breadcrumb", F.lit("")).alias("breadcrumb"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), F.coalesce("citations", F.lit("")).alias("citations"))
 

@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codicil.operators import hierarchy as H
 from codicil.operators.ranking import ranked
 from codicil.session import durable
 
 R = "release_tag"
 
 
+def hierarchy_of(nodes: DataFrame, localities: Sequence[Column] = ()) -> DataFrame:
+    """The hierarchy of nodes whose paths carry what reading needs: order, name and heading of each step, and the sizes of subtrees."""
+    carry = (F.coalesce("sibling_order", F.lit(0)), F.coalesce("display_label", "heading", "node_type"), F.col("heading"))
+    return H.build_hierarchy(nodes, R, "provision_id", "parent_provision_id", localities, carry=carry, sizes=True)
+
+
 def ordered(nodes: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """Nodes that reach a root, with links, preorder sequence and the path of (order, id) steps.
+    """Nodes that reach a root, with links and the path of (order, id) steps; preorder is the order of these paths, so no recursion is needed."""
+    steps = F.transform("steps", lambda x: F.struct(x[1].cast("int").alias("o"), x[0].alias("id")))
+    return nodes.join(hierarchy.where("steps is not null").select(R, "provision_id", F.col("depth").alias("links"), steps.alias("step_path")), [R, "provision_id"])
+
 
-    Preorder is the order of the step paths, so no recursion is needed.
-    """
-    steps = hierarchy.where("path is not null").select(R, "provision_id", F.col("depth").alias("links"), "path", F.posexplode("path").alias("at", "step"))
-    own = nodes.select(R, F.col("provision_id").alias("step"), F.coalesce("sibling_order", F.lit(0)).alias("o"))
-    keyed = steps.join(own, [R, "step"]).groupBy(R, "provision_id").agg(
-        F.first("links").alias("links"), F.first("path").alias("path"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat(F.lpad(F.col("o").cast("string"), 9, "0"), F.lit("|"), F.col("step")).alias("k")))), lambda x: x["k"]), "/").alias("step_path"))
-    return nodes.join(keyed, [R, "provision_id"])
+#: Whether a provision has content, from its record.
+HAS_CONTENT = "coalesce(json_array_length(get_json_object(canonical_record, '$.content_blocks')), 0) > 0"
 
 
 def contents(nodes: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """Outline rows of every act: preorder position, depth, whether there is content and children."""
+    """Outline rows of every act: preorder position, depth, whether there is content and children. nodes: with ``has_content``, or the record it comes from."""
+    if "has_content" not in nodes.columns:
+        nodes = nodes.withColumn("has_content", F.expr(HAS_CONTENT))
     rows = ordered(nodes, hierarchy)
     parents = nodes.where("parent_provision_id is not null").select(R, F.col("parent_provision_id").alias("provision_id"), F.lit(True).alias("_kids")).distinct()
     slim = rows.join(parents, [R, "provision_id"], "left").select(
         R, "act_id", "provision_id", "parent_provision_id", "node_type", "display_label", "heading", F.col("sibling_order").alias("order"), "step_path", F.col("links").alias("depth"),
-        (F.coalesce(F.json_array_length(F.get_json_object("canonical_record", "$.content_blocks")), F.lit(0)) > 0).alias("has_content"),
-        F.coalesce("_kids", F.lit(False)).alias("has_children"))
+        "has_content", F.coalesce("_kids", F.lit(False)).alias("has_children"))
     return ranked(slim, [R, "act_id"], ["step_path"], "position").drop("step_path")
 
 
@@ -42,12 +49,10 @@ def subtree(closure: DataFrame, hierarchy: DataFrame, provision_id: str) -> Data
     return own.unionByName(below)
 
 
-def breadcrumbs(nodes: DataFrame, hierarchy: DataFrame) -> DataFrame:
+def breadcrumbs(hierarchy: DataFrame) -> DataFrame:
     """Labels of the ancestors, from the root, of every node that has any."""
-    up = hierarchy.where("path is not null").select(R, "provision_id", "depth", F.posexplode("path").alias("at", "step")).where(F.col("at") < F.col("depth"))
-    names = nodes.select(R, F.col("provision_id").alias("step"), F.coalesce("display_label", "heading", "node_type").alias("name"))
-    steps = up.join(names, [R, "step"]).groupBy(R, "provision_id").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("s"))
-    return steps.select(R, "provision_id", F.array_join(F.transform("s", lambda x: x["name"]), " > ").alias("breadcrumb"))
+    names = F.transform(F.slice("steps", 1, F.col("depth").cast("int")), lambda x: x[2])
+    return hierarchy.where("depth > 0").select(R, "provision_id", F.array_join(names, " > ").alias("breadcrumb"))
 
 
 def previous_next(nodes: DataFrame) -> DataFrame:
@@ -58,11 +63,10 @@ def previous_next(nodes: DataFrame) -> DataFrame:
     return out.select(R, "provision_id", "previous_id", "next_id")
 
 
-def inherited_heading(nodes: DataFrame, hierarchy: DataFrame) -> DataFrame:
+def inherited_heading(hierarchy: DataFrame) -> DataFrame:
     """The heading of a node or of its nearest ancestor with one that is not blank."""
-    steps = hierarchy.where("path is not null").select(R, "provision_id", F.posexplode("path").alias("at", "step"))
-    heads = nodes.where("trim(heading) <> ''").select(R, F.col("provision_id").alias("step"), "heading")
-    return steps.join(heads, [R, "step"]).groupBy(R, "provision_id").agg(F.max_by("heading", "at").alias("heading"))
+    headed = F.filter(F.transform(F.reverse("steps"), lambda x: x[3]), lambda h: F.trim(h) != "")
+    return hierarchy.where("steps is not null").select(R, "provision_id", F.get(headed, F.lit(0)).alias("heading")).where("heading is not null")
 
 
 def siblings(nodes: DataFrame) -> DataFrame:

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from codicil.operators import hierarchy as H
 from codicil.operators import reader, tree
-from codicil.plans.common import NODE, P_SQL, READY, clean, provision_hierarchy, ready
+from codicil.plans.common import NODE, P_SQL, READY, clean, reading_hierarchy, ready
 
 SECTION = "qm-federal-constitution-1994:section-1"
 
 
-def _nodes(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return clean(spark, d, "provisions", *NODE, *more)
+def _nodes(spark: SparkSession, d: str, *more: str, **derived) -> DataFrame:
+    return clean(spark, d, "provisions", *NODE, *more, **derived)
+
+
+def _contents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _nodes(spark, d, has_content=F.expr(tree.HAS_CONTENT)), reading_hierarchy(spark, d)
 
 
 def _closure(h: DataFrame) -> DataFrame:
@@ -21,7 +25,7 @@ def _closure(h: DataFrame) -> DataFrame:
 
 
 def tree_contents(spark: SparkSession, d: str) -> DataFrame:
-    return tree.contents(_nodes(spark, d, "canonical_record"), provision_hierarchy(spark, d, True))
+    return tree.contents(*_contents(spark, d))
 
 
 def tree_contents_filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -29,17 +33,17 @@ def tree_contents_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_subtree(spark: SparkSession, d: str) -> DataFrame:
-    h = provision_hierarchy(spark, d, True)
+    h = reading_hierarchy(spark, d)
     return tree.subtree(_closure(h), h, SECTION)
 
 
 def tree_subtree_interval(spark: SparkSession, d: str) -> DataFrame:
-    out = tree.with_subtree_end(_nodes(spark, d, "canonical_record"), provision_hierarchy(spark, d, True))
+    out = tree.with_subtree_end(*_contents(spark, d))
     return out.select("release_tag", "provision_id", "position", F.col("subtree_end").cast("long").alias("subtree_end"))
 
 
 def tree_breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
-    return tree.breadcrumbs(_nodes(spark, d), provision_hierarchy(spark, d, True))
+    return tree.breadcrumbs(reading_hierarchy(spark, d))
 
 
 def tree_previous_next(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +51,7 @@ def tree_previous_next(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_inherited_heading(spark: SparkSession, d: str) -> DataFrame:
-    return tree.inherited_heading(_nodes(spark, d), provision_hierarchy(spark, d, True))
+    return tree.inherited_heading(reading_hierarchy(spark, d))
 
 
 def tree_siblings(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +59,7 @@ def tree_siblings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_outline(spark: SparkSession, d: str) -> DataFrame:
-    return tree.outline(_nodes(spark, d), provision_hierarchy(spark, d, True))
+    return tree.outline(_nodes(spark, d), reading_hierarchy(spark, d))
 
 
 def tree_outline_count(spark: SparkSession, d: str) -> DataFrame:
@@ -67,9 +71,8 @@ def tree_relative_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def provision_detail(spark: SparkSession, d: str) -> DataFrame:
-    h = provision_hierarchy(spark, d, True)
     nodes = _nodes(spark, d, "source_ids")
-    return reader.provision_detail(nodes, tree.previous_next(nodes), tree.breadcrumbs(nodes, h), _closure(h), clean(spark, d, "citations", "source_provision_id"))
+    return reader.provision_detail(nodes, tree.previous_next(nodes), reading_hierarchy(spark, d), clean(spark, d, "citations", "source_provision_id"))
 
 
 def list_acts(spark: SparkSession, d: str) -> DataFrame:
@@ -132,10 +135,10 @@ QUERIES = (
 
 _DOWN = f"""{P_SQL},
 down AS (
-  SELECT p.*, CAST(0 AS BIGINT) AS links, lpad(CAST(coalesce(sibling_order, 0) AS VARCHAR), 9, '0') || '|' || provision_id AS step_path, [provision_id] AS path
+  SELECT p.*, CAST(0 AS BIGINT) AS links, [{{'o': coalesce(sibling_order, 0), 'id': provision_id}}] AS step_path, [provision_id] AS path
   FROM p WHERE parent_provision_id IS NULL
   UNION ALL
-  SELECT p.*, d.links + 1, d.step_path || '/' || lpad(CAST(coalesce(p.sibling_order, 0) AS VARCHAR), 9, '0') || '|' || p.provision_id, list_append(d.path, p.provision_id)
+  SELECT p.*, d.links + 1, list_append(d.step_path, {{'o': coalesce(p.sibling_order, 0), 'id': p.provision_id}}), list_append(d.path, p.provision_id)
   FROM p JOIN down d ON p.release_tag = d.release_tag AND p.parent_provision_id = d.provision_id),
 steps AS (SELECT release_tag, provision_id, links, unnest(path) AS step, unnest(range(len(path))) AS at FROM down)"""
 _CONTENTS = f"""{_DOWN},

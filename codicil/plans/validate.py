@@ -10,7 +10,7 @@ from codicil.functions.blocks import flatten_blocks
 from codicil.operators import hierarchy as H
 from codicil.operators import tree
 from codicil.operators import validate as V
-from codicil.plans.common import NODE, P_SQL, READY, clean, provision_hierarchy, ready
+from codicil.plans.common import NODE, P_SQL, READY, clean, provision_hierarchy, reading_hierarchy, ready
 from codicil.plans.tree import _CONTENTS
 
 MIRRORED = {"schema_version": "$.schema_version", "parent_provision_id": "$.parent_provision_id", "node_type": "$.node_type", "display_label": "$.display_label", "heading": "$.heading", "text_fidelity": "$.text_fidelity"}
@@ -67,7 +67,7 @@ def valid_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 def valid_reading_order(spark: SparkSession, d: str) -> DataFrame:
     p = _p(spark, d, "canonical_record")
-    return V.reading_order(tree.contents(p, provision_hierarchy(spark, d, True)), p)
+    return V.reading_order(tree.contents(p, reading_hierarchy(spark, d)), p)
 
 
 def valid_no_cycle(spark: SparkSession, d: str) -> DataFrame:

@@ -25,10 +25,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Status, root, depth, path and number of descendants of each provision."""
-    h = durable(provision_hierarchy(spark, d), "hierarchy")
-    below = H.closure(h, "release_tag", "provision_id").groupBy("release_tag", F.col("ancestor").alias("provision_id")).agg(F.count(F.lit(1)).alias("n_descendants"))
-    out = h.join(below, ["release_tag", "provision_id"], "left")
-    return out.select("release_tag", "provision_id", "status", "root", "depth", F.array_join("path", " > ").alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
+    h = provision_hierarchy(spark, d, sizes=True)
+    return h.select("release_tag", "provision_id", "status", "root", "depth", F.array_join("path", " > ").alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:

@@ -121,9 +121,7 @@ class Reader:
         found = hits.where("kind = 'provision'").select(F.col("id").alias("provision_id"))
         crumbs = {}
         if found.limit(1).count():
-            from codicil.operators import hierarchy as H
-
             own = provisions.join(found.join(provisions.select("provision_id", "act_id"), "provision_id").select("act_id").distinct(), "act_id", "left_semi")
-            b = tree.breadcrumbs(own, H.build_hierarchy(own, R, "provision_id", "parent_provision_id"))
+            b = tree.breadcrumbs(tree.hierarchy_of(own))
             crumbs = {r["provision_id"]: r["breadcrumb"] for r in b.join(found, "provision_id", "left_semi").collect()}  # at most ``limit`` rows
         return [r.asDict() | {"breadcrumb": crumbs.get(r["id"], "")} for r in hits.orderBy("position").collect()]
