@@ -1,98 +1,115 @@
-"""English stemming (M. F. Porter, "An algorithm for suffix stripping", Program 14(3), 1980)."""
+"""English stemming: the Snowball English stemmer (M. F. Porter, "Snowball: a language for stemming algorithms", 2001; also called Porter2)."""
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
-_VOWELS = "aeiou"
-#: The suffix rules of steps 2, 3 and 4 of the paper.
-_STEP2 = (
-    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"),
-    ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
-    ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
-)
-_STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
-_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+#: Words with a stem of their own, and words that stay, at the start and after the plural step.
+IRREGULAR = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+}
+STAY = frozenset(("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"))
+#: Beginnings behind which the first region starts, whatever follows.
+BEGINNINGS = ("gener", "commun", "arsen")
+#: Endings of steps 2, 3 and 4 with what they become (None: by a rule of their own).
+STEP2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al",
+    "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "fulli": "ful", "lessli": "less", "ogi": None, "li": None,
+}
+STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": None}
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion")
 #: Frequent English words that are not indexed.
 STOP_WORDS = frozenset(
-    "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing down during each"
-    " few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not now of off on once only or other"
-    " our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what"
-    " when where which while who whom why will with you your".split())
+    "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each"
+    " few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of"
+    " off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this"
+    " those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split())
+_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+_V, _N = "[aeiouy]", "[^aeiouy]"
 
 
-def _consonant(w: str, i: int) -> bool:
-    c = w[i]
-    return c not in _VOWELS and not (c == "y" and i > 0 and _consonant(w, i - 1))
+def _after(word: str, start: int) -> int:
+    """Where the region behind the first non-vowel that follows a vowel begins."""
+    m = re.compile(f"{_V}{_N}").search(word, start)
+    return m.end() if m else len(word)
 
 
-def _measure(stem: str) -> int:
-    kinds = [_consonant(stem, i) for i in range(len(stem))]
-    return sum(1 for a, b in zip(kinds, kinds[1:]) if not a and b)
+def _short(word: str) -> bool:
+    """Whether a word ends in a short syllable."""
+    return re.search(f"{_N}{_V}[^aeiouywxY]$|^{_V}{_N}$", word) is not None
 
 
-def _has_vowel(stem: str) -> bool:
-    return any(not _consonant(stem, i) for i in range(len(stem)))
-
-
-def _double(w: str) -> bool:
-    return len(w) > 1 and w[-1] == w[-2] and _consonant(w, len(w) - 1)
-
-
-def _cvc(w: str) -> bool:
-    return len(w) > 2 and _consonant(w, len(w) - 3) and not _consonant(w, len(w) - 2) and _consonant(w, len(w) - 1) and w[-1] not in "wxy"
-
-
-def _replace(w: str, rules, least: int) -> str:
-    for suffix, new in sorted(rules, key=lambda r: -len(r[0])):
-        if w.endswith(suffix):
-            stem = w[: -len(suffix)]
-            return stem + new if _measure(stem) > least else w
-    return w
+def _longest(word: str, endings) -> str | None:
+    return max((e for e in endings if word.endswith(e)), key=len, default=None)
 
 
 @lru_cache(100_000)
 def stem(word: str) -> str:
+    """The stem of a word in lower case; words of other letters than a to z stay."""
     w = word
     if len(w) <= 2 or not w.isascii() or not w.isalpha():
         return w
-    # 1a plurals
-    if w.endswith("sses") or w.endswith("ies"):
+    if w in IRREGULAR:
+        return IRREGULAR[w]
+    # A y at the start or behind a vowel is a consonant, written Y meanwhile.
+    w = re.sub(f"({_V})y", r"\1Y", "Y" + w[1:] if w[0] == "y" else w)
+    begin = next((b for b in BEGINNINGS if w.startswith(b)), None)
+    r1 = len(begin) if begin else _after(w, 0)
+    r2 = _after(w, r1)
+
+    # 1a: plurals
+    if w.endswith("sses"):
         w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search(_V, w[:-2]):
         w = w[:-1]
-    # 1b past and progressive
-    again = False
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    elif w.endswith("ed") and _has_vowel(w[:-2]):
-        w, again = w[:-2], True
-    elif w.endswith("ing") and _has_vowel(w[:-3]):
-        w, again = w[:-3], True
-    if again:
+    if w in STAY:
+        return w
+    # 1b: past and progressive forms
+    ending = _longest(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"))
+    if ending in ("eed", "eedly"):
+        if len(w) - len(ending) >= r1:
+            w = w[: -len(ending)] + "ee"
+    elif ending and re.search(_V, w[: -len(ending)]):
+        w = w[: -len(ending)]
         if w.endswith(("at", "bl", "iz")):
             w += "e"
-        elif _double(w) and w[-1] not in "lsz":
+        elif w.endswith(_DOUBLES):
             w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
+        elif r1 >= len(w) and _short(w):
             w += "e"
-    # 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    # 1c: y behind a consonant
+    if len(w) > 2 and w[-1] in "yY" and re.match(_N, w[-2]):
         w = w[:-1] + "i"
-    w = _replace(w, _STEP2, 0)
-    w = _replace(w, _STEP3, 0)
-    for suffix in sorted(_STEP4, key=len, reverse=True):
-        if w.endswith(suffix):
-            base = w[: -len(suffix)]
-            if _measure(base) > 1 and (suffix != "ion" or base.endswith(("s", "t"))):
-                w = base
-            break
+    # 2
+    ending = _longest(w, STEP2)
+    if ending and len(w) - len(ending) >= r1:
+        base = w[: -len(ending)]
+        if ending == "ogi":
+            w = base + "og" if base.endswith("l") else w
+        elif ending == "li":
+            w = base if base[-1:] and base[-1] in "cdeghkmnrt" else w
+        else:
+            w = base + STEP2[ending]
+    # 3
+    ending = _longest(w, STEP3)
+    if ending and len(w) - len(ending) >= r1:
+        base = w[: -len(ending)]
+        if ending != "ative":
+            w = base + STEP3[ending]
+        elif len(base) >= r2:
+            w = base
+    # 4
+    ending = _longest(w, STEP4)
+    if ending and len(w) - len(ending) >= r2 and (ending != "ion" or w[-4:-3] in ("s", "t")):
+        w = w[: -len(ending)]
     # 5
     if w.endswith("e"):
-        m = _measure(w[:-1])
-        if m > 1 or (m == 1 and not _cvc(w[:-1])):
+        if len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _short(w[:-1])):
             w = w[:-1]
-    if _measure(w) > 1 and _double(w) and w.endswith("l"):
+    elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
-    return w
+    return w.replace("Y", "y")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -120,21 +121,38 @@ def _phrase_at(places: dict[str, list[int]], phrase: tuple[str, ...]) -> list[in
     return [p for p in places[phrase[0]] if all(p + k + 1 in s for k, s in enumerate(sets))]
 
 
-def cover_density(lists: list[list[int]]) -> float:
-    """Sum over the shortest covers of all lists of 1 / (1 + words beyond the least)."""
-    if not lists or any(not x for x in lists):
-        return 0.0
-    events = sorted((p, k) for k, ps in enumerate(lists) for p in ps)
-    last: dict[int, int] = {}
-    covers: list[tuple[int, int]] = []
-    for p, k in events:
-        last[k] = p
-        if len(last) == len(lists):
-            start = min(last.values())
-            if covers and covers[-1][0] == start:
-                continue  # a longer cover from the same start
-            covers.append((start, p))
-    return sum(1.0 / (1 + max(0, (e - s) - (len(lists) - 1))) for s, e in covers)
+#: Fixed value: weight of a word of the text (titles have no weight of their own).
+WEIGHT = 0.1
+
+
+def _spans(places: dict[str, list[int]], phrase: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Begin and end of each occurrence of a phrase."""
+    return [(p, p + len(phrase) - 1) for p in _phrase_at(places, phrase)]
+
+
+def cover_density(clauses: list[list[list[tuple[int, int]]]], words: list[int]) -> float:
+    """Sum over the shortest covers of weight / (1 + words in it that the query doesn't ask for).
+
+    clauses: for each alternative its phrases' occurrences; a cover holds all phrases
+    of some alternative, and no shorter one within does. words: positions of all
+    words of the query.
+    """
+    ends = sorted((e, s, c, k) for c, phrases in enumerate(clauses) for k, spans in enumerate(phrases) for s, e in spans)
+    last = [[-1] * len(phrases) for phrases in clauses]
+    total, begun, i = 0.0, -1, 0
+    words = sorted(set(words))
+    while i < len(ends):
+        end = ends[i][0]
+        while i < len(ends) and ends[i][0] == end:
+            _, s, c, k = ends[i]
+            last[c][k] = max(last[c][k], s)
+            i += 1
+        begin = max((min(x) for x in last if x), default=-1)
+        if begin > begun:
+            begun = begin
+            asked = bisect_right(words, end) - bisect_left(words, begin)
+            total += WEIGHT / (1 + max(0, end - begin + 1 - asked))
+    return total
 
 
 def _evaluate(query: Query):
@@ -142,12 +160,13 @@ def _evaluate(query: Query):
     def run(found: pd.Series) -> pd.Series:
         def rank(rows):
             places = {r["term"]: list(r["positions"]) for r in rows}
-            best = None
+            clauses = []
             for c in query.clauses:
-                at = [_phrase_at(places, p) for p in c.must]
-                if all(at) and not any(_phrase_at(places, p) for p in c.never):
-                    best = max(best or 0.0, cover_density(at))
-            return best
+                spans = [_spans(places, p) for p in c.must]
+                if all(spans) and not any(_phrase_at(places, p) for p in c.never):
+                    clauses.append(spans)
+            asked = {t for c in query.clauses for p in c.must for t in p}
+            return cover_density(clauses, [p for t in asked for p in places.get(t, ())]) if clauses else None
 
         return found.map(rank)
 
@@ -169,15 +188,15 @@ def exact_acts(acts: DataFrame, query: str) -> DataFrame:
     The long title is a key but no kind of match, so a hit by it alone is dropped.
     """
     key = search_key_py(query)
-    hit = (F.col("act_id") == query) | (F.col("citation_key") == key) | F.array_contains("title_keys", key)
+    hit = acts.where((F.col("act_id") == query) | (F.col("citation_key") == key) | F.array_contains("title_keys", key))
     own = lambda path: F.get_json_object("canonical_record", path)
     same = lambda c: _key_equals(c, key)
     aliases = F.from_json(own("$.aliases"), "array<string>")
     kind = (
-        F.when(F.col("act_id") == query, "exact_act_id").when(same(own("$.citation")), "exact_act_citation")
+        F.when(F.col("act_id") == query, "exact_act_id").when(F.col("citation_key") == key, "exact_act_citation")
         .when(same(own("$.titles.official")) | same(own("$.titles.short")), "exact_act_title")
         .when(F.array_contains(_keys_of(aliases), key), "exact_act_alias"))
-    return acts.where(hit).select(R, "act_id", kind.alias("match_kind")).where("match_kind is not null")
+    return hit.select(R, "act_id", kind.alias("match_kind")).where("match_kind is not null")
 
 
 def _key_equals(c: Column, key: str) -> Column:
@@ -244,6 +263,31 @@ def search(acts: DataFrame, provisions: DataFrame, postings: DataFrame, query: s
     return listed.select(R, F.col("position").cast("long").alias("position"), "kind", "id", "match_kind")
 
 
+ACT_SUMMARY = ("act_id", "official_title", "short_title", "year", "number", "citation", "text_kind", "status", "checked_through_date")
+PROVISION_SUMMARY = ("provision_id", "act_id", "node_type", "display_label", "heading")
+
+
+def act_summary() -> Column:
+    return F.struct(*ACT_SUMMARY)
+
+
+def provision_summary() -> Column:
+    return F.struct(*PROVISION_SUMMARY)
+
+
+def items(listed: DataFrame, acts: DataFrame, provisions: DataFrame, crumbs: DataFrame) -> DataFrame:
+    """Listed records as items: kind, match_kind, act, provision (null for acts), breadcrumb (summaries of the ancestors, from the root) and excerpt.
+
+    crumbs: release_tag, provision_id, breadcrumb, for the listed provisions at least.
+    """
+    act = acts.select(R, F.col("act_id").alias("_act"), act_summary().alias("act"))
+    prov = provisions.select(R, F.col("provision_id").alias("id"), F.lit("provision").alias("kind"), provision_summary().alias("provision"), excerpt("searchable_text", "reference_key").alias("excerpt"))
+    rows = listed.join(prov, [R, "kind", "id"], "left").withColumn("_act", F.coalesce("provision.act_id", "id")).join(act, [R, "_act"])
+    rows = rows.join(crumbs.select(R, F.col("provision_id").alias("id"), F.lit("provision").alias("kind"), "breadcrumb"), [R, "kind", "id"], "left")
+    none = F.array().cast(rows.schema["breadcrumb"].dataType)
+    return rows.select(R, "position", "kind", "match_kind", "act", "provision", F.coalesce("breadcrumb", none).alias("breadcrumb"), "excerpt")
+
+
 def match_reason(kind) -> Column:
     """Why an item is listed, in words."""
     words = {"exact_act_id": "Exact act identifier", "exact_act_citation": "Exact citation", "exact_act_title": "Exact title", "exact_act_alias": "Exact alias", "exact_provision_id": "Exact provision identifier", "exact_provision_reference": "Exact reference", "lexical": "Words in the text"}

@@ -55,6 +55,17 @@ def breadcrumbs(hierarchy: DataFrame) -> DataFrame:
     return hierarchy.where("depth > 0").select(R, "provision_id", F.array_join(names, " > ").alias("breadcrumb"))
 
 
+def ancestor_summaries(provisions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """release_tag, provision_id, breadcrumb: the summaries of the ancestors of some provisions, from the root; found by parent links of their acts only."""
+    acts = wanted.join(provisions.select(R, "provision_id", "act_id"), [R, "provision_id"]).select(R, "act_id").distinct()
+    near = provisions.join(acts, [R, "act_id"], "left_semi")
+    h = H.build_hierarchy(near, R, "provision_id", "parent_provision_id").where("depth > 0").join(wanted, [R, "provision_id"], "left_semi")
+    up = h.select(R, "provision_id", "depth", F.posexplode("path").alias("at", "step")).where("at < depth")
+    named = near.select(R, F.col("provision_id").alias("step"), F.struct("provision_id", "act_id", "node_type", "display_label", "heading").alias("x"))
+    g = up.join(named, [R, "step"]).groupBy(R, "provision_id").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s"))
+    return g.select(R, "provision_id", F.transform("s", lambda x: x["x"]).alias("breadcrumb"))
+
+
 def previous_next(nodes: DataFrame) -> DataFrame:
     """Neighbours in document order within the act."""
     at = durable(ranked(nodes.select(R, "act_id", "provision_id", "sequence"), [R, "act_id"], ["sequence", "provision_id"]), "positions")

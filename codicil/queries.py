@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.operators import hierarchy as H
-from codicil.operators.orphan_refs import orphan_references
+from codicil.operators.orphan_refs import absence, orphan_references
 from codicil.operators.snapshot_diff import snapshot_changes
 from codicil.plans import pages, search, structure, tree, validate
 from codicil.plans.common import provision_hierarchy
@@ -46,8 +46,7 @@ def p3_summary(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("release_tag", "record_type", "change_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """References to records that their release does not hold."""
+def _orphans(spark: SparkSession, d: str, held_in: str | None = None) -> DataFrame:
     c, p = _ready(spark, d, "citations"), _ready(spark, d, "provisions").select("release_tag", "provision_id", "source_ids")
 
     def ref(df, field, record, key, domain):
@@ -66,15 +65,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     for name, key in (("provisions", "provision_id"), ("acts", "act_id"), ("sources", "source_id")):
         held = _ready(spark, d, name).select(F.col("release_tag").alias("period"), F.lit(name).alias("domain"), F.col(key).alias("key"))
         parents = held if parents is None else parents.unionByName(held)
-    orphans = orphan_references(cited.unionByName(spans), parents)
-    return orphans.select(F.col("period").alias("release_tag"), "reference_field", "record_id", F.col("key").alias("missing_key")).distinct()
+    return orphan_references(cited.unionByName(spans), parents, held_in)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """References to records that their release does not hold."""
+    return _orphans(spark, d).select(F.col("period").alias("release_tag"), "reference_field", "record_id", F.col("key").alias("missing_key")).distinct()
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Orphans by table, field and release."""
-    found = p4_found(spark, d).withColumn("table_name", F.when(F.col("reference_field").startswith("citation"), "citations").otherwise("provisions"))
-    return found.groupBy("table_name", "reference_field", "release_tag").agg(
-        F.count(F.lit(1)).alias("n_references"), F.countDistinct("record_id").alias("n_records"), F.countDistinct("missing_key").alias("n_missing_keys"))
+    """Orphans by table, field and release, and by what became of the key: missing, deleted, late, or a gap between releases that hold it."""
+    no = F.create_map(*[F.lit(x) for r in ready_releases(spark, d).collect() for x in (r["release_tag"], r["release_no"])])  # the register of releases, at most 10,000
+    found = _orphans(spark, d, "held_in").select("period", "reference_field", "record_id", "key", "held_in").distinct()
+    found = found.withColumn("reason", absence(no[F.col("period")], F.transform("held_in", lambda p: no[p])))
+    found = found.withColumn("table_name", F.when(F.col("reference_field").startswith("citation"), "citations").otherwise("provisions"))
+    return found.groupBy("table_name", "reference_field", F.col("period").alias("release_tag"), "reason").agg(
+        F.count(F.lit(1)).alias("n_references"), F.countDistinct("record_id").alias("n_records"), F.countDistinct("key").alias("n_missing_keys"))
 
 
 def queries() -> dict:
@@ -174,10 +180,14 @@ SELECT release_tag, ancestor, descendant, distance FROM pairs""",
     "p3_found": f"WITH {_CHANGES} SELECT * FROM found",
     "p3_summary": f"WITH {_CHANGES} SELECT release_tag, record_type, change_kind, count(*) AS n FROM found GROUP BY ALL",
     "p4_found": f"WITH {_ORPHANS} SELECT * FROM found",
-    "p4_report": f"""WITH {_ORPHANS}
+    "p4_report": f"""WITH {_ORPHANS},
+no AS (SELECT release_tag, row_number() OVER (ORDER BY list_transform(string_split(substr(release_tag, 9), '.'), lambda x: CAST(x AS INT))) AS n FROM corpus_releases WHERE import_state = 'ready'),
+why AS (SELECT f.*, coalesce(bool_or(h.n < f.n), false) AS b, coalesce(bool_or(h.n > f.n), false) AS a FROM (SELECT found.*, no.n FROM found JOIN no USING (release_tag)) f
+  LEFT JOIN (SELECT held.*, no.n FROM held JOIN no USING (release_tag)) h ON h.key = f.missing_key AND ends_with(f.reference_field, h.kind) GROUP BY ALL)
 SELECT CASE WHEN starts_with(reference_field, 'citation') THEN 'citations' ELSE 'provisions' END AS table_name, reference_field, release_tag,
+  CASE WHEN b AND a THEN 'gap' WHEN b THEN 'deleted' WHEN a THEN 'late' ELSE 'missing' END AS reason,
   count(*) AS n_references, count(DISTINCT record_id) AS n_records, count(DISTINCT missing_key) AS n_missing_keys
-FROM found GROUP BY ALL""",
+FROM why GROUP BY ALL""",
 }
 for _m in MODULES:
     SQL |= _m.SQL

@@ -99,3 +99,28 @@ def test_many_codes_in_one_period(spark):
     keys = spark.range(100_000).selectExpr("'p' as period", "'t' as domain", "concat('k', id) as key")
     parents = keys.where("cast(substring(key, 2) as int) % 1000 <> 7")
     assert orphan_references(keys, parents).count() == 100
+
+
+def test_bitmaps_sparse_and_dense():
+    from codicil.operators.orphan_refs import BITS, Bitmap
+
+    rng = random.Random(1)
+    for n, m in ((10, 10), (10, 20_000), (20_000, 10), (20_000, 25_000), (BITS, BITS), (5, 0)):
+        a, b = sorted(rng.sample(range(BITS), n)), sorted(rng.sample(range(BITS), m))
+        assert Bitmap(a).and_not(Bitmap(b)).tolist() == sorted(set(a) - set(b)) and Bitmap(a).and_not(None).tolist() == a
+
+
+def test_a_missing_key_with_a_third_of_all_references(spark):
+    refs = spark.range(60_000).selectExpr("'p' AS period", "'t' AS domain", "if(id % 3 = 0, 'hot', concat('k', id % 500)) AS key", "id AS record")
+    parents = spark.range(500).selectExpr("'p' AS period", "'t' AS domain", "concat('k', id) AS key")
+    got = orphan_references(refs, parents, "held_in")
+    assert got.count() == 20_000 and got.select("key").distinct().collect()[0][0] == "hot" and got.where("size(held_in) > 0").count() == 0
+
+
+def test_why_a_key_is_absent(spark):
+    from codicil.operators.orphan_refs import absence
+    from pyspark.sql import functions as F
+
+    rows = [(2, []), (2, [1]), (2, [3]), (2, [1, 3])]
+    got = spark.createDataFrame(rows, "n int, held array<int>").select(absence(F.col("n"), F.col("held"))).collect()
+    assert [r[0] for r in got] == ["missing", "deleted", "late", "gap"]
