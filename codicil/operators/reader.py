@@ -75,6 +75,30 @@ def provision_detail(provisions: DataFrame, neighbours: DataFrame, hierarchy: Da
     return out.select(R, "provision_id", "act_id", "sources", "previous_id", "next_id", F.coalesce("breadcrumb", F.lit("")).alias("breadcrumb"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), F.coalesce("citations", F.lit("")).alias("citations"))
 
 
+def payload(provisions: DataFrame, closure: DataFrame, hierarchy: DataFrame, acts: DataFrame, sources: DataFrame, citations: DataFrame) -> DataFrame:
+    """What a reader of each provision is given, for all that reach a root: its act, the provisions below in order, and the sources and citations of the whole subtree.
+
+    ``n_sources`` counts the sources that the subtree names, ``sources`` lists those that the release holds; citations name their targets.
+    """
+    own = hierarchy.where("path is not null").select(R, "provision_id", F.col("provision_id").alias("member"))
+    pairs = own.unionByName(closure.select(R, F.col("ancestor").alias("provision_id"), F.col("descendant").alias("member")))
+    members = pairs.join(provisions.select(R, F.col("provision_id").alias("member"), "sequence", "source_ids"), [R, "member"])
+    below = members.where("member <> provision_id").groupBy(R, "provision_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "member"))).alias("b"))
+    below = below.select(R, "provision_id", F.array_join(F.transform("b", lambda x: x["member"]), ",").alias("descendants"))
+    named = members.select(R, "provision_id", F.explode("source_ids").alias("source_id")).distinct().join(sources.select(R, "source_id", F.lit(True).alias("_held")), [R, "source_id"], "left")
+    named = named.groupBy(R, "provision_id").agg(F.count(F.lit(1)).alias("n_sources"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_held"), F.col("source_id")))), ",").alias("sources"))
+    act = acts.select(R, F.col("act_id").alias("target_act_id"))
+    target = provisions.select(R, F.col("act_id").alias("target_act_id"), F.col("provision_id").alias("target_provision_id"), F.col("provision_id").alias("_target"))
+    cited = citations.join(act, [R, "target_act_id"]).join(target, [R, "target_act_id", "target_provision_id"], "left")
+    cited = members.join(cited.withColumnRenamed("source_provision_id", "member"), [R, "member"]).select(
+        R, "provision_id", F.struct("sequence", "citation_id", F.concat_ws("/", F.concat_ws(">", "citation_id", "target_act_id"), "_target").alias("t")).alias("c"))
+    cited = cited.groupBy(R, "provision_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["t"]), ",").alias("citations"))
+    out = own.select(R, "provision_id").join(provisions.select(R, "provision_id", "act_id"), [R, "provision_id"]).join(acts.select(R, "act_id", "official_title"), [R, "act_id"])
+    for extra in (below, named, cited):
+        out = out.join(extra, [R, "provision_id"], "left")
+    return out.select(R, "provision_id", "official_title", *[F.coalesce(c, F.lit("")).alias(c) for c in ("descendants", "sources", "citations")], F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
+
+
 def etag(body: Column) -> Column:
     """Strong validator of a response body."""
     return F.concat(F.lit('"'), F.sha2(body, 256), F.lit('"'))

@@ -110,8 +110,8 @@ def build_postings(texts: DataFrame, stemmed: bool = True) -> DataFrame:
 
 
 def write_index(postings: DataFrame, path: str) -> None:
-    """The index laid out for reading by term: releases are folders, rows sorted by term within files."""
-    postings.repartitionByRange(R, "term").sortWithinPartitions("term").write.partitionBy(R).parquet(path)
+    """The index of one release laid out for reading by term: ranges of terms in files, sorted, so that statistics skip the others."""
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(path)
 
 
 def _phrase_at(places: dict[str, list[int]], phrase: tuple[str, ...]) -> list[int]:

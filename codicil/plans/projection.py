@@ -21,6 +21,7 @@ from codicil.errors import PipelineError
 from codicil.functions import textkeys as K
 from codicil.functions.blocks import flatten_blocks
 from codicil.operators import hierarchy as H
+from codicil.operators import search
 from codicil.session import durable
 from codicil.sources import files
 from codicil.sources.sinks import json_bytes, write_atomically
@@ -242,6 +243,7 @@ class Store:
                 rows[name].drop(R).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(self._path(name, f"{R}={want.release_tag}"))
                 if self.spark.read.parquet(self._path(name, f"{R}={want.release_tag}")).count() != seen.get["n"]:
                     raise PipelineError("import_count_mismatch", name)
+            self._index(want.release_tag)
             lost = self._dangling(want.release_tag)
             if lost:
                 raise PipelineError("import_reference_missing", lost)
@@ -250,6 +252,18 @@ class Store:
             raise
         write_atomically(self._path("releases", f"{want.release_tag}.json"), json_bytes(record | {"import_state": "ready"}))
 
+    def _index(self, tag: str) -> None:
+        """The postings of the release, sorted by term, so that a query reads those of its terms."""
+        texts = None
+        for name, kind, key in (("acts", "act", "act_id"), ("provisions", "provision", "provision_id")):
+            t = self.spark.read.schema(schemas.PROJECTION[name]).parquet(self._path(name)).where(F.col(R) == tag).select(R, F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col("searchable_text").alias("text"))
+            texts = t if texts is None else texts.unionByName(t)
+        search.write_index(search.build_postings(texts).drop(R), self._path("postings", f"{R}={tag}"))
+
+    def postings(self, tag: str) -> DataFrame:
+        schema = f"kind string, id string, term string, positions array<int>, {R} string"
+        return self.spark.read.schema(schema).parquet(self._path("postings")).where(F.col(R) == tag)
+
     def _dangling(self, tag: str) -> str:
         t = {n: self.spark.read.schema(schemas.PROJECTION[n]).parquet(self._path(n)).where(F.col(R) == tag) for n in self.tables}
         pairs = (("provisions", "act_id", "acts", "act_id"), ("provisions", "parent_provision_id", "provisions", "provision_id"), ("citations", "source_provision_id", "provisions", "provision_id"),
@@ -262,6 +276,6 @@ class Store:
 
     def _undo(self, tag: str) -> None:
         """A failed import leaves no trace: only folders of this release, which no reader may see yet, are removed."""
-        for name in self.tables:
+        for name in (*self.tables, "postings"):
             files.delete(self._path(name, f"{R}={tag}"))
         files.delete(self._path("releases", f"{tag}.json"))

@@ -75,6 +75,12 @@ def provision_detail(spark: SparkSession, d: str) -> DataFrame:
     return reader.provision_detail(nodes, tree.previous_next(nodes), reading_hierarchy(spark, d), clean(spark, d, "citations", "source_provision_id"))
 
 
+def provision_payload(spark: SparkSession, d: str) -> DataFrame:
+    h = reading_hierarchy(spark, d)
+    return reader.payload(
+        _nodes(spark, d, "source_ids"), _closure(h), h, clean(spark, d, "acts", "official_title"), clean(spark, d, "sources"), clean(spark, d, "citations", "source_provision_id", "target_act_id", "target_provision_id"))
+
+
 def list_acts(spark: SparkSession, d: str) -> DataFrame:
     acts = clean(spark, d, "acts", "official_title", "short_title", "year", "number", "citation", "text_kind", "status", "title_keys")
     return reader.list_acts(acts, offset=10, limit=20)
@@ -129,7 +135,7 @@ def response_etag(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     tree_contents, tree_contents_filtered, tree_subtree, tree_subtree_interval, tree_breadcrumbs, tree_previous_next, tree_inherited_heading, tree_siblings,
-    tree_outline, tree_outline_count, tree_relative_depth, provision_detail, list_acts, act_sources, incomplete_acts, citation_targets, release_counts,
+    tree_outline, tree_outline_count, tree_relative_depth, provision_detail, provision_payload, list_acts, act_sources, incomplete_acts, citation_targets, release_counts,
     fidelity_histogram, schema_versions, ordered_id_digest, response_etag,
 )
 
@@ -194,6 +200,21 @@ SELECT p.release_tag, p.provision_id, p.act_id, src.sources, n.previous_id, n.ne
   coalesce(below.n, 0) AS n_descendants, coalesce(cit.c, '') AS citations
 FROM p LEFT JOIN src USING (release_tag, provision_id) LEFT JOIN neighbours n USING (release_tag, provision_id)
 LEFT JOIN crumbs USING (release_tag, provision_id) LEFT JOIN below USING (release_tag, provision_id) LEFT JOIN cit USING (release_tag, provision_id)""",
+    "provision_payload": f"""WITH RECURSIVE {_DOWN},
+m AS (SELECT s.release_tag, s.step AS provision_id, s.provision_id AS member, q.sequence FROM steps s JOIN p q ON q.release_tag = s.release_tag AND q.provision_id = s.provision_id),
+below AS (SELECT release_tag, provision_id, string_agg(member, ',' ORDER BY sequence, member) AS x FROM m WHERE member <> provision_id GROUP BY 1, 2),
+src AS (SELECT DISTINCT release_tag, provision_id AS member, unnest(source_ids) AS source_id FROM provisions WHERE {READY}),
+named AS (SELECT DISTINCT m.release_tag, m.provision_id, source_id FROM m JOIN src USING (release_tag, member)),
+held AS (SELECT n.release_tag, n.provision_id, count(*) AS n_sources, string_agg(h.source_id, ',' ORDER BY h.source_id) AS x FROM named n
+  LEFT JOIN (SELECT DISTINCT release_tag, source_id FROM sources) h ON h.release_tag = n.release_tag AND h.source_id = n.source_id GROUP BY 1, 2),
+ac AS (SELECT DISTINCT release_tag, act_id, official_title FROM acts WHERE {READY}),
+c AS (SELECT DISTINCT release_tag, citation_id, source_provision_id AS member, target_act_id, target_provision_id FROM citations WHERE {READY}),
+cit AS (SELECT m.release_tag, m.provision_id, string_agg(c.citation_id || '>' || c.target_act_id || coalesce('/' || t.provision_id, ''), ',' ORDER BY m.sequence, c.citation_id) AS x
+  FROM m JOIN c USING (release_tag, member) JOIN ac ON ac.release_tag = c.release_tag AND ac.act_id = c.target_act_id
+  LEFT JOIN p t ON t.release_tag = c.release_tag AND t.act_id = c.target_act_id AND t.provision_id = c.target_provision_id GROUP BY 1, 2)
+SELECT d.release_tag, d.provision_id, ac.official_title, coalesce(below.x, '') AS descendants, coalesce(held.x, '') AS sources, coalesce(cit.x, '') AS citations, coalesce(held.n_sources, 0) AS n_sources
+FROM down d JOIN ac ON ac.release_tag = d.release_tag AND ac.act_id = d.act_id LEFT JOIN below ON below.release_tag = d.release_tag AND below.provision_id = d.provision_id
+LEFT JOIN held ON held.release_tag = d.release_tag AND held.provision_id = d.provision_id LEFT JOIN cit ON cit.release_tag = d.release_tag AND cit.provision_id = d.provision_id""",
     "list_acts": f"""WITH a AS (SELECT DISTINCT release_tag, act_id, official_title, short_title, year, number, citation, text_kind, status, title_keys FROM acts WHERE {READY}),
 n AS (SELECT *, row_number() OVER (PARTITION BY release_tag ORDER BY title_keys[1], year DESC, act_id) AS rn, count(*) OVER (PARTITION BY release_tag) AS total FROM a)
 SELECT release_tag, act_id, official_title, short_title, year, number, citation, text_kind, status, total FROM n WHERE rn > 10 AND rn <= 30""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codicil import vocab
-from codicil.errors import InvalidRequest, NotFound
+from codicil.errors import InvalidRequest, NotFound, Unavailable
 from codicil.operators import reader, search, tree
 from codicil.plans.projection import R, Store
 from codicil.session import durable
@@ -33,8 +34,6 @@ class Reader:
         return {"release_tag": r.release_tag, "commit_sha": r.commit_sha, "canonical_schema_versions": list(r.canonical_schema_versions), "projection_schema_version": r.projection_schema_version}
 
     def _tag(self) -> str:
-        from codicil.errors import Unavailable
-
         r = self.store.release(self.store.pointer()["active_release_tag"])
         if r is None or r.import_state != "ready":
             raise Unavailable("no release is active")
@@ -56,7 +55,7 @@ class Reader:
             raise InvalidRequest("offset from 0, limit from 1 to 100")
         acts = self.store.read("acts", self._tag())
         page = acts.orderBy(F.try_element_at("title_keys", F.lit(1)), F.desc("year"), "act_id").offset(offset).limit(limit)
-        return {"items": [r.asDict() for r in page.select("act_id", "official_title", "short_title", "year", "number", "citation", "text_kind", "status").collect()], "total": acts.count()}
+        return {"items": [r.asDict() for r in page.select(*search.ACT_SUMMARY).collect()], "total": acts.count()}
 
     def get_act(self, act_id: str) -> dict:
         self._check("act_id", act_id)
@@ -82,28 +81,41 @@ class Reader:
         return reader.contents_of(rows, None, parent_provision_id, max_depth).orderBy("sequence")
 
     def get_provision(self, provision_id: str) -> dict:
-        """A provision with ancestors, descendants, neighbours, sources and citations.
+        """A provision with its act, the records below it in order, ancestors, neighbours, and the sources and citations of the subtree.
 
         Sequence is preorder without gaps within an act, so the subtree is the
-        run of deeper nodes behind it, and ancestors are found by one pass upward.
+        run of deeper nodes behind it, and the nearest earlier node of each
+        smaller depth is the ancestor there.
         """
         self._check("provision_id", provision_id)
         tag = self._tag()
         own = self._one("provisions", "provision_id", provision_id, "provision_not_found", tag)
-        act = self.store.read("provisions", tag).where(F.col("act_id") == own["act_id"]).select("provision_id", "parent_provision_id", "sequence", "depth", "node_type", "display_label", "heading")
+        act_row = self._one("acts", "act_id", own["act_id"], "act_not_found", tag)
+        provisions = self.store.read("provisions", tag)
+        act = provisions.where(F.col("act_id") == own["act_id"])
         nxt = act.where((F.col("sequence") > own["sequence"]) & (F.col("depth") <= own["depth"])).agg(F.min("sequence")).first()[0]
-        below = act.where((F.col("sequence") > own["sequence"]) & (F.col("sequence") < nxt if nxt is not None else F.lit(True))).orderBy("sequence")
-        before = act.where(F.col("sequence") < own["sequence"])
-        # The nearest earlier node of each smaller depth is the ancestor at that depth.
-        up = before.where(F.col("depth") < own["depth"]).groupBy("depth").agg(F.max_by("provision_id", "sequence").alias("provision_id"), F.max("sequence").alias("sequence"), F.max_by("heading", "sequence").alias("heading"))
-        side = act.where(F.col("sequence").isin(own["sequence"] - 1, own["sequence"] + 1)).select("sequence", "provision_id").collect()
-        at = {r["sequence"]: r["provision_id"] for r in side}
-        cited = reader.citations_of(self.store.read("citations", tag).where(F.col("source_provision_id") == provision_id), self.store.read("acts", tag), self.store.read("provisions", tag))
+        tree_ = act.where((F.col("sequence") >= own["sequence"]) & (F.col("sequence") < nxt if nxt is not None else F.lit(True)))
+        members = tree_.select("provision_id", "sequence", "source_ids", "canonical_record").orderBy("sequence").collect()  # one page's records
+        up = act.where((F.col("sequence") < own["sequence"]) & (F.col("depth") < own["depth"])).groupBy("depth").agg(F.max_by(search.provision_summary(), "sequence").alias("x"))
+        side = act.where(F.col("sequence").isin(own["sequence"] - 1, own["sequence"] + 1)).select("sequence", search.provision_summary().alias("x")).collect()
+        at = {r["sequence"]: r["x"].asDict() for r in side}
+        named = sorted({s for m in members for s in m["source_ids"] or ()})
+        sources = self.store.read("sources", tag).where(F.col("source_id").isin(*named)).orderBy("source_id").select("canonical_record").collect() if named else []
+        if len(sources) != len(named):
+            raise Unavailable(f"{provision_id} names {len(named)} sources, the release holds {len(sources)} of them")
+        target = provisions.select(F.col("act_id").alias("target_act_id"), F.col("provision_id").alias("target_provision_id"), search.provision_summary().alias("p"))
+        acts = self.store.read("acts", tag).select(F.col("act_id").alias("target_act_id"), search.act_summary().alias("a"))
+        cited = self.store.read("citations", tag).join(tree_.select(F.col("provision_id").alias("source_provision_id"), "sequence"), "source_provision_id")
+        cited = cited.join(acts, "target_act_id").join(target, ["target_act_id", "target_provision_id"], "left").orderBy("sequence", "citation_id")
         return {
-            "provision": own, "ancestors": [r["provision_id"] for r in up.orderBy("depth").collect()], "descendants": below.select("provision_id", "depth"),
-            "previous": at.get(own["sequence"] - 1), "next": at.get(own["sequence"] + 1), "citations": [r.asDict() for r in cited.orderBy("citation_id").collect()]}
-
-    def search(self, query: str, act_id: str | None = None, limit: int = 20, postings: DataFrame | None = None) -> list[dict]:
+            "act": {k: act_row[k] for k in search.ACT_SUMMARY}, "provision": json.loads(own["canonical_record"]), "descendants": [json.loads(m["canonical_record"]) for m in members[1:]],
+            "ancestors": [r["x"].asDict() for r in up.orderBy("depth").collect()], "navigation": {"previous": at.get(own["sequence"] - 1), "next": at.get(own["sequence"] + 1)},
+            "sources": [json.loads(r[0]) for r in sources],
+            "citations": [
+                {"citation": json.loads(r["canonical_record"]), "target": {"act": r["a"].asDict(), "provision": r["p"].asDict() if r["p"] is not None else None}} for r in cited.collect()]}
+
+    def search(self, query: str, act_id: str | None = None, limit: int = 20) -> list[dict]:
+        """Items with their act, provision, breadcrumb and excerpt; the postings of the query's terms come from the release's index."""
         try:
             query = search.checked_query(query, limit)
         except search.InvalidQuery as e:
@@ -113,15 +125,7 @@ class Reader:
             self._check("act_id", act_id)
             self._one("acts", "act_id", act_id, "act_not_found", tag)
         acts, provisions = self.store.read("acts", tag), self.store.read("provisions", tag)
-        if postings is None:
-            texts = acts.select(R, F.lit("act").alias("kind"), F.col("act_id").alias("id"), F.col("searchable_text").alias("text")).unionByName(
-                provisions.select(R, F.lit("provision").alias("kind"), F.col("provision_id").alias("id"), F.col("searchable_text").alias("text")))
-            postings = search.build_postings(texts)
-        hits = durable(search.search(acts, provisions, postings, query, act_id, limit), "hits")
-        found = hits.where("kind = 'provision'").select(F.col("id").alias("provision_id"))
-        crumbs = {}
-        if found.limit(1).count():
-            own = provisions.join(found.join(provisions.select("provision_id", "act_id"), "provision_id").select("act_id").distinct(), "act_id", "left_semi")
-            b = tree.breadcrumbs(tree.hierarchy_of(own))
-            crumbs = {r["provision_id"]: r["breadcrumb"] for r in b.join(found, "provision_id", "left_semi").collect()}  # at most ``limit`` rows
-        return [r.asDict() | {"breadcrumb": crumbs.get(r["id"], "")} for r in hits.orderBy("position").collect()]
+        hits = durable(search.search(acts, provisions, self.store.postings(tag), query, act_id, limit), "hits")
+        found = hits.where("kind = 'provision'").select(R, F.col("id").alias("provision_id"))
+        items = search.items(hits, acts, provisions, tree.ancestor_summaries(provisions, found))
+        return [r.asDict(recursive=True) for r in items.orderBy("position").drop(R, "position").collect()]  # at most ``limit`` rows

@@ -34,7 +34,7 @@ def test_a_store_and_its_register_share_one_file_system(spark, tmp_path):
     rows = J.build(C.load_corpus(spark, X.write(str(tmp_path / "c")), "corpus-v0.1.0"))
     store = J.Store(spark, "file://" + str(tmp_path / "store"))
     assert store.publish(J.Release("corpus-v0.1.0", "1" * 40, ("0.1.0",)), rows) == "import_and_activate"
-    assert store.read("provisions").count() == 4 and sorted(n for n in os.listdir(tmp_path / "store") if not n.startswith(".")) == ["acts", "citations", "pointer.json", "provisions", "releases", "sources"]
+    assert store.read("provisions").count() == 4 and sorted(n for n in os.listdir(tmp_path / "store") if not n.startswith(".")) == ["acts", "citations", "pointer.json", "postings", "provisions", "releases", "sources"]
 
 
 def test_a_lock_file_left_behind_blocks_nobody(spark, tmp_path):

@@ -3,6 +3,7 @@ import os
 import pytest
 
 from codicil.errors import InvalidRequest, NotFound, PipelineError, Unavailable
+from codicil.operators import search as S
 from codicil.plans import projection as J
 from codicil.service import Reader
 from codicil.sources import corpus as C
@@ -85,15 +86,19 @@ def test_reader(spark, rows, tmp_path):
     assert outline == [("chapter-2", False, True), ("section-8", True, True), ("section-8.paragraph-b", True, False), ("schedule-1", True, False)]
     assert r.contents(X.ACT, max_depth=0).count() == 2 and r.contents(X.ACT, "qm-x-2000-1:none").count() == 0
     d = r.get_provision(f"{X.ACT}:section-8.paragraph-b")
-    assert d["ancestors"] == [f"{X.ACT}:chapter-2", f"{X.ACT}:section-8"] and d["previous"] == f"{X.ACT}:section-8" and d["next"] == f"{X.ACT}:schedule-1" and d["descendants"].count() == 0
-    top = r.get_provision(f"{X.ACT}:section-8")
-    assert [x["provision_id"] for x in top["descendants"].collect()] == [f"{X.ACT}:section-8.paragraph-b"] and len(top["citations"]) == 1
+    summary = lambda local: f"{X.ACT}:{local}"
+    assert [a["provision_id"] for a in d["ancestors"]] == [summary("chapter-2"), summary("section-8")] and d["navigation"]["previous"]["provision_id"] == summary("section-8") and d["navigation"]["next"]["provision_id"] == summary("schedule-1")
+    assert d["descendants"] == [] and d["citations"] == [] and set(d["act"]) == set(S.ACT_SUMMARY) and d["provision"]["display_label"] == "(b)" and [x["source_id"] for x in d["sources"]] == [X.SOURCE]
+    top = r.get_provision(f"{X.ACT}:chapter-2")
+    assert [x["provision_id"] for x in top["descendants"]] == [summary("section-8"), summary("section-8.paragraph-b")] and top["ancestors"] == [] and top["navigation"]["previous"] is None
+    assert [(c["citation"]["source_block_id"], c["target"]["act"]["act_id"], c["target"]["provision"]["provision_id"]) for c in top["citations"]] == [("duty", X.ACT, summary("section-8"))]
     assert r.get_source(X.SOURCE)["document_title"] == "Gazette 1"
     assert r.search("HA 2023")[0]["match_kind"] == "exact_act_alias"
     assert r.search("Act No 37 of 2023")[0]["match_kind"] == "exact_act_citation"
     hit = r.search("section 8 paragraph b", act_id=X.ACT)[0]
-    assert (hit["match_kind"], hit["breadcrumb"]) == ("exact_provision_reference", "CHAPTER II > 8.")
-    assert [x["match_kind"] for x in r.search("lamps")] == ["lexical"]
+    assert (hit["match_kind"], [b["display_label"] for b in hit["breadcrumb"]], hit["act"]["act_id"], hit["provision"]["node_type"]) == ("exact_provision_reference", ["CHAPTER II", "8."], X.ACT, "paragraph")
+    assert hit["excerpt"].startswith("(b)") and r.search("HA 2023")[0]["provision"] is None
+    assert [(x["kind"], x["match_kind"]) for x in r.search("lamps")] == [("provision", "lexical")] and r.search("nothing like it") == []
     for call in (lambda: r.get_act("Nope"), lambda: r.search("  "), lambda: r.search("x", limit=51), lambda: r.list_acts(limit=0), lambda: r.search("x" * 257)):
         with pytest.raises(InvalidRequest):
             call()
