@@ -19,8 +19,8 @@ them.
 Defined results: rows with a null id, an unlisted or null source are not used;
 null and empty texts have no tokens and are not used; a listed source without
 tokens gets a row in the report with an actual share of 0 and the others are
-scaled up; repeated rows of one document count once; an empty table gives
-empty results.
+scaled up; repeated rows of one document count once, and a document under several
+listed sources counts in the first by name; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -39,21 +39,21 @@ from codicil.session import durable
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public byte-level vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-N_BUCKETS = 1024
+#: Rows of a hash bucket, within which running sums are taken; bytes of a vocabulary file at most.
+PER_BUCKET, VOCABULARY_BYTES = 10_000, 64_000_000
 
 
 @lru_cache(4)
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count(column: str, path: str):
+def _count(column: str, vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(vocabulary.value).encode_ordinary
         for batch in batches:
             at = batch.schema.get_field_index(column)
             tokens = [len(encode(t)) if t else 0 for t in batch.column(at).to_pylist()]
@@ -64,13 +64,18 @@ def _count(column: str, path: str):
 
 
 def count_tokens(df: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``df`` with ``tokens`` instead of ``text``; whole texts are encoded."""
+    """``df`` with ``tokens`` instead of ``text``; whole texts are encoded. The vocabulary file is read here and sent to the workers."""
+    with open(tokenizer, "rb") as f:
+        vocabulary = f.read(VOCABULARY_BYTES + 1)
+    if len(vocabulary) > VOCABULARY_BYTES:
+        raise ValueError(f"{tokenizer} has more than {VOCABULARY_BYTES} bytes")
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text] + ["tokens long"])
-    return df.mapInArrow(_count(text, tokenizer), schema)
+    return df.mapInArrow(_count(text, shared), schema)
 
 
-def balance(shares: np.ndarray, raw: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Weights (source, knot) with column sums 1 and integrals ``shares``, in the proportions of ``raw``."""
+def balance(shares: np.ndarray, raw: np.ndarray, rounds: int = 10_000, error: float = 1e-10) -> np.ndarray:
+    """Weights (source, knot) with column sums 1 and integrals ``shares``, in the proportions of ``raw``; iterated until both hold within ``error``."""
     knots = raw.shape[1]
     area = np.full(knots, 1 / (knots - 1))  # trapezoids
     area[[0, -1]] /= 2
@@ -78,7 +83,9 @@ def balance(shares: np.ndarray, raw: np.ndarray, rounds: int = 500) -> np.ndarra
     for _ in range(rounds):
         w = w * (shares / (w @ area))[:, None]
         w = w / w.sum(0)
-    return w * (shares / (w @ area))[:, None]
+        if np.abs(w @ area - shares).max() <= error:
+            return w
+    raise ValueError(f"the schedules can't be balanced within {error}: weights of 0 leave no way to the target shares")
 
 
 def ramp(max_repeats: Sequence[int], knots: int = 5) -> np.ndarray:
@@ -135,9 +142,10 @@ class Mixture:
         listed = F.broadcast(spark.createDataFrame([(s,) for s, _, _ in self.targets], "source string"))
         used = docs.where("doc_id is not null").select("doc_id", "source", "text").join(listed, "source", "left_semi")
         counted = count_tokens(used, "text", tokenizer).where("tokens > 0")
-        counted = counted.groupBy("doc_id", "source").agg(F.max("tokens").alias("tokens"))
-        h = F.xxhash64("doc_id", F.lit("mixture"))
-        self.docs = durable(counted.withColumns({"h": h, "bucket": F.pmod(h, F.lit(N_BUCKETS)).cast("int")}), "tokens")
+        counted = counted.groupBy("doc_id").agg(F.min(F.struct("source", F.negative("tokens").alias("t"))).alias("x")).select("doc_id", "x.source", F.negative("x.t").alias("tokens"))
+        counted = durable(counted.withColumn("h", F.xxhash64("doc_id", F.lit("mixture"))), "tokens")
+        buckets = max(1, -(-counted.count() // PER_BUCKET))  # of each source, so that none outgrows a task
+        self.docs = counted.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
         sums = self.docs.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
         self.available = {r[0]: r[1] for r in self.docs.groupBy("source").agg(F.sum("tokens")).collect()}
         self.plan = plan(self.targets, self.available, schedule)
@@ -159,8 +167,9 @@ class Mixture:
         return invert(F.least(F.lit(1.0), done / F.col("demand")), F.col("weights"), F.col("filled"))
 
     def documents(self) -> DataFrame:
-        """doc_id, source, tokens, uses and the position of the first use."""
-        return self.chosen.select("doc_id", "source", "tokens", "uses", self._position(F.lit(0)).alias("first_position"))
+        """doc_id, source, tokens, uses and the position of the first use, range-sorted by it."""
+        placed = self.chosen.select("doc_id", "source", "tokens", "uses", self._position(F.lit(0)).alias("first_position"))
+        return placed.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
     def order(self) -> DataFrame:
         """One row for each use, range-sorted by training position."""
