@@ -9,8 +9,8 @@ it is at hand: nothing but the keys is moved, and no bitmap leaves its task.
 
 A key counts once for each period it is used in, however often it is referenced
 (partial aggregation before the shuffle). The missing keys are joined back to the
-references; as one of them may have a third of all references, both sides of that
-join are split by a salt.
+references: a counted few are sent to where the references are; more are joined
+with both sides split by a salt, as one key may have a third of all references.
 
 Defined results: null references are no references; a reference repeated on a
 record counts once; keys compare exactly, code point by code point; an empty
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codicil.session import durable
+
 #: Codes of one range, and up to how many of them a container is a list.
 BITS, SPARSE = 32768, 2048
 #: Parts of the references to one key.
@@ -101,20 +103,25 @@ def missing_keys(references: DataFrame, parents: DataFrame) -> DataFrame:
     return entries.mapInArrow(_missing, "period string, domain string, key string, held_in array<string>")
 
 
-def orphan_references(references: DataFrame, parents: DataFrame, held_in: str | None = None) -> DataFrame:
+def orphan_references(references: DataFrame, parents: DataFrame, held_in: str | None = None, few: int = 50_000) -> DataFrame:
     """The rows of ``references`` (period, domain, key and any further columns) whose key is absent.
 
     ``parents``: period, domain, key. ``domain`` names the table a key belongs to.
-    ``held_in``: name of a further column with the periods that hold the key.
+    ``held_in``: name of a further column with the periods that hold the key. Up to
+    ``few`` missing keys are sent to the references, more are joined to them salted.
     """
     refs = references.where("key is not null and period is not null")
-    missing = missing_keys(references, parents)
-    salted = refs.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in refs.columns]), F.lit(SALTS)).cast("int"))
-    keys = missing.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    on = ["period", "domain", "key", "_salt"]
-    if held_in is None:
-        return salted.join(keys.select(*on), on, "left_semi").select(*refs.columns)
-    return salted.join(keys.withColumnRenamed("held_in", "_held"), on).select(*refs.columns, F.col("_held").alias(held_in))
+    missing = durable(missing_keys(references, parents), "missing")
+    held = [] if held_in is None else [F.col("_held").alias(held_in)]
+    missing = missing.select("period", "domain", "key", *([F.col("held_in").alias("_held")] if held else []))
+    on, kept = ["period", "domain", "key"], refs.columns
+    if missing.count() <= few:
+        missing = F.broadcast(missing)  # at most ``few`` keys
+    else:
+        refs = refs.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in kept]), F.lit(SALTS)).cast("int"))
+        missing = missing.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).hint("merge")
+        on = [*on, "_salt"]
+    return refs.join(missing, on, "inner" if held else "left_semi").select(*kept, *held)
 
 
 def absence(period_no, held_nos):

@@ -113,8 +113,10 @@ def test_bitmaps_sparse_and_dense():
 def test_a_missing_key_with_a_third_of_all_references(spark):
     refs = spark.range(60_000).selectExpr("'p' AS period", "'t' AS domain", "if(id % 3 = 0, 'hot', concat('k', id % 500)) AS key", "id AS record")
     parents = spark.range(500).selectExpr("'p' AS period", "'t' AS domain", "concat('k', id) AS key")
-    got = orphan_references(refs, parents, "held_in")
-    assert got.count() == 20_000 and got.select("key").distinct().collect()[0][0] == "hot" and got.where("size(held_in) > 0").count() == 0
+    for few in (50_000, 0):
+        got = orphan_references(refs, parents, "held_in", few)
+        assert got.count() == 20_000 and got.select("key").distinct().collect()[0][0] == "hot" and got.where("size(held_in) > 0").count() == 0
+        assert orphan_references(refs, parents, few=few).count() == 20_000
 
 
 def test_why_a_key_is_absent(spark):
