@@ -107,6 +107,25 @@ def mirrors(df: DataFrame, key: str, pairs: dict[str, str]) -> DataFrame:
     return violations(bad, "column_differs_from_record", F.col(key), F.col("column"))
 
 
+def _named(acts: DataFrame) -> DataFrame:
+    refs = F.from_json(F.get_json_object("canonical_record", "$.source_refs"), "array<struct<source_id:string>>")
+    return acts.select(R, "act_id", F.explode(F.transform(refs, lambda x: x["source_id"])).alias("source_id")).distinct()
+
+
+def unnamed_evidence(acts: DataFrame) -> DataFrame:
+    """Sources of the status and of the dates of an act that are not among those it names."""
+    ids = lambda path: F.coalesce(F.from_json(F.get_json_object("canonical_record", path), "array<string>"), F.array().cast("array<string>"))
+    dates = F.from_json(F.get_json_object("canonical_record", "$.dates"), "map<string,struct<source_ids:array<string>>>")
+    dated = F.flatten(F.transform(F.map_values(dates), lambda x: F.coalesce(x["source_ids"], F.array().cast("array<string>"))))
+    used = acts.select(R, "act_id", F.explode(F.concat(ids("$.status_source_ids"), F.coalesce(dated, F.array().cast("array<string>")))).alias("source_id")).distinct()
+    return violations(used.join(_named(acts), [R, "act_id", "source_id"], "left_anti"), "evidence_not_named", F.col("act_id"), F.col("source_id"))
+
+
+def missing_named(acts: DataFrame, sources: DataFrame) -> DataFrame:
+    lost = _named(acts).join(sources.select(R, "source_id"), [R, "source_id"], "left_anti")
+    return violations(lost, "named_source_missing", F.col("act_id"), F.col("source_id"))
+
+
 def unlinked_sources(acts: DataFrame, provisions: DataFrame) -> DataFrame:
     """Sources of a provision that its act does not name."""
     own = provisions.select(R, "act_id", "provision_id", F.explode("source_ids").alias("source_id")).distinct()

@@ -136,11 +136,12 @@ def repair_loop(state, audit: Callable, repair: Callable, better: Callable, sett
     return state, issues, events
 
 
-def promotion_gate(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Counts for a review decision by act: provisions before and after, machine-extracted ones, changed and lost ids."""
-    b = before.groupBy("act_id").agg(F.count(F.lit(1)).alias("n_before"))
-    a = after.groupBy("act_id").agg(F.count(F.lit(1)).alias("n_after"), F.count_if(F.col("text_fidelity") == "machine_extracted").alias("n_machine"))
-    x = before.select("act_id", "provision_id", F.col("canonical_record").alias("r0")).join(after.select("act_id", "provision_id", F.col("canonical_record").alias("r1")), ["act_id", "provision_id"], "left")
-    d = x.groupBy("act_id").agg(F.count_if(F.col("r1").isNull()).alias("n_lost"), F.count_if(F.col("r1").isNotNull() & (F.col("r0") != F.col("r1"))).alias("n_changed"))
-    out = b.join(a, "act_id", "full").join(d, "act_id", "left").fillna(0)
+def promotion_gate(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ("act_id",)) -> DataFrame:
+    """Counts for a review decision by act (and whatever else ``by`` names): provisions before and after, machine-extracted ones, changed and lost ids."""
+    by = list(by)
+    b = before.groupBy(*by).agg(F.count(F.lit(1)).alias("n_before"))
+    a = after.groupBy(*by).agg(F.count(F.lit(1)).alias("n_after"), F.count_if(F.col("text_fidelity") == "machine_extracted").alias("n_machine"))
+    x = before.select(*by, "provision_id", F.col("canonical_record").alias("r0")).join(after.select(*by, "provision_id", F.col("canonical_record").alias("r1")), [*by, "provision_id"], "left")
+    d = x.groupBy(*by).agg(F.count_if(F.col("r1").isNull()).alias("n_lost"), F.count_if(F.col("r1").isNotNull() & (F.col("r0") != F.col("r1"))).alias("n_changed"))
+    out = b.join(a, by, "full").join(d, by, "left").fillna(0)
     return out.withColumn("ready", (F.col("n_machine") == 0) & (F.col("n_lost") == 0) & (F.col("n_after") >= F.col("n_before")))

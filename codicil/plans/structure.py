@@ -11,7 +11,7 @@ from codicil.operators import structure as S
 from codicil.operators import workflow as W
 from codicil.plans import projection as J
 from codicil.plans.common import P_SQL, READY, clean, ready
-from codicil.session import table
+from codicil.session import ready_releases, table
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -107,9 +107,13 @@ def token_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Two neighbouring releases as before and after a review."""
-    p = clean(spark, d, "provisions", "act_id", "text_fidelity", "canonical_record")
-    return W.promotion_gate(p.where("release_tag = 'corpus-v0.10.0'"), p.where("release_tag = 'corpus-v0.10.1'")).drop("n_changed")
+    """Each two neighbouring ready releases as before and after a review; ``release_tag`` is the later one. A record differs by its value, here its digest."""
+    p = clean(spark, d, "provisions", "act_id", "text_fidelity", heading_=F.coalesce("heading", F.lit(""))).withColumnRenamed("heading_", "canonical_record")
+    no = F.broadcast(ready_releases(spark, d))  # a register of at most 10,000 versions
+    after = p.join(no.where("release_no > 0").select("release_tag"), "release_tag", "left_semi")
+    later = no.select(F.col("release_tag").alias("later"), (F.col("release_no") - 1).alias("release_no"))
+    before = p.join(no, "release_tag").join(F.broadcast(later), "release_no").drop("release_tag", "release_no").withColumnRenamed("later", "release_tag")
+    return W.promotion_gate(before, after, ("release_tag", "act_id"))
 
 
 def release_actions(spark: SparkSession, d: str) -> DataFrame:
@@ -189,11 +193,17 @@ SELECT scope, node_id, n0 || upper(s0) AS after, num || upper(suf) AS found FROM
     "project_provisions": f"""SELECT DISTINCT release_tag, provision_id, act_id, sibling_order, node_type, reference_key, array_to_string(list_sort(list_distinct(source_ids)), '|') AS source_ids FROM provisions WHERE {READY}""",
     "token_usage": """WITH e AS (SELECT user_id AS run_id, event_id AS position, sum(CAST(floor(abs(value)) AS BIGINT) + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)
 SELECT run_id, min(position) AS position, CAST(min(spent) AS BIGINT) AS spent FROM e WHERE spent > 500 GROUP BY 1""",
-    "promotion_gate": f"""WITH {P_SQL}, b AS (SELECT act_id, count(*) AS n_before FROM p WHERE release_tag = 'corpus-v0.10.0' GROUP BY 1),
-a AS (SELECT act_id, count(*) AS n_after, count(*) FILTER (WHERE text_fidelity = 'machine_extracted') AS n_machine FROM p WHERE release_tag = 'corpus-v0.10.1' GROUP BY 1),
-l AS (SELECT x.act_id, count(*) AS n_lost FROM p x WHERE release_tag = 'corpus-v0.10.0' AND NOT EXISTS (SELECT 1 FROM p y WHERE y.release_tag = 'corpus-v0.10.1' AND y.act_id = x.act_id AND y.provision_id = x.provision_id) GROUP BY 1),
-j AS (SELECT coalesce(a.act_id, b.act_id) AS act_id, coalesce(n_before, 0) AS n_before, coalesce(n_after, 0) AS n_after, coalesce(n_machine, 0) AS n_machine FROM b FULL JOIN a ON a.act_id = b.act_id)
-SELECT j.*, coalesce(n_lost, 0) AS n_lost, n_machine = 0 AND coalesce(n_lost, 0) = 0 AND n_after >= n_before AS ready FROM j LEFT JOIN l ON l.act_id = j.act_id""",
+    "promotion_gate": f"""WITH {P_SQL},
+no AS (SELECT release_tag, row_number() OVER (ORDER BY list_transform(string_split(substr(release_tag, 9), '.'), lambda x: CAST(x AS INT))) AS n FROM corpus_releases WHERE import_state = 'ready'),
+q AS (SELECT p.*, n, coalesce(heading, '') AS h FROM p JOIN no USING (release_tag)),
+bef AS (SELECT t.release_tag AS later, q.* FROM q JOIN no t ON t.n = q.n + 1),
+b AS (SELECT later AS release_tag, act_id, count(*) AS n_before FROM bef GROUP BY 1, 2),
+a AS (SELECT release_tag, act_id, count(*) AS n_after, count(*) FILTER (WHERE text_fidelity = 'machine_extracted') AS n_machine FROM q WHERE n > 1 GROUP BY 1, 2),
+l AS (SELECT x.later AS release_tag, x.act_id, count(*) FILTER (WHERE y.provision_id IS NULL) AS n_lost, count(*) FILTER (WHERE y.h <> x.h) AS n_changed FROM bef x
+  LEFT JOIN q y ON y.release_tag = x.later AND y.act_id = x.act_id AND y.provision_id = x.provision_id GROUP BY 1, 2),
+j AS (SELECT coalesce(a.release_tag, b.release_tag) AS release_tag, coalesce(a.act_id, b.act_id) AS act_id, coalesce(n_before, 0) AS n_before, coalesce(n_after, 0) AS n_after, coalesce(n_machine, 0) AS n_machine
+  FROM b FULL JOIN a ON a.release_tag = b.release_tag AND a.act_id = b.act_id)
+SELECT j.*, coalesce(n_lost, 0) AS n_lost, coalesce(n_changed, 0) AS n_changed, n_machine = 0 AND coalesce(n_lost, 0) = 0 AND n_after >= n_before AS ready FROM j LEFT JOIN l ON l.release_tag = j.release_tag AND l.act_id = j.act_id""",
     "citation_segments": f"""WITH c AS (SELECT release_tag, citation_id, min(source_provision_id) AS pid, min(source_block_id) AS bid, CAST(min(canonical_record ->> '$.text_range.start') AS INT) AS s, CAST(min(canonical_record ->> '$.text_range.end') AS INT) AS e
   FROM citations WHERE {READY} GROUP BY 1, 2),
 rec AS (SELECT release_tag, provision_id, min(canonical_record) AS j FROM provisions WHERE {READY} GROUP BY 1, 2),

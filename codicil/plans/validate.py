@@ -13,7 +13,19 @@ from codicil.operators import validate as V
 from codicil.plans.common import NODE, P_SQL, READY, clean, provision_hierarchy, reading_hierarchy, ready
 from codicil.plans.tree import _CONTENTS
 
-MIRRORED = {"schema_version": "$.schema_version", "parent_provision_id": "$.parent_provision_id", "node_type": "$.node_type", "display_label": "$.display_label", "heading": "$.heading", "text_fidelity": "$.text_fidelity"}
+#: Columns that repeat a member of the record, by table: key, and column to path.
+MIRRORED = {
+    "provisions": ("provision_id", {
+        "schema_version": "$.schema_version", "parent_provision_id": "$.parent_provision_id", "node_type": "$.node_type", "display_label": "$.display_label", "heading": "$.heading", "text_fidelity": "$.text_fidelity",
+        "sibling_order": "$.order", "provision_id": "$.provision_id"}),
+    "acts": ("act_id", {
+        "schema_version": "$.schema_version", "act_id": "$.act_id", "jurisdiction": "$.jurisdiction", "country_code": "$.country_code", "official_title": "$.titles.official", "short_title": "$.titles.short", "year": "$.year",
+        "number": "$.number", "citation": "$.citation", "text_kind": "$.text_kind", "status": "$.status", "checked_through_date": "$.checked_through_date"}),
+    "sources": ("source_id", {
+        "schema_version": "$.schema_version", "source_id": "$.source_id", "document_title": "$.document_title", "document_publisher": "$.document_publisher", "language": "$.language", "source_class": "$.source_class", "page_count": "$.page_count"}),
+    "citations": ("citation_id", {
+        "schema_version": "$.schema_version", "citation_id": "$.citation_id", "source_provision_id": "$.source_provision_id", "source_block_id": "$.source_block_id", "target_act_id": "$.target.act_id", "target_provision_id": "$.target.provision_id"}),
+}
 
 
 def _p(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -81,8 +93,15 @@ def valid_reference_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def valid_mirrors(spark: SparkSession, d: str) -> DataFrame:
-    rows = ready(spark, d, "provisions").select("release_tag", "provision_id", "canonical_record", *MIRRORED)
-    return V.mirrors(rows, "provision_id", MIRRORED).distinct()
+    """Every column of the four tables that repeats a member of its record."""
+    parts = [V.mirrors(ready(spark, d, name).select("release_tag", "canonical_record", *dict.fromkeys([key, *columns])), key, columns) for name, (key, columns) in MIRRORED.items()]
+    return V.all_of(*parts).distinct()
+
+
+def valid_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that an act's status or dates rest on without its naming them, and named ones that the release does not hold."""
+    acts = clean(spark, d, "acts", "canonical_record")
+    return V.all_of(V.unnamed_evidence(acts), V.missing_named(acts, clean(spark, d, "sources")))
 
 
 def valid_sources_of_act(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +194,7 @@ def json_field_mirror(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = (
     valid_duplicate_keys, valid_ids, valid_ids_across, valid_vocabularies, valid_references, valid_tree, valid_sequence, valid_reading_order, valid_no_cycle,
-    valid_reference_keys, valid_mirrors, valid_sources_of_act, valid_pages, valid_content_ids, valid_citations, valid_grids, valid_shapes, draft_block_issues, content_blocks, content_characters,
+    valid_reference_keys, valid_mirrors, valid_evidence, valid_sources_of_act, valid_pages, valid_content_ids, valid_citations, valid_grids, valid_shapes, draft_block_issues, content_blocks, content_characters,
     source_locations, act_directories, grid_overlap, key_integrity, json_field_mirror,
 )
 
@@ -242,7 +261,12 @@ c AS (SELECT release_tag, source_id, min(page_count) AS page_count FROM sources
 SELECT {_V.format('page_beyond_source', 'provision_id', "concat_ws('/', page, page_count)")} FROM s JOIN c USING (release_tag, source_id) WHERE page < 1 OR page > page_count""",
     "valid_reference_keys": f"WITH {P_SQL} SELECT {_V.format('reference_key_used_twice', 'act_id', 'reference_key')} FROM p GROUP BY release_tag, act_id, reference_key HAVING count(*) > 1",
     "valid_mirrors": _union(*[
-        f"SELECT DISTINCT {_V.format('column_differs_from_record', 'provision_id', repr(c))} FROM provisions WHERE {READY} AND {c} IS DISTINCT FROM (canonical_record ->> '{path}')" for c, path in MIRRORED.items()]),
+        f"SELECT DISTINCT {_V.format('column_differs_from_record', key, repr(c))} FROM {t} WHERE {READY} AND CAST({c} AS VARCHAR) IS DISTINCT FROM (canonical_record ->> '{path}')" for t, (key, columns) in MIRRORED.items() for c, path in columns.items()]),
+    "valid_evidence": f"""WITH a AS (SELECT release_tag, act_id, min(canonical_record) AS j FROM acts WHERE {READY} GROUP BY 1, 2),
+e AS (SELECT DISTINCT release_tag, act_id, unnest(list_concat(CAST(json_extract_string(j, '$.status_source_ids[*]') AS VARCHAR[]), CAST(json_extract_string(j, '$.dates.*.source_ids[*]') AS VARCHAR[]))) AS s FROM a),
+n AS (SELECT DISTINCT release_tag, act_id, unnest(CAST(json_extract_string(j, '$.source_refs[*].source_id') AS VARCHAR[])) AS s FROM a)
+SELECT {_V.format('evidence_not_named', 'act_id', 's')} FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.release_tag = e.release_tag AND n.act_id = e.act_id AND n.s = e.s)
+UNION ALL SELECT {_V.format('named_source_missing', 'act_id', 's')} FROM n WHERE NOT EXISTS (SELECT 1 FROM sources x WHERE x.release_tag = n.release_tag AND x.source_id = n.s)""",
     "valid_sources_of_act": f"""WITH o AS (SELECT DISTINCT release_tag, act_id, provision_id, unnest(source_ids) AS s FROM provisions WHERE {READY}),
 n AS (SELECT DISTINCT release_tag, act_id, unnest(source_ids) AS s FROM acts)
 SELECT {_V.format('source_not_of_act', 'provision_id', 's')} FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.release_tag = o.release_tag AND n.act_id = o.act_id AND n.s = o.s)""",

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from codicil.operators import hierarchy as H
 from codicil.operators.orphan_refs import absence, orphan_references
 from codicil.operators.snapshot_diff import snapshot_changes
-from codicil.plans import pages, search, structure, tree, validate
+from codicil.plans import marred, pages, search, structure, tree, validate
 from codicil.plans.common import provision_hierarchy
 from codicil.plans.common import ready as _ready
 from codicil.session import durable, ready_releases, table
 
-MODULES = (tree, search, validate, pages, structure)
+MODULES = (tree, search, validate, pages, structure, marred)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
