@@ -146,4 +146,14 @@ WHERE nfc_normalize(text) <> text OR regexp_matches(text, '{_ODD}') OR len(list_
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p6_leaks": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+ds AS (SELECT doc_id, k, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d)),
+isx AS (SELECT item_id, k, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i)),
+dk AS (SELECT *, s IN (SELECT s FROM isx) AS known, count(*) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS n FROM ds),
+dw AS (SELECT doc_id, k, n, count(*) FILTER (WHERE known) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS m FROM dk),
+ws AS (SELECT a.doc_id, a.k, b.s, row_number() OVER (PARTITION BY a.doc_id, a.k, b.s ORDER BY b.k) AS o FROM dw a JOIN dk b ON b.doc_id = a.doc_id AND b.k BETWEEN a.k AND a.k + 8 WHERE a.n = 9 AND a.m >= 8),
+iw AS (SELECT item_id, k, count(*) OVER (PARTITION BY item_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS n FROM isx),
+vs AS (SELECT a.item_id, a.k, b.s, row_number() OVER (PARTITION BY a.item_id, a.k, b.s ORDER BY b.k) AS o FROM iw a JOIN isx b ON b.item_id = a.item_id AND b.k BETWEEN a.k AND a.k + 8 WHERE a.n = 9),
+pairs AS (SELECT ws.doc_id, ws.k, vs.item_id, vs.k AS j, count(*) AS c FROM ws JOIN vs ON vs.s = ws.s AND vs.o = ws.o GROUP BY 1, 2, 3, 4 HAVING count(*) >= 8)
+SELECT doc_id, item_id, count(DISTINCT k) AS n_windows, round(max(c / (18 - c)), 6) AS similarity FROM pairs GROUP BY 1, 2""",
 }
