@@ -1,8 +1,7 @@
-import numpy as np
 import pyarrow as pa
 
+from codicil.llm import leakage
 from codicil.llm.batches import by_size
-from codicil.llm.leakage import ItemIndex, _candidates
 
 
 def test_slices_cover_all_rows_in_order():
@@ -14,13 +13,26 @@ def test_slices_cover_all_rows_in_order():
     assert list(by_size(batch.slice(0, 0), "t")) == []
 
 
-def test_blocks_of_a_long_text_find_the_same_windows():
+class Sent:
+    """A broadcast value."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def test_parts_of_a_long_text_and_groups_of_documents_find_the_same(monkeypatch):
     words = [f"w{i % 37}" for i in range(400)]
-    ix = ItemIndex([(1, " ".join(words[50:120]))], 13)
-    from codicil.llm.leakage import WordHashes
-
-    flat = WordHashes().of(words)
-    want = {tuple(x) for x in np.stack(_candidates(ix, flat, 1), 1).tolist()}
-    for step in (1, 7, 50):
-        assert {tuple(x) for x in np.stack(_candidates(ix, flat, 1, step), 1).tolist()} == want
-    assert want
+    hashes = leakage.WordHashes()
+    items = [("x", hashes.of(words[50:120]), 13), ("y", hashes.of(words[5:30]), 13)]
+    docs = pa.RecordBatch.from_pydict({"d": [1, 2, 3, 4], "t": [" ".join(words), " ".join(words[:20]), None, " ".join(f"v{i}" for i in range(60))]})
+
+    def found(blocks):
+        run = leakage._match("d", "t", [Sent(b) for b in blocks], 0.8, 5, False, False, pa.string())
+        return sorted(tuple(r.values()) for b in run(iter([docs])) for r in b.to_pylist())
+
+    whole = found([leakage.Block(items, 5, 2)])
+    assert {r[:2] for r in whole} == {(1, "x"), (1, "y"), (2, "y"), (2, "x")}
+    for step, group in ((1, 10), (7, 100), (50, 10_000)):
+        monkeypatch.setattr(leakage, "_STEP", step)
+        monkeypatch.setattr(leakage, "_GROUP_WORDS", group)
+        assert found([leakage.Block(items, 5, 2)]) == found([leakage.Block(items[:1], 5, 2), leakage.Block(items[1:], 5, 2)]) == whole
