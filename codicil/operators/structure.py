@@ -50,12 +50,11 @@ def assign_ids(nodes: DataFrame) -> DataFrame:
     document order is needed. Equal ids get ~2, ~3, ... by position.
     """
     rows = durable(segments(nodes), "segments")
-    h = H.build_hierarchy(rows, "scope", "node_id", "parent_id")
-    steps = h.where("path is not null").select("scope", "node_id", F.posexplode("path").alias("at", "step"))
-    own = rows.select("scope", F.col("node_id").alias("step"), "segment", F.col("node_type").isin(*ABSOLUTE).alias("absolute"))
-    g = steps.join(own, ["scope", "step"]).groupBy("scope", "node_id").agg(F.array_sort(F.collect_list(F.struct("at", "segment", "absolute"))).alias("s"), F.max(F.when(F.col("absolute"), F.col("at"))).alias("from"))
-    base = F.array_join(F.transform(F.filter("s", lambda x: x["at"] >= F.coalesce("from", F.lit(0))), lambda x: x["segment"]), ".")
-    based = rows.select("scope", "node_id", "seq", "segment").join(g.select("scope", "node_id", base.alias("base")), ["scope", "node_id"]).where("segment is not null")
+    h = H.build_hierarchy(rows, "scope", "node_id", "parent_id", carry=(F.col("segment"), F.col("node_type").isin(*ABSOLUTE)))
+    start = F.array_max(F.transform("steps", lambda x, i: F.when(x[2] == "true", i)))
+    base = F.array_join(F.transform(F.filter("steps", lambda x, i: i >= F.coalesce(start, F.lit(0))), lambda x: x[1]), ".")
+    g = h.where("steps is not null").select("scope", "node_id", base.alias("base"))
+    based = rows.select("scope", "node_id", "seq", "segment").join(g, ["scope", "node_id"]).where("segment is not null")
     n = F.row_number().over(Window.partitionBy("scope", "base").orderBy("seq", "node_id"))
     return based.withColumn("n", n).select("scope", "node_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("~"), F.col("n").cast("string"))).alias("local_id"))
 
@@ -94,9 +93,37 @@ def empty_leaves(nodes: DataFrame) -> DataFrame:
 
 
 def hidden_markers(nodes: DataFrame) -> DataFrame:
-    """Wording in which a later line opens with a marker that should be a node of its own."""
-    rest = F.regexp_extract("first_text", "(?s)^[^\\n]*\\n(.*)$", 1)
-    return nodes.where(F.size(K.markers(rest)) > 0).select("scope", "node_id", K.markers(rest)[0].alias("marker"))
+    """Wording that holds a marker which should be a node of its own: one that opens a later line, or stands behind a dash, colon or semicolon."""
+    inside = F.slice(F.split("first_text", "\n|[—–]\\s*|[:;]\\s+"), 2, 1_000_000)
+    found = F.flatten(F.transform(inside, K.markers))
+    return nodes.where("first_text is not null").select("scope", "node_id", F.get(found, F.lit(0)).alias("marker")).where("marker is not null")
+
+
+def structural_lists(blocks: DataFrame) -> DataFrame:
+    """Lists that should be nodes: their style numbers the law's own units, or one of their items has a marker for a label.
+
+    blocks: scope, node_id, marker_style, labels (array of the items' labels).
+    """
+    marked = F.exists(F.coalesce("labels", F.array().cast("array<string>")), lambda x: K.is_marker(x))
+    return blocks.where(F.col("marker_style").isin("decimal", "lower_alpha", "upper_alpha", "lower_roman", "upper_roman") | marked).select("scope", "node_id", "marker_style")
+
+
+def unit_roots(nodes: DataFrame, units: DataFrame) -> DataFrame:
+    """Units whose draft has not exactly the one root that the plan names. nodes: scope, unit_id, parent_id, display_label, heading; units: scope, unit_id, display_label, heading."""
+    top = nodes.where("parent_id is null").groupBy("scope", "unit_id").agg(
+        F.count(F.lit(1)).alias("n_roots"), F.first("display_label").alias("label"), F.first("heading").alias("head"))
+    key = lambda c: F.coalesce(K.audit_key(c), F.lit(""))
+    j = units.select("scope", "unit_id", "display_label", "heading").join(top, ["scope", "unit_id"], "left").withColumn("n_roots", F.coalesce("n_roots", F.lit(0)))
+    why = F.when(F.col("n_roots") != 1, "roots").when((key("display_label") != "") & (key("label") != key("display_label")), "label").when((key("heading") != "") & (key("head") != key("heading")), "heading")
+    return j.select("scope", "unit_id", why.alias("issue"), "n_roots").where("issue is not null")
+
+
+def page_gaps(nodes: DataFrame) -> DataFrame:
+    """Pages within a unit's span that none of its nodes cites. nodes: scope, unit_id, pages (array<int>)."""
+    cited = nodes.select("scope", "unit_id", F.explode("pages").alias("pdf_page")).distinct()
+    span = cited.groupBy("scope", "unit_id").agg(F.min("pdf_page").alias("a"), F.max("pdf_page").alias("b"))
+    every = span.select("scope", "unit_id", F.explode(F.sequence("a", "b")).alias("pdf_page"))
+    return every.join(cited, ["scope", "unit_id", "pdf_page"], "left_anti")
 
 
 def repeated_ancestor_text(nodes: DataFrame, closure: DataFrame) -> DataFrame:

@@ -92,3 +92,34 @@ def test_defects_and_closure(spark):
     assert got == {("b", "sibling_clash"), ("c", "sibling_clash"), ("d", "wrong_depth"), ("e", "detached"), ("f", "on_cycle")}
     pairs = {(r["ancestor"], r["descendant"], r["distance"]) for r in H.closure(h, "rel", "id").collect()}
     assert pairs == {("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("c", "d", 1)}
+
+
+@pytest.mark.parametrize("max_bucket", [8, 1000])
+def test_sizes_and_carried_values(spark, max_bucket):
+    rng = random.Random(3)
+    links = random_links(rng, 150)
+    want = brute(links)
+    below = {v: 0 for v in links}
+    for status, _, _, path in want.values():
+        for up in (path or [])[:-1]:
+            below[up] += 1
+    df = spark.createDataFrame([("r", v, p, int(v[1:]) % 7 or None) for v, p in links.items()], "s string, id string, up string, n int")
+    h = H.build_hierarchy(df, "s", "id", "up", (F.substring("id", 1, 2), F.lit("all")), max_bucket, carry=(F.col("n"), F.concat(F.lit("|"), F.col("id"))), sizes=True)
+    for r in h.collect():
+        status, root, depth, path = want[r["id"]]
+        assert (r["status"], r["root"], r["depth"], r["path"]) == (status, root, depth, path)
+        assert r["n_descendants"] == (below[r["id"]] if status == "root" else None)
+        assert r["steps"] == ([[v, str(int(v[1:]) % 7) if int(v[1:]) % 7 else None, "|" + v] for v in path] if path else None)
+
+
+def test_preorder_of_siblings_that_clash(spark):
+    """Equal orders, ids of which one begins the other, and orders beyond nine digits."""
+    from codicil.operators import tree
+
+    rows = [("s-1", None, 1), ("s-1-bis", None, 1), ("s-1.a", "s-1", 1), ("s-1.b", "s-1", 2), ("s-1-bis.a", "s-1-bis", 1), ("big", None, 2_000_000_000), ("s-2", None, None)]
+    nodes = spark.createDataFrame([("r", "act", v, p, o, "section", None, v, True) for v, p, o in rows], "release_tag string, act_id string, provision_id string, parent_provision_id string, sibling_order int, node_type string, display_label string, heading string, has_content boolean")
+    h = tree.hierarchy_of(nodes)
+    got = [r["provision_id"] for r in tree.contents(nodes, h).orderBy("position").collect()]
+    assert got == ["s-2", "s-1", "s-1.a", "s-1.b", "s-1-bis", "s-1-bis.a", "big"]
+    ends = {r["provision_id"]: (r["position"], r["subtree_end"]) for r in tree.with_subtree_end(nodes, h).collect()}
+    assert ends["s-1"] == (2, 4) and ends["s-1-bis"] == (5, 6) and {r["provision_id"]: r["breadcrumb"] for r in tree.breadcrumbs(h).collect()} == {"s-1.a": "s-1", "s-1.b": "s-1", "s-1-bis.a": "s-1-bis"}

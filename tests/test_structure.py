@@ -42,6 +42,19 @@ def test_node_rules(spark):
     assert [r["node_id"] for r in S.mixed_children(under("i", "d")).collect()] == ["d"]
 
 
+def test_rules_of_drafts(spark):
+    rows = [("s", "a", "Plain words (x) amid."), ("s", "b", "First line\n(a) second"), ("s", "c", "The rule: (b) applies"), ("s", "d", "That is —(iv) so; 7. and more"), ("s", "e", None), ("s", "f", "(a) its own")]
+    got = S.hidden_markers(spark.createDataFrame(rows, "scope string, node_id string, first_text string")).collect()
+    assert {(r["node_id"], r["marker"]) for r in got} == {("b", "(a)"), ("c", "(b)"), ("d", "(iv)")}
+    lists = spark.createDataFrame([("s", "a", "bullet", ["x"]), ("s", "b", "lower_alpha", None), ("s", "c", "none", ["(ii)"]), ("s", "d", "none", None)], "scope string, node_id string, marker_style string, labels array<string>")
+    assert {r["node_id"] for r in S.structural_lists(lists).collect()} == {"b", "c"}
+    nodes = spark.createDataFrame([("s", "u1", None, "8.", "Quays"), ("s", "u1", "n1", None, None), ("s", "u2", None, "9.", None), ("s", "u2", None, "10.", None), ("s", "u3", None, "3.", "Dues"), ("s", "u5", None, "5.", "Tolls")], "scope string, unit_id string, parent_id string, display_label string, heading string")
+    units = spark.createDataFrame([("s", "u1", "8", "QUAYS"), ("s", "u2", "9.", None), ("s", "u3", "4.", "Dues"), ("s", "u4", None, None), ("s", "u5", None, "Fees")], "scope string, unit_id string, display_label string, heading string")
+    assert {(r["unit_id"], r["issue"], r["n_roots"]) for r in S.unit_roots(nodes, units).collect()} == {("u2", "roots", 2), ("u3", "label", 1), ("u4", "roots", 0), ("u5", "heading", 1)}
+    pages = spark.createDataFrame([("s", "u", [2, 3]), ("s", "u", [6]), ("s", "v", [1])], "scope string, unit_id string, pages array<int>")
+    assert {(r["unit_id"], r["pdf_page"]) for r in S.page_gaps(pages).collect()} == {("u", 4), ("u", 5)}
+
+
 @pytest.mark.parametrize("labels,jumps", [(["5.", "5A.", "5B.", "6."], []), (["5.", "5A.", "7."], [("5A", "7")]), (["1.", "Interim", "9.", "10."], []), (["1.", "1."], [("1", "1")]), (["2.", None, "3."], [])])
 def test_section_sequence(spark, labels, jumps):
     df = spark.createDataFrame([("a", f"n{i}", i, "section", x) for i, x in enumerate(labels)], "scope string, node_id string, seq int, node_type string, display_label string")
