@@ -7,7 +7,7 @@ and cell, with its path. All rules about content are then plain column
 expressions over this table.
 
 Row: ``path`` (array of steps), ``kind`` (text kinds, list, item, table,
-caption, cell, note), ``block_id``, ``text`` (null but for text and labels),
+caption, cell, segment), ``block_id``, ``text`` (null but for text and labels),
 grid columns for cells, and the source pages. Text that is no JSON object gives
 no rows; unknown kinds are kept as rows without content.
 """
@@ -27,7 +27,8 @@ FIELDS = (
     ("text", pa.string(), "string"), ("table_id", pa.string(), "string"), ("row_group", pa.string(), "string"), ("row_index", pa.int32(), "int"),
     ("row_id", pa.string(), "string"), ("column_start", pa.int32(), "int"), ("row_span", pa.int32(), "int"), ("column_span", pa.int32(), "int"),
     ("role", pa.string(), "string"), ("scope", pa.string(), "string"), ("blank", pa.bool_(), "boolean"), ("header_cell_ids", pa.list_(pa.string()), "array<string>"),
-    ("column_count", pa.int32(), "int"), ("source_ids", pa.list_(pa.string()), "array<string>"), ("pdf_pages", pa.list_(pa.int32()), "array<int>"),
+    ("column_count", pa.int32(), "int"), ("row_ids", pa.list_(pa.string()), "array<string>"), ("repeated_row_ids", pa.list_(pa.string()), "array<string>"), ("group_role", pa.string(), "string"),
+    ("source_ids", pa.list_(pa.string()), "array<string>"), ("pdf_pages", pa.list_(pa.int32()), "array<int>"),
 )
 
 
@@ -72,8 +73,10 @@ class _Flat:
                 for k, cell in enumerate(row.get("cells") or []):
                     at = [*path, "groups", str(g), str(index), str(k)]
                     self.add(at, "cell", cell, block_id=cell.get("cell_id"), row_group=group.get("group_id"), row_index=index, row_id=row.get("row_id"), column_start=cell.get("column_start"),
-                             row_span=cell.get("row_span"), column_span=cell.get("column_span"), role=cell.get("role"), scope=cell.get("scope"), blank=cell.get("blank"), header_cell_ids=cell.get("header_cell_ids"), **own)
+                             row_span=cell.get("row_span"), column_span=cell.get("column_span"), role=cell.get("role"), group_role=group.get("role"), scope=cell.get("scope"), blank=cell.get("blank"), header_cell_ids=cell.get("header_cell_ids"), **own)
                     self.blocks(cell.get("content_blocks"), at)
+        for k, segment in enumerate(t.get("source_segments") or []):
+            self.add([*path, "segments", str(k)], "segment", segment, block_id=segment.get("segment_id"), row_ids=segment.get("row_ids"), repeated_row_ids=segment.get("repeated_header_row_ids"), **own)
         self.blocks(t.get("notes"), [*path, "notes"])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codicil.errors import Unavailable
+
 R = "release_tag"
 
 
@@ -117,6 +119,13 @@ def source_line(title, publisher, pages) -> Column:
     return F.concat_ws(", ", title, publisher, F.when(pages.isNotNull(), F.concat(F.lit("pages "), pages.cast("string"))))
 
 
+def one_release(*tags: str) -> str:
+    """The release that several reads came from; a mixture is refused, since a publication lay between them."""
+    if len(set(tags)) != 1:
+        raise Unavailable(f"reads from {', '.join(sorted(set(tags)))}; read again")
+    return tags[0]
+
+
 def page_links(offset: Column, limit: Column, total: Column) -> Column:
     """Offsets of the previous and next page, null where there is none."""
     return F.struct(

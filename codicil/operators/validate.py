@@ -200,6 +200,20 @@ def blank_with_content(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     return violations(own.join(held, [R, "provision_id", "at"], "left_semi"), "blank_cell_with_content", F.col("provision_id"), F.col("block_id"))
 
 
+def segment_rows(blocks: DataFrame) -> DataFrame:
+    """Rows that a table's source segments name: they exist; repeated ones are header rows and among the segment's own."""
+    rows = blocks.where("kind = 'cell'").select(R, "provision_id", "table_id", F.col("row_id").alias("ref"), F.col("group_role").alias("_role")).distinct()
+    segments = blocks.where("kind = 'segment'").select(R, "provision_id", "table_id", "block_id", F.coalesce("row_ids", F.array().cast("array<string>")).alias("own"), F.coalesce("repeated_row_ids", F.array().cast("array<string>")).alias("again"))
+    named = segments.select(R, "provision_id", "table_id", "block_id", "own", F.explode(F.concat(
+        F.transform("own", lambda r: F.struct(r.alias("ref"), F.lit(False).alias("repeated"))), F.transform("again", lambda r: F.struct(r.alias("ref"), F.lit(True).alias("repeated"))))).alias("x")).select("*", "x.*")
+    j = named.join(rows, [R, "provision_id", "table_id", "ref"], "left")
+    rule = (
+        F.when(F.col("_role").isNull(), F.when(F.col("repeated"), "unknown_repeated_row").otherwise("unknown_segment_row"))
+        .when(F.col("repeated") & (F.col("_role") != "header"), "repeated_row_no_header").when(F.col("repeated") & ~F.array_contains("own", F.col("ref")), "repeated_row_not_own"))
+    bad = j.withColumn("_rule", rule).where("_rule is not null").distinct()
+    return bad.select(F.col("_rule").alias("rule"), R, F.col("provision_id").alias("key"), F.concat_ws("/", "block_id", "ref").alias("detail"))
+
+
 # URLs and requests.
 
 

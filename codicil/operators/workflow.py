@@ -8,6 +8,7 @@ DataFrame actions, and its bounds are parameters.
 
 from __future__ import annotations
 
+import json
 import os
 import threading
 from collections.abc import Callable, Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from codicil.errors import PipelineError
 from codicil.session import durable
+from codicil.sources import files
 
 
 @dataclass(frozen=True)
@@ -136,6 +138,25 @@ def repair_loop(state, audit: Callable, repair: Callable, better: Callable, sett
     return state, issues, events
 
 
+def save_state(root: str, run: str, key: str, state: dict) -> None:
+    """The state of a run as one file; ``key`` is the digest of what it was made from."""
+    files.write(files.join(root, "states", f"{run}.json"), json.dumps({"key": key, "state": state}, ensure_ascii=False).encode())
+
+
+def load_state(root: str, run: str, key: str, problems: Callable[[dict], list[str]] = lambda state: []) -> dict | None:
+    """The saved state of a run with the same input, checked again by the rules it must keep; None where there is none or its input has changed."""
+    try:
+        saved = json.loads(files.read(files.join(root, "states", f"{run}.json")))
+    except FileNotFoundError:
+        return None
+    if saved.get("key") != key:
+        return None
+    found = problems(saved["state"])
+    if found:
+        raise PipelineError("stale_state", "; ".join(found[:8]))
+    return saved["state"]
+
+
 def promotion_gate(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ("act_id",)) -> DataFrame:
     """Counts for a review decision by act (and whatever else ``by`` names): provisions before and after, machine-extracted ones, changed and lost ids."""
     by = list(by)

@@ -124,7 +124,7 @@ def valid_citations(spark: SparkSession, d: str) -> DataFrame:
 def valid_grids(spark: SparkSession, d: str) -> DataFrame:
     blocks = _blocks(spark, d)
     cells = blocks.where("kind = 'cell'")
-    return V.all_of(V.cells_beyond(cells), V.cell_overlap(cells), V.header_references(cells), V.blank_with_content(cells, blocks))
+    return V.all_of(V.cells_beyond(cells), V.cell_overlap(cells), V.header_references(cells), V.blank_with_content(cells, blocks), V.segment_rows(blocks))
 
 
 def valid_shapes(spark: SparkSession, d: str) -> DataFrame:

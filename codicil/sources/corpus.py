@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import os
 import re
+import subprocess
+import tarfile
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
@@ -172,6 +175,26 @@ def fetch(url: str, opener: Callable[[str], tuple[int, Iterator[bytes]]], sleep:
     raise AssertionError
 
 
+def tagged_release(repository: str, tag: str, folder: str, below: str = "corpus") -> tuple[str, str]:
+    """Commit and corpus folder of an exact Git tag: the files of that commit are put into ``folder``, whatever is checked out.
+
+    A branch or a commit of that name is no tag. Paths that would leave the folder are refused.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", tag):
+        raise PipelineError("invalid_release_tag", tag)
+
+    def git(*args: str) -> bytes:
+        done = subprocess.run(["git", "-C", repository, *args], capture_output=True, check=False)
+        if done.returncode:
+            raise PipelineError("release_tag_missing", done.stderr.decode(errors="replace").strip() or tag)
+        return done.stdout
+
+    commit = git("rev-parse", "--verify", "--end-of-options", f"refs/tags/{tag}^{{commit}}").decode().strip()
+    with tarfile.open(fileobj=io.BytesIO(git("archive", "--format=tar", commit, below))) as tar:
+        tar.extractall(folder, filter="data")
+    return commit, os.path.join(folder, below)
+
+
 #: Members of an acquisition request.
 REQUEST_FIELDS = ("url", "document_title", "document_publisher", "language", "source_class")
 REQUEST_OPTIONAL = ("publication", "provider_name", "redistribution", "document_notes", "notes")
