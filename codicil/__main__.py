@@ -74,7 +74,7 @@ def execute(args: argparse.Namespace) -> object:
             want = J.Release(args.tag, args.commit, tuple(J.schema_versions(records)))
             action, codes = store.preview(want)
             if args.execute and action != "blocked":
-                action = store.publish(want, J.build(records) if action == "import_and_activate" else None)
+                action = store.publish(want, J.checked(records) if action == "import_and_activate" else None)
             return {"release_tag": args.tag, "action": action, "blockers": list(codes), "executed": args.execute}
         if args.command == "rollback":
             store = J.Store(spark, args.store)

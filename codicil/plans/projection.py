@@ -20,8 +20,10 @@ from codicil import schemas
 from codicil.errors import PipelineError
 from codicil.functions import textkeys as K
 from codicil.functions.blocks import flatten_blocks
+from codicil.functions.records import check_records
 from codicil.operators import hierarchy as H
 from codicil.operators import search
+from codicil.operators import validate as V
 from codicil.session import durable
 from codicil.sources import files
 from codicil.sources.sinks import json_bytes, write_atomically
@@ -103,6 +105,33 @@ def schema_versions(records: dict[str, DataFrame]) -> list[str]:
     return sorted(found)
 
 
+def violations(records: dict[str, DataFrame], rows: dict[str, DataFrame]) -> DataFrame:
+    """Everything that is wrong with a release as read: shapes of records, then rules across them. rule, release_tag, key, detail."""
+    acts, provisions, sources, citations = (rows[n] for n in ("acts", "provisions", "sources", "citations"))
+    keys = {"acts": ("act", "act_id"), "provisions": ("provision", "provision_id"), "sources": ("source", "source_id"), "citations": ("citation", "citation_id")}
+    shapes = [check_records(records[n].select(R, key, F.col("record").alias("canonical_record")), kind, key).select(F.lit("shape").alias("rule"), R, "key", F.concat_ws(" ", "path", "message").alias("detail")) for n, (kind, key) in keys.items()]
+    blocks = durable(flatten_blocks(provisions.select(R, "provision_id", "canonical_record")), "blocks")
+    cells = blocks.where("kind = 'cell'")
+    counts = sources.withColumn("page_count", F.get_json_object("canonical_record", "$.page_count").cast("int"))
+    return V.all_of(
+        *shapes, *[V.duplicate_keys(rows[n], key) for n, (_, key) in keys.items()], V.duplicate_ids_across(*[(rows[n], key) for n, (_, key) in keys.items()]),
+        V.missing_target(provisions, "provision_id", "act_id", acts, "act_id", "no_act"), V.missing_target(provisions, "provision_id", "parent_provision_id", provisions, "provision_id", "no_parent"),
+        V.missing_target(citations, "citation_id", "source_provision_id", provisions, "provision_id", "no_citing_provision"),
+        V.missing_target(citations, "citation_id", "target_act_id", acts, "act_id", "no_target_act"), V.missing_target(citations, "citation_id", "target_provision_id", provisions, "provision_id", "no_target_provision"),
+        V.foreign_parent(provisions), V.owner_prefix(provisions), V.incomplete_siblings(provisions), V.unlinked_sources(acts, provisions), V.unnamed_evidence(acts), V.missing_named(acts, sources),
+        V.pages_beyond(blocks, counts), V.duplicate_content_ids(blocks), V.citation_ranges(citations, blocks), V.target_mismatch(citations), V.citation_prefix(citations),
+        V.cells_beyond(cells), V.cell_overlap(cells), V.header_references(cells), V.blank_with_content(cells, blocks), V.segment_rows(blocks))
+
+
+def checked(records: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables of a release that breaks no rule; else an error with the first violations."""
+    rows = build(records)
+    found = violations(records, rows).limit(20).collect()
+    if found:
+        raise PipelineError("invalid_corpus", "; ".join(f"{r['rule']}: {r['key']} {r['detail'] or ''}".strip() for r in found))
+    return rows
+
+
 # Releases.
 
 
