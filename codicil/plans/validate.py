@@ -198,7 +198,6 @@ QUERIES = (
     source_locations, act_directories, grid_overlap, key_integrity, json_field_mirror,
 )
 
-_NONE = "SELECT NULL::VARCHAR AS rule, NULL::VARCHAR AS release_tag, NULL::VARCHAR AS key, NULL::VARCHAR AS detail WHERE false"
 _V = "'{}' AS rule, release_tag, {} AS key, {} AS detail"
 
 
@@ -225,7 +224,9 @@ SQL = {
     "valid_ids": _union(*[
         f"SELECT DISTINCT {_V.format('bad_' + k, k, chr(39) * 2)} FROM {t} WHERE {READY} AND NOT regexp_matches({k}, '{vocab.ID_PATTERNS[k]}')"
         for t, k in (("acts", "act_id"), ("provisions", "provision_id"), ("sources", "source_id"), ("citations", "citation_id"))]),
-    "valid_ids_across": _NONE,
+    "valid_ids_across": "WITH i AS (" + _union(*[
+        f"SELECT DISTINCT release_tag, {k} AS id FROM {t} WHERE {READY}" for t, k in (("acts", "act_id"), ("provisions", "provision_id"), ("sources", "source_id"), ("citations", "citation_id"))])
+    + f") SELECT {_V.format('id_used_twice', 'id', 'CAST(count(*) AS VARCHAR)')} FROM i GROUP BY release_tag, id HAVING count(*) > 1",
     "valid_vocabularies": _union(*[
         f"SELECT DISTINCT {_V.format('unknown_' + c, k, c)} FROM {t} WHERE {READY} AND {c} NOT IN ({', '.join(repr(x) for x in allowed)})"
         for t, k, c, allowed in (
