@@ -10,8 +10,7 @@ alphabet that stand in for look-alikes are decided by their word on the same
 walk:
 
 * a word that mixes alphabets is brought to the one its other letters need; for
-  these any pair that the public confusables data of Unicode names is accepted
-  (read from the ICU library that Spark carries, where it is there);
+  these any pair that the public confusables data of Unicode names is accepted;
 * a word wholly of letters that look like Latin ones in every face is Latin if
   the text is written in Latin letters elsewhere and nothing in its line is truly
   written in that alphabet; an abbreviation such as the Cyrillic one of the Soviet
@@ -38,7 +37,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Letters of other alphabets, by the Latin letter they look like in every face; a whole word of them may be a Latin one.
@@ -49,14 +48,23 @@ LOOKALIKES = {
     "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս",
     "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ΥҮ", "Z": "ΖᏃ",
 }
+#: Letters of other left-to-right alphabets, by the one ASCII letter or figure that Unicode's confusables data gives for them
+#: (version 16.0, as ICU 77.1 has it; a test derives them from that library again).
+PUBLIC = {
+    "2": "ϨᒿꙄ", "3": "ЗӠⳌ𑣊𖼻", "4": "Ꮞ𑢯", "5": "𑢻", "6": "бᏮⳒ𑣕", "7": "𐓒𑣆", "8": "𐌚", "9": "Ⳋ𑢬𑣌𑣖", "A": "ΑАᎪᗅꓮ𐊠𖽀", "B": "ΒВᏴᗷꓐ𐊂𐊡𐌁",
+    "C": "СᏟⲤꓚ𐊢𐌂𐐕𐔜", "D": "Ꭰᗞᗪꓓ", "E": "ΕЕᎬⴹꓰ𐊆𑢦𑢮", "F": "Ϝᖴꓝ𐊇𐊥𐔥𑢢𑣂", "G": "ԌᏀᏳꓖ", "H": "ΗНᎻᕼⲎꓧ𐋏", "I": "ΙІӀⲒ", "J": "ͿЈᎫᒍꓙ",
+    "K": "ΚКᏦᛕⲔꓗ𐔘", "L": "ᏞᒪⳐꓡ𐐛𐔦𑢣𑢲𖼖", "M": "ΜϺМᎷᗰᛖⲘꓟ𐊰𐌑", "N": "ΝⲚꓠ𐔓", "O": "ΟОՕଠዐⲞⵔꓳ𐊒𐊫𐐄𐓂𐔖𑢵", "P": "ΡРᏢᑭⲢꓑ𐊕", "Q": "ⵕ",
+    "R": "ᎡᏒᖇꓣ𐒴𖼵", "S": "ЅՏᏕᏚꓢ𐊖𐐠𖼺", "T": "ΤТᎢⲦꓔ𐊗𐊱𐌕𑢼𖼊", "U": "Սሀᑌꓴ𐓎𑢸𖽂", "V": "ѴᏙᐯⴸꓦꛟ𐔝𑢠𖼈", "W": "ԜᎳᏔꓪ", "X": "ΧХᚷⲬⵝꓫ𐊐𐊴𐌗𐔧",
+    "Y": "ΥУҮᎩᎽⲨꓬ𐊲𑢤𖽃", "Z": "ΖᏃꓜ𑢩", "a": "αа", "b": "ЬᏏᑲᖯ", "c": "сⲥꮯ𐐽", "d": "ԁᏧᑯꓒ", "e": "еҽ", "f": "ք", "g": "ց", "h": "һհᏂ",
+    "i": "ιіӏᎥꙇꭵ𑣃", "j": "ϳј", "l": "ᛁⵏꓲ𐊊𐌉𖼨", "m": "𑜀", "n": "ոռ", "o": "οσоօഠဝჿⲟ𐐬𐓪𑣈𑣗", "p": "ρрⲣ", "q": "ԛգզ", "r": "гᴦⲅꮁ",
+    "s": "ѕꮪ𐑈𑣁", "u": "υս𐓶𑣘", "v": "νѵꮩ𑜆𑣀", "w": "ѡԝաꮃ𑜊𑜎𑜏", "x": "хᕁᕽ", "y": "γуүყ𑣜", "z": "ꮓ𑣄",
+}
 #: Compatibility decompositions that change what is seen.
 _DIFFERENT = ("<super>", "<sub>", "<fraction>", "<circle>")
 _DASHES = "‐‑‒–—―−"
 _FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 _BREAKS = "\u2028\u2029"
 _SHAPED = frozenset(("ARABIC", "SYRIAC", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "MONGOLIAN", "KHMER", "MYANMAR", "TIBETAN"))
-#: Scripts whose letters never stand in for Latin ones: they run the other way or fill squares.
-_APART = frozenset(("CJK", "KATAKANA", "HIRAGANA", "HANGUL", "BOPOMOFO", "LATIN", "MATHEMATICAL", "FULLWIDTH"))
 _JOINERS = "\u200c\u200d"
 _WIDTH = 0xFEE0  # from an ASCII character to its full-width form
 _CACHE = 100_000
@@ -103,30 +111,10 @@ def _plain(ch: str, twice_widened: bool) -> str | None:
     return out if out != ch else None
 
 
-_public: list[tuple[tuple[str, str], ...]] = []
-
-
-def _public_lookalikes(spark: SparkSession | None = None) -> tuple[tuple[str, str], ...]:
-    """Letters of other left-to-right alphabets and the one ASCII letter or figure that Unicode's confusables data gives for them."""
-    if _public:
-        return _public[0]
-    letters = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c))[0] == "L" and unicodedata.bidirectional(chr(c)) == "L" and _script(chr(c)) not in _APART and not unicodedata.decomposition(chr(c))]
-    try:
-        checker = (spark or SparkSession.getActiveSession()).sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-        seen = checker.getSkeleton(0, "\n".join(letters)).split("\n")
-        ascii_ = {c: checker.getSkeleton(0, c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz23456789"}
-    except Exception:  # noqa: BLE001 - a Spark without that library: the fixed letters alone are used
-        return ()
-    by: dict[str, list[str]] = {}
-    for c, sk in ascii_.items():
-        by.setdefault(sk, []).append(c)
-    out = []
-    for c, sk in zip(letters, seen):
-        same = [x for x in by.get(sk, ()) if x.isdigit() or x.isupper() == c.isupper()] or by.get(sk, [])
-        if same:
-            out.append((c, same[0]))
-    _public.append(tuple(out))
-    return _public[0]
+@lru_cache(1)
+def _public_lookalikes() -> tuple[tuple[str, str], ...]:
+    """The public look-alikes in pairs. They come with the code, so that no session, library or call that fails can leave any out."""
+    return tuple((ch, plain) for plain, others in PUBLIC.items() for ch in others)
 
 
 class Transducer:
@@ -342,7 +330,7 @@ def uniform_text(df: DataFrame, column: str, only_changed: bool = False, twice_w
     """
     df = df.drop("_uniform", "_changed")  # columns of these names give way to the new ones
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _uniform string, _changed boolean"
-    odd = df.where(F.col(column).rlike(NON_ASCII)).mapInArrow(_uniform(column, only_changed, _public_lookalikes(df.sparkSession), twice_widened), schema)
+    odd = df.where(F.col(column).rlike(NON_ASCII)).mapInArrow(_uniform(column, only_changed, _public_lookalikes(), twice_widened), schema)
     if only_changed:
         return odd
     plain = df.where(~F.coalesce(F.col(column).rlike(NON_ASCII), F.lit(False)))

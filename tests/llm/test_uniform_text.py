@@ -1,11 +1,14 @@
+import pathlib
 import random
+import subprocess
+import sys
 import unicodedata
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codicil.llm.uniform_text import _public_lookalikes, transducer, uniform_text
+from codicil.llm.uniform_text import _public_lookalikes, _script, transducer, uniform_text
 
 CASES = {
     "Ａｃｔ　２００２": "Act 2002", "oﬃce": "office", "№ 5": "No 5", "𝐁𝐨𝐚𝐫𝐝": "Board",  # width and compatibility
@@ -45,6 +48,26 @@ def test_recast_with_the_public_table(spark):
     assert all(form(unicodedata.normalize("NFC", t)) == unicodedata.normalize("NFC", t) for t in [*KEPT, *SEEN])
 
 
+def test_public_table_is_whole_without_session_or_library():
+    code = "from codicil.llm.uniform_text import _public_lookalikes, transducer; t = _public_lookalikes(); print(len(t), transducer(t)('\\ua4d0oard'))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=pathlib.Path(__file__).parents[2])
+    assert out.stdout.split() == ["296", "Board"], out.stderr
+
+
+def test_public_table_is_the_one_of_the_library(spark):
+    apart = {"CJK", "KATAKANA", "HIRAGANA", "HANGUL", "BOPOMOFO", "LATIN", "MATHEMATICAL", "FULLWIDTH"}  # fill squares or are Latin already
+    letters = [c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c)[0] == "L" and unicodedata.bidirectional(c) == "L" and _script(c) not in apart and not unicodedata.decomposition(c)]
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    plain: dict[str, list[str]] = {}
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz23456789":
+        plain.setdefault(checker.getSkeleton(0, c), []).append(c)
+    found = {}
+    for c, skeleton in zip(letters, checker.getSkeleton(0, "\n".join(letters)).split("\n"), strict=True):
+        if same := plain.get(skeleton):
+            found[c] = next((x for x in same if x.isdigit() or x.isupper() == c.isupper()), same[0])
+    assert dict(_public_lookalikes()) == found and len(_public_lookalikes()) == len(found)
+
+
 def test_idempotent_on_many_random_texts(spark):
     form, rng = transducer(_public_lookalikes(), True), random.Random(8)
     odd = sorted(form.odd)
